@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,6 +183,7 @@ def judged(items: Items, k: int, pairs: list[tuple[int, int]], canon: np.ndarray
 
 
 SCHEMA = "doc_id long, item_id long, coverage double, n_slots int, n_changed int, kind string, word_start long"
+KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,29 +193,54 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words
     of a document each give their rows; repeated items with one id and text count once. A null doc_id is kept.
     Extra columns are not read. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    slices = max(1, -(-words // SLICE_WORDS) * 2) if words > SLICE_WORDS else 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for s in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).collect()
-        box = spark.sparkContext.broadcast(Items(sorted((r["item_id"], r["text"]) for r in part), window, min_words))
+    for box in _slices(benchmark, window, min_words):
 
         def scan(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items, canon = box.value, Canon()
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
-                    yield from _scan(batch.slice(lo, 256), items, canon, cover)
+                    found = _scan(*batch.slice(lo, 256).columns, items, canon, cover)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*[f[1:] for f in found], strict=True), KINDS, strict=True)], ["doc_id", "item_id", "coverage", "n_slots", "n_changed", "kind", "word_start"])
 
         found = rows.mapInArrow(scan, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scan(batch: pa.RecordBatch, items: Items, canon: Canon, cover: float) -> Iterator[pa.RecordBatch]:
-    split = [(t or "").split() for t in batch.column(1).to_pylist()]
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, cover: float = COVER, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without rows that hold a benchmark item."""
+    at = docs.columns.index(text_col)
+    for box in _slices(benchmark, window, min_words):
+
+        def drop(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            items, canon = box.value, Canon()
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    some = batch.slice(lo, 256)
+                    keep = np.ones(some.num_rows, bool)
+                    keep[[f[0] for f in _scan(some.column(at), some.column(at), items, canon, cover)]] = False
+                    yield some.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(drop, docs.schema)
+    return docs
+
+
+def _slices(benchmark: DataFrame, window: int, min_words: int) -> Iterator[Broadcast]:
+    """The benchmark's templates, SLICE_WORDS words or about that at a time, as broadcasts."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    slices = -(-2 * words // SLICE_WORDS) if words > SLICE_WORDS else 1
+    for s in range(slices):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(sorted((r["item_id"], r["text"]) for r in part), window, min_words))
+
+
+def _scan(ids: pa.Array, texts: pa.Array, items: Items, canon: Canon, cover: float) -> list[tuple]:
+    """For each text and item that it holds: the text's place, then the columns of SCHEMA."""
+    split = [(t or "").split() for t in texts.to_pylist()]
     n = np.array([len(w) for w in split])
     doc = np.repeat(np.arange(len(split)), n)
     codes, at = canonical(canon.codes([w for words in split for w in words]), doc)
@@ -238,10 +265,8 @@ def _scan(batch: pa.RecordBatch, items: Items, canon: Canon, cover: float) -> It
             got = judged(items, k, [(p, i - base) for p, i in pairs], codes[own], values, cover)
             if got:
                 share, first, slots, changed = got
-                rows.append((batch.column(0)[d].as_py(), items.ids[k], share, slots, changed, "reparameterised" if changed else "verbatim", int(at[base + first] - offsets[d])))
-    if rows:
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "coverage", "n_slots", "n_changed", "kind", "word_start"])
+                rows.append((d, ids[d].as_py(), items.ids[k], share, slots, changed, "reparameterised" if changed else "verbatim", int(at[base + first] - offsets[d])))
+    return rows
 
 
 def op9(spark, sf_dir):  # noqa: ANN001, ANN201

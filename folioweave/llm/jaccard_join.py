@@ -101,7 +101,7 @@ def set_id(sets: np.ndarray) -> int:
 
 
 def sets_and_regions(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_id, keys; a set that a task has met before comes without keys."""
+    """doc_id, n_shingles, set_id, text_hash, keys; a set that a task has met before comes without keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -121,10 +121,10 @@ def sets_and_regions(docs: DataFrame, words: int, percent: int, id_col: str, tex
                         keys.append(np.zeros(0, np.int64))
                     ends.append(ends[-1] + len(keys[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), lists], ["doc_id", "n_shingles", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), some.column(2), lists], ["doc_id", "n_shingles", "set_id", "text_hash", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, text_hash long, keys array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +149,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id of every row: which rows are linked, directly or through others.
+    """doc_id, n_shingles, component_id, label, text_hash of every row: which rows are linked, directly or through others.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing: their component is
     their own id. Rows with equal sets are linked. component_id is the smallest id of the component (nulls don't
@@ -163,7 +163,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         return written(df, tag, made[-1])
 
     base = keep(sets_and_regions(docs, words, percent, id_col, text_col), "sets")
-    rows = keep(base.select("doc_id", "n_shingles", "set_id"), "rows")
+    rows = keep(base.select("doc_id", "n_shingles", "set_id", "text_hash"), "rows")
     met = base.select("set_id", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     regions = met.withColumn("pivot", F.min("set_id").over(by_key)).withColumn("last", F.max("set_id").over(by_key)).where("pivot < last").select("key", "set_id", "pivot")
@@ -217,9 +217,30 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     ids = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     named = ids.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_set = named.join(smallest, "label").select("set_id", "component_id")
+    of_set = named.join(smallest, "label").select("set_id", "component_id", "label")
     joined = rows.join(of_set, "set_id", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label", "text_hash")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one document of each component: the one with the smallest id (null ids come last).
+
+    Documents without words belong to no component and all stay.
+    """
+    found = jaccard_components(docs, words, percent, id_col, text_col)
+    who = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    stay = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(who).alias("w")).select("w.doc_id", "w.text_hash")
+    loose = found.where(F.col("label").isNull()).select("doc_id", "text_hash").distinct()
+    keys = written(stay.unionByName(loose).select(F.xxhash64("doc_id", "text_hash").alias("__keep")), "stay")
+    mine = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    marked = docs.withColumn("__keep", mine)
+    kept = marked.join(keys, "__keep", "left_semi").select("__keep", *[marked[c] for c in docs.columns])
+    # Only where an id comes with one text more than once is another row left to go.
+    if found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("__keep").orderBy("__keep"))
+        wordless = F.coalesce(F.length(F.regexp_replace(text_col, r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
+        kept = kept.withColumn("__first", first).where((F.col("__first") == 1) | wordless)
+    return kept.select(*[kept[c] for c in docs.columns])
 
 
 def within_windows(pairs: DataFrame, tested: DataFrame, percent: int) -> DataFrame:

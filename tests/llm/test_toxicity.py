@@ -56,7 +56,7 @@ def test_edges(spark):
     assert len(out) == 5 and all(r.score == 0 and r.predicted == 0 for r in out)
     odd = spark.createDataFrame([(3, None, "t"), (None, 1, "t"), (4, 7, "t"), (2, 1, "t"), (2, 0, "t")], "doc_id long, toxic int, text string")
     assert score_toxicity(docs, train(docs, odd)).count() == 5
-    many = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "you vile thing").otherwise("a fine day").alias("text"), F.lit(1).alias("cosines"))
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.when(F.col("id") % 4 == 0, "you vile thing").otherwise("a fine day"), F.translate((F.col("id") * 7919).cast("string"), "0123456789", "qwertzuiop")).alias("text"), F.lit(1).alias("cosines"))
     got = score_toxicity(many, train(many, many.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))).collect()
     assert all(r.predicted == (r.doc_id % 4 == 0) for r in got)
     assert all(r.neighbours and r.terms for r in got)
