@@ -5,12 +5,13 @@ facts: fact_id, doc_id, type, entities array<string>, date, amount string, polar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave import lexicons as lx
 from folioweave.functions.text import amount_key
+from folioweave.session import settled
 
 
 def postings(facts: DataFrame) -> DataFrame:
@@ -86,24 +87,14 @@ def edges(facts: DataFrame, n_facts: Column | None = None, hub: int = lx.HUB, to
     return pairs.select("a", "b", "score", edge_label(F.col("fa.polarity"), F.col("fb.polarity")).alias("label"), (F.col("fa.doc_id") != F.col("fb.doc_id")).alias("cross_doc"), *[F.round(c, 3).alias(c) for c in ("entity", "time", "text", "same")])
 
 
-def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, its lineage cut by a reliable checkpoint; the folder is the cluster's, or one of this machine where none is named."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioweave-"))
-    return df.checkpoint()
-
-
 def clusters(links: DataFrame) -> DataFrame:
     """AGG17: (node, cluster): connected components of (a, b), named by their smallest node.
 
     Rounds of two star operations: every node links its larger neighbours, then its smaller ones, to the smallest node
     it knows. Each round rewrites the edges, so chains collapse in a logarithmic number of rounds.
     """
-    spark = links.sparkSession
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    now = checkpointed(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
         around = pairs.select("u", "v").union(pairs.select("v", "u")) if larger else pairs
@@ -115,7 +106,7 @@ def clusters(links: DataFrame) -> DataFrame:
         return moved.union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     while True:
-        nxt = checkpointed(spark, star(star(now, True), False))
+        nxt = settled(star(star(now, True), False))
         changed = nxt.exceptAll(now).limit(1).count() + now.exceptAll(nxt).limit(1).count()
         now = nxt
         if not changed:

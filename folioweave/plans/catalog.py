@@ -12,6 +12,7 @@ from folioweave.functions.spans import exploded
 from folioweave.functions.text import html_escaped, label, normal_name, trimmed
 from folioweave.operators import facts as fx
 from folioweave.operators import graph as g
+from folioweave.operators import parties as pt
 from folioweave.operators import segment as sg
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
@@ -279,6 +280,12 @@ def page_kinds(spark, sf_dir):  # noqa: ANN001, ANN201
     return page_units(spark, sf_dir).join(raw, "doc_id").groupBy(kind.alias("page_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def document_parties(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The party ladder over whole documents; captions are tested in Python."""
+    return pt.party_results(table(spark, sf_dir, "documents")).select("doc_id", "tier", "confidence", "profile", F.size("parties").alias("n_parties"))
+
+
 # ---------------------------------------------------------------- names, symbols, vectors
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any size; partition counts are left to the cluster and to adaptive execution.
 DEFAULTS = {
@@ -27,3 +27,20 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once, its lineage cut by a reliable checkpoint.
+
+    The folder is the one that the cluster names in spark.checkpoint.dir; one of this machine is set only where that is unset.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import atexit
+        import shutil
+        import tempfile
+
+        own = tempfile.mkdtemp(prefix="folioweave-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
+    return df.checkpoint()
