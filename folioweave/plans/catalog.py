@@ -14,6 +14,7 @@ from folioweave.operators import facts as fx
 from folioweave.operators import graph as g
 from folioweave.operators import parties as pt
 from folioweave.operators import segment as sg
+from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
 from folioweave.plans import fixtures
@@ -172,6 +173,37 @@ def events_tree(spark, sf_dir):  # noqa: ANN001, ANN201
     return vw.tree(facts).select("fact_id", "doc_id", "section_label", "position", "n_in_heading")
 
 
+@query("SELECT user_id AS doc_id, count_if(event_type = 'view') AS n_view, count_if(event_type = 'click') AS n_click, count_if(event_type = 'purchase') AS n_purchase FROM events GROUP BY 1")
+def events_kind_counts(spark, sf_dir):  # noqa: ANN001, ANN201
+    return sm.kind_counts(event_facts(spark, sf_dir), "doc_id", "type", ["view", "click", "purchase"])
+
+
+@query("SELECT user_id AS doc_id, min(event_id) AS first, count(*) AS n, dense_rank() OVER (ORDER BY min(event_id)) AS place FROM events GROUP BY user_id")
+def events_groups_in_order(spark, sf_dir):  # noqa: ANN001, ANN201
+    return sm.grouped_in_order(event_facts(spark, sf_dir), "doc_id", "fact_id").withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_roles FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def orders_unstable_roles(spark, sf_dir):  # noqa: ANN001, ANN201
+    return sm.unstable_names(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query("WITH f AS (SELECT user_id, event_id AS s, event_id + 60 AS e FROM events WHERE event_type = 'purchase') SELECT user_id AS doc_id, count(*) AS n, count_if(EXISTS (SELECT 1 FROM f WHERE f.user_id = d.user_id AND f.s <= d.event_id AND d.event_id + 5 <= f.e)) AS n_covered FROM events d WHERE event_type = 'error' GROUP BY 1")
+def events_coverage(spark, sf_dir):  # noqa: ANN001, ANN201
+    e = table(spark, sf_dir, "events").withColumn("doc_id", F.col("user_id"))
+    spans_ = e.where("event_type = 'purchase'").select("doc_id", F.col("event_id").alias("char_start"), (F.col("event_id") + 60).alias("char_end"))
+    found = e.where("event_type = 'error'").select("doc_id", F.col("event_id").alias("start"), (F.col("event_id") + 5).alias("end"))
+    return sm.coverage(found, spans_, ["doc_id"])
+
+
+@query("WITH f AS (SELECT event_id AS fact_id, user_id AS doc_id, event_id AS s, event_id + 50 AS e FROM events WHERE event_type = 'purchase'), p AS (SELECT user_id, event_id AS s, event_id + 30 + (event_id % 7) * 60 AS e FROM events WHERE event_type = 'view'), m AS (SELECT fact_id, min((-(least(f.e, p.e) - greatest(f.s, p.s)), p.s, p.e)) AS b FROM f JOIN p ON p.user_id = f.doc_id AND least(f.e, p.e) > greatest(f.s, p.s) GROUP BY 1) SELECT fact_id, doc_id, CASE WHEN b[3] - b[2] <= 300 THEN b[2] ELSE s END AS char_start, CASE WHEN b[3] - b[2] <= 300 THEN b[3] ELSE e END AS char_end FROM f LEFT JOIN m USING (fact_id)")
+def events_refined_bounds(spark, sf_dir):  # noqa: ANN001, ANN201
+    e = table(spark, sf_dir, "events").withColumn("doc_id", F.col("user_id"))
+    f = e.where("event_type = 'purchase'").select(F.col("event_id").alias("fact_id"), "doc_id", F.col("event_id").alias("char_start"), (F.col("event_id") + 50).alias("char_end"))
+    p = e.where("event_type = 'view'").select("doc_id", F.col("event_id").alias("start"), (F.col("event_id") + 30 + (F.col("event_id") % 7) * 60).alias("end"))
+    return sm.refined(f, p, ["doc_id"])
+
+
 # ---------------------------------------------------------------- conversations
 
 
@@ -253,6 +285,13 @@ def document_trimmed(spark, sf_dir):  # noqa: ANN001, ANN201
     return table(spark, sf_dir, "documents").select("doc_id", trimmed(F.col("text"), 300).alias("trimmed"))
 
 
+@query("WITH m AS (" + " UNION ALL ".join(_SPAN.format(kind=k, pattern=p) for k, p in (("AMOUNT", "[0-9]{4,}"), ("CASE_NUMBER", "[A-Z]{5,}"))) + """) SELECT doc_id, coalesce(list_sort(list_distinct(list(raw) FILTER (kind = 'AMOUNT'))), []) AS amounts, coalesce(list_sort(list_distinct(list(raw) FILTER (kind = 'CASE_NUMBER'))), []) AS case_numbers FROM m GROUP BY 1""")
+def document_summaries(spark, sf_dir):  # noqa: ANN001, ANN201
+    docs = table(spark, sf_dir, "documents")
+    found = exploded(docs, "[0-9]{4,}", "AMOUNT", ["doc_id"]).unionByName(exploded(docs, "[A-Z]{5,}", "CASE_NUMBER", ["doc_id"]))
+    return sm.document_summary(found).select("doc_id", "amounts", "case_numbers")
+
+
 @query()
 def document_sentences(spark, sf_dir):  # noqa: ANN001, ANN201
     """Paragraphs and sentences of whole documents; the folds of the splitter are tested in Python."""

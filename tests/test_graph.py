@@ -8,6 +8,7 @@ from folioweave.operators import facts as fx
 from folioweave.operators import graph as g
 from folioweave.operators import mentions as mt
 from folioweave.operators import segment as sg
+from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
 from folioweave.plans.fixtures import BUNDLE, bundle_units
@@ -130,3 +131,11 @@ def test_units_without_text(spark):
     units = spark.createDataFrame([("d", None), ("e", "")], "doc_id string, text string")
     assert mt.mentions(units, ["doc_id"]).count() == 0
     assert sg.sentences(sg.paragraphs(units, ["doc_id"]), ["doc_id"]).count() == 0
+
+
+def test_statutes_and_labels(spark):
+    rows = spark.createDataFrame([("k", "Section 49", "Advocates Act, 1961"), ("l", "Section 7a", "Other Act"), ("m", "Section 1", None)], "key string, section string, act string")
+    law = spark.createDataFrame([("Advocates Act", "49", "text of it"), ("Advocates Act, 1961", "49", "text of it"), ("Third Act", "1", "no")], "act string, section string, text string")
+    assert {r.key: r.statute_lookup for r in sm.with_statutes(rows, law).collect()} == {"k": "text of it", "l": None, "m": None}
+    names = spark.createDataFrame([("NOTICE",), ("ODD_KIND",)], "t string").select(sm.friendly(F.col("t")).alias("f")).collect()
+    assert [r.f for r in names] == ["Notice", "Odd Kind"]
