@@ -98,7 +98,7 @@ def graph_conflicts(spark, sf_dir):  # noqa: ANN001, ANN201
     return vw.conflicts(g.edges(facts), facts).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_FACTS} SELECT (SELECT count(*) FROM facts) AS n_facts, (SELECT count(*) * (count(*) - 1) // 2 FROM facts) AS naive_pairs, (SELECT count(*) FROM cand) AS candidate_pairs, count(*) AS n_edges, count_if(cross_doc) AS cross_doc, count_if(label = 'POTENTIAL_CONFLICT') AS conflicts, round(100 - 100.0 * (SELECT count(*) FROM cand) / (SELECT count(*) * (count(*) - 1) // 2 FROM facts), 4) AS reduction FROM edges")
+@query(f"WITH {_FACTS} SELECT (SELECT count(*) FROM facts) AS n_facts, (SELECT count(*) * (count(*) - 1) // 2 FROM facts) AS naive_pairs, (SELECT count(*) FROM cand) AS candidate_pairs, count(*) AS n_edges, count_if(cross_doc)::BIGINT AS cross_doc, count_if(label = 'POTENTIAL_CONFLICT')::BIGINT AS conflicts, round(100 - 100.0 * (SELECT count(*) FROM cand) / (SELECT count(*) * (count(*) - 1) // 2 FROM facts), 4) AS reduction FROM edges")
 def graph_report(spark, sf_dir):  # noqa: ANN001, ANN201
     facts = order_facts(spark, sf_dir)
     n = facts.agg(F.count(F.lit(1)).alias("n_facts")).withColumn("naive_pairs", F.expr("n_facts * (n_facts - 1) div 2"))
@@ -167,13 +167,13 @@ def events_dashboard(spark, sf_dir):  # noqa: ANN001, ANN201
     return vw.dashboard(facts, "case").withColumnRenamed("case", "doc_id")
 
 
-@query("SELECT event_id AS fact_id, user_id AS doc_id, event_type AS section_label, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts::DATE, event_id) AS position, count(*) OVER (PARTITION BY user_id, event_type) AS n_in_heading FROM events")
+@query("SELECT event_id AS fact_id, user_id AS doc_id, event_type AS section_label, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts::DATE, event_id)::INTEGER AS position, count(*) OVER (PARTITION BY user_id, event_type) AS n_in_heading FROM events")
 def events_tree(spark, sf_dir):  # noqa: ANN001, ANN201
     facts = event_facts(spark, sf_dir).withColumns({"section_label": F.col("type"), "page": F.col("date"), "paragraph_no": F.lit(None).cast("int"), "char_start": F.col("fact_id")})
     return vw.tree(facts).select("fact_id", "doc_id", "section_label", "position", "n_in_heading")
 
 
-@query("SELECT user_id AS doc_id, count_if(event_type = 'view') AS n_view, count_if(event_type = 'click') AS n_click, count_if(event_type = 'purchase') AS n_purchase FROM events GROUP BY 1")
+@query("SELECT user_id AS doc_id, count_if(event_type = 'view')::BIGINT AS n_view, count_if(event_type = 'click')::BIGINT AS n_click, count_if(event_type = 'purchase')::BIGINT AS n_purchase FROM events GROUP BY 1")
 def events_kind_counts(spark, sf_dir):  # noqa: ANN001, ANN201
     return sm.kind_counts(event_facts(spark, sf_dir), "doc_id", "type", ["view", "click", "purchase"])
 
@@ -188,7 +188,7 @@ def orders_unstable_roles(spark, sf_dir):  # noqa: ANN001, ANN201
     return sm.unstable_names(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("WITH f AS (SELECT user_id, event_id AS s, event_id + 60 AS e FROM events WHERE event_type = 'purchase') SELECT user_id AS doc_id, count(*) AS n, count_if(EXISTS (SELECT 1 FROM f WHERE f.user_id = d.user_id AND f.s <= d.event_id AND d.event_id + 5 <= f.e)) AS n_covered FROM events d WHERE event_type = 'error' GROUP BY 1")
+@query("WITH f AS (SELECT user_id, event_id AS s, event_id + 60 AS e FROM events WHERE event_type = 'purchase') SELECT user_id AS doc_id, count(*) AS n, count_if(EXISTS (SELECT 1 FROM f WHERE f.user_id = d.user_id AND f.s <= d.event_id AND d.event_id + 5 <= f.e))::BIGINT AS n_covered FROM events d WHERE event_type = 'error' GROUP BY 1")
 def events_coverage(spark, sf_dir):  # noqa: ANN001, ANN201
     e = table(spark, sf_dir, "events").withColumn("doc_id", F.col("user_id"))
     spans_ = e.where("event_type = 'purchase'").select("doc_id", F.col("event_id").alias("char_start"), (F.col("event_id") + 60).alias("char_end"))
@@ -214,7 +214,7 @@ def conversation_roles(spark, sf_dir):  # noqa: ANN001, ANN201
     return out.select("conv_id", "turn", F.col("role").alias("carried"), "role_confidence")
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS paragraph_no, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS char_start FROM conversations")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS paragraph_no, (sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(text) - 1)::BIGINT AS char_start FROM conversations")
 def conversation_offsets(spark, sf_dir):  # noqa: ANN001, ANN201
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     n = F.length("text") + 1
