@@ -11,11 +11,13 @@ pivots divide these regions:
    range". A set may leave out its k - D - 1 emptiest ranges; if even its empty ranges are more than that, it also
    joins the regions of its prefix shingles. Sizes are handled in classes; a set near its class's upper end joins the
    next class too, as only there it can meet larger partners.
-2. In each region the pivot is the smallest set id. Distances to the pivot are exact. Members in one component need not
-   meet: a region whose members are all connected is finished, however many they are.
-3. Regions that are left divide recursively: small ones join exactly, pair by pair between components; in large ones
-   further pivots are drawn from the components that aren't settled, meet all members that the triangle inequality
-   allows, and leave. This ends when what is left of each region is one component.
+2. In each region the pivot is the smallest set id. Distances to the pivot are exact; members within the threshold
+   link to it. A region whose members are all connected is finished, however many they are.
+3. In the regions that are left, a member with too few shingles that any other such member has can't link any more.
+   What stays divides again: regions that share members form a group, the group's pivot gives each member a distance,
+   and bands of it, as wide as the threshold, are the cells. By the triangle inequality a member meets its own cell and,
+   as a replica in the window, the next one. Cells join exactly, block by block, in memory; only links between members
+   that aren't connected yet come out.
 
 Equal sets count once throughout. Pairs are compared by whole sets, so no link is lost and none is invented.
 """
@@ -35,10 +37,8 @@ from folioweave.llm.common import drop_written, free_shuffles, fresh_path, table
 from folioweave.llm.components import components
 from folioweave.llm.hashing import mixed, shingles, word_hashes
 
-#: Members of a region up to which its pairs between components are all compared at once.
-LEAF = 64
-#: Pivots that a larger region takes in each further round.
-PIVOTS = 32
+#: Members of a block of a cell.
+BLOCK = 512
 RATIO = 1.5
 
 
@@ -127,8 +127,8 @@ def sets_and_regions(docs: DataFrame, words: int, percent: int, id_col: str, tex
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, text_hash long, keys array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared, either, linked) of distinct pairs (a, b), by whole sets."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, all_sizes: bool = False) -> DataFrame:
+    """(a, b, shared, either, linked) of distinct pairs (a, b), by whole sets; pairs whose sizes can't link only if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +144,11 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("u"), F.col("n").alias("nu")), "a")
     with_b = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("v"), F.col("n").alias("nv")), "b")
     # Sizes alone rule out pairs whose smaller set is below percent of the larger.
-    fit = with_b.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    fit = with_b if all_sizes else with_b.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
     return fit.select("a", "b", "u", "v").mapInArrow(run, "a long, b long, shared long, either long, linked boolean")
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, label, text_hash of every row: which rows are linked, directly or through others.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing: their component is
@@ -188,32 +188,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     tested = keep(compared(regions.where("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct(), sets, percent), "links")
     links = tested.where("linked").select("a", "b")
     labels = keep(components(links), "labels")
-    members = regions.select("key", "set_id", (F.col("set_id") == F.col("pivot")).alias("done"))
-    while True:
-        # What is left of a region: members that were no pivot yet, if they aren't all in one component.
-        named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        open_now = named.where(~F.col("done"))
-        split = open_now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        left = keep(open_now.join(split.select("key", "m"), "key"), "open")
-        if left.limit(1).count() == 0:
-            break
-        small = left.where(F.col("m") <= leaf)
-        pairs = small.alias("p").join(small.alias("q"), "key").where("p.set_id < q.set_id AND p.label <> q.label").select(F.col("p.set_id").alias("a"), F.col("q.set_id").alias("b"))
-        # Large regions: pivots from the smallest components first, so that what stays is one component soonest.
-        size = left.where(F.col("m") > leaf).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "label", "set_id"))
-        ranked = size.withColumn("rank", rank)
-        chosen = keep(ranked.where(F.col("rank") <= pivots).select("key", F.col("set_id").alias("x"), F.col("label").alias("lx")), "pivots")
-        apart = chosen.join(left.select("key", "set_id", "label"), "key").where("lx <> label")
-        pairs = pairs.union(apart.select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b"))).distinct()
-        fresh = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = within_windows(fresh, tested, percent)
-        now = keep(compared(fresh, sets, percent), "links")
-        tested = tested.unionByName(now)
-        links = links.union(now.where("linked").select("a", "b"))
-        labels = keep(components(links), "labels")
-        rest = left.where(F.col("m") > leaf).select("key", "set_id")
-        members = keep(rest.join(chosen.select("key", F.col("x").alias("set_id")), ["key", "set_id"], "left_anti").withColumn("done", F.lit(False)), "members")
+    open_members = _open(regions.select("key", "set_id").distinct(), labels)
+    waiting = keep(open_members.select("set_id").distinct(), "waiting")
+    if waiting.limit(1).count():
+        alive = keep(_with_shared_shingles(waiting, sets, percent), "alive")
+        left = keep(_open(regions.join(alive, "set_id", "left_semi").select("key", "set_id").distinct(), labels), "open")
+        more = keep(_cells(left, sets, percent, block), "links")
+        labels = keep(components(links.union(more)), "labels")
     ids = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     named = ids.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -222,6 +203,99 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     return joined.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label", "text_hash")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, set_id, label) of the regions whose members (key, set_id) aren't in one component."""
+    named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return named.join(split, "key").select("key", "set_id", "label")
+
+
+def _with_shared_shingles(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(set_id) of the sets of which at least `percent` of the shingles occur in another one of them, too."""
+    # Shingles travel packed: a row for each batch of sets and range of hashes.
+    ranges = max(16, -(-waiting.count() // 2000))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(1)]
+                h = np.concatenate(lists)
+                ids = np.repeat(some.column(0).to_numpy(), [len(x) for x in lists])
+                part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
+                h, ids = h[order], ids[order]
+                cols = [np.arange(ranges, dtype=np.int32), [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["part", "h", "ids"])
+
+    def counted(group: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("h")])
+        ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column("ids")])
+        _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+        names, k = np.unique(ids[n[which] > 1], return_counts=True)  # a set holds a shingle once
+        return pa.table({"set_id": names, "shared": k.astype(np.int64)})
+
+    chosen = sets.join(waiting, "set_id", "left_semi")
+    shared = chosen.select("set_id", "hashes").mapInArrow(dealt, "part int, h binary, ids binary").groupBy("part").applyInArrow(counted, "set_id long, shared long")
+    total = shared.groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    return chosen.select("set_id", "n").join(total, "set_id").where(100 * F.col("shared") >= percent * F.col("n")).select("set_id")
+
+
+def _cells(left: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between members of open regions that aren't connected yet."""
+    star = left.withColumn("a", F.min("set_id").over(Window.partitionBy("key"))).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    groups = components(star).select(F.col("node").alias("set_id"), F.col("label").alias("grp"))
+    near = compared(groups.where("grp <> set_id").select(F.col("grp").alias("a"), F.col("set_id").alias("b")), sets, percent, all_sizes=True)
+    # Band numbers in whole arithmetic: distance / threshold = 100 * (either - shared) / (either * (100 - percent)).
+    band = F.expr(f"cast(100 * (either - shared) div (either * {100 - percent}) as int)")
+    bands = near.select(F.col("b").alias("set_id"), band.alias("band"))
+    placed = groups.join(bands, "set_id", "left").withColumn("band", F.coalesce("band", F.lit(0)))
+    sizes = placed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    rows = placed.join(sizes, "grp").join(left.select("set_id", "label").distinct(), "set_id").join(sets, "set_id").withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("nb") - 1)
+    own = rows.select("grp", F.col("band").alias("cell"), F.col("blk").alias("i"), F.explode(other).alias("j"), "set_id", "label", "n", "hashes")
+    meets = rows.withColumn("cell", F.explode(F.array("band", F.col("band") - 1))).where("cell >= 0")
+    guests = meets.select(F.col("grp").alias("y_grp"), F.col("cell").alias("y_cell"), F.explode(other).alias("y_i"), F.col("blk").alias("y_j"), *[F.col(c).alias(f"y_{c}") for c in ("set_id", "label", "n", "hashes")])
+
+    def join(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = _links(x, y, percent) if x.num_rows and y.num_rows else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["grp", "cell", "i", "j"]
+    return own.groupBy(*keys).cogroup(guests.groupBy(*[f"y_{k}" for k in keys])).applyInArrow(join, "a long, b long")
+
+
+def _links(x: pa.Table, y: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links between the sets of two blocks, as far as they connect what isn't connected by then."""
+    ids, labels, sizes = y.column("y_set_id").to_numpy(), y.column("y_label").to_numpy(), y.column("y_n").to_numpy()
+    lists = [np.frombuffer(h.as_buffer(), np.uint64) for h in y.column("y_hashes")]
+    tokens, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(h) for h in lists])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.get(k, k) != k:
+            root[k] = k = root.get(root[k], root[k])
+        return k
+
+    out_a, out_b = [], []
+    for k, label, n, raw in zip(x.column("set_id").to_pylist(), x.column("label").to_pylist(), x.column("n").to_pylist(), x.column("hashes"), strict=True):
+        h = np.frombuffer(raw.as_buffer(), np.uint64)
+        lo, hi = np.searchsorted(tokens, h, "left"), np.searchsorted(tokens, h, "right")
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        inter = np.bincount(owner[at], minlength=len(lists))
+        for j in np.flatnonzero((100 * inter >= percent * (n + sizes - inter)) & (labels != label)).tolist():
+            u, v = find(label), find(int(labels[j]))
+            if u != v:
+                root[u] = v
+                out_a.append(k)
+                out_b.append(int(ids[j]))
+    return out_a, out_b
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one document of each component: the one with the smallest id (null ids come last).
 
@@ -243,25 +317,13 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     return kept.select(*[kept[c] for c in docs.columns])
 
 
-def within_windows(pairs: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Without pairs that the triangle inequality rules out: both were compared with one pivot, at distances that differ by more than the threshold."""
-    d = (F.lit(1.0) - F.col("shared") / F.col("either")).alias("d")
-    # Each set's smallest pivot is its reference; only distances to the same pivot compare.
-    ref = tested.groupBy("b").agg(F.min(F.struct("a", d)).alias("r")).select(F.col("b").alias("s"), F.col("r.a").alias("p"), F.col("r.d").alias("d"))
-    x = ref.select(F.col("s").alias("a"), F.col("p").alias("pa"), F.col("d").alias("da"))
-    y = ref.select(F.col("s").alias("b"), F.col("p").alias("pb"), F.col("d").alias("db"))
-    both = pairs.join(x, "a", "left").join(y, "b", "left")
-    far = (F.col("pa") == F.col("pb")) & (F.abs(F.col("da") - F.col("db")) > (100 - percent) / 100 + 1e-9)
-    return both.where(~F.coalesce(far, F.lit(False))).select("a", "b")
-
-
 def op4(spark, sf_dir):  # noqa: ANN001, ANN201
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[]

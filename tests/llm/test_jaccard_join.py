@@ -69,8 +69,8 @@ def test_pairs_that_link_share_a_region():
                     assert np.intersect1d(region_keys(a, percent), region_keys(b, percent)).size, (n, percent, len(a), len(b))
 
 
-@pytest.mark.parametrize(("leaf", "pivots"), [(64, 32), (3, 2)])
-def test_chains_and_shared_passages(spark, leaf, pivots):
+@pytest.mark.parametrize("block", [512, 4])
+def test_chains_and_shared_passages(spark, block):
     rng = random.Random(5)
     rows = []
     for n in (6, 9, 20, 60, 200):
@@ -79,8 +79,8 @@ def test_chains_and_shared_passages(spark, leaf, pivots):
     passage = " ".join(f"p{i}" for i in range(60))
     rows += [(rng.randrange(10**6), f"{passage} {' '.join(f'q{rng.randrange(10**6)}' for _ in range(rng.randrange(0, 12)))}") for _ in range(25)]
     rng.shuffle(rows)
-    assert result(spark, rows, leaf=leaf, pivots=pivots) == brute(rows)
-    if leaf == 64:
+    assert result(spark, rows, block=block) == brute(rows)
+    if block == 4:
         assert result(spark, rows, words=5, percent=80) == brute(rows, 5, 80)
 
 
