@@ -160,7 +160,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
 
     def keep(df: DataFrame, tag: str) -> DataFrame:
         made.append(fresh_path(spark, tag))
-        return written(df, tag, made[-1])
+        out = written(df, tag, made[-1])
+        free_shuffles(spark)
+        return out
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("tid"), text.alias("text"))
@@ -170,7 +172,6 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     place = F.struct("tid", "lo")
     shared = found.withColumn("a", F.min(place).over(by_q)).withColumn("b", F.max(place).over(by_q)).where("a <> b").select("q", "ctx", "tid", "lo", "n")
     shared = keep(shared, "shared")
-    free_shuffles(spark)
     placed = shared.join(firsts, "tid")
     earliest = placed.groupBy("q", "ctx").agg(F.min(F.struct("first", "tid", "lo", "n")).alias("r"))
     earliest = keep(earliest, "earliest")
@@ -191,10 +192,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["q", "first", "tid", "lo", "raw"])
 
     cut_out = keep(cut.mapInArrow(pieces, "q long, first long, tid long, lo int, raw binary").distinct(), "pieces")
-    free_shuffles(spark)
     repeats = keep(cut_out.repartition("q").sortWithinPartitions("q").mapInArrow(_sorted_pieces(width), "tid long, lo int, n int"), "repeats")
     drop_written(spark, *[p for p in made if "/shared-" in p or "/earliest-" in p or "/pieces-" in p])
-    free_shuffles(spark)
     spans = copies.unionByName(repeats).groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     of_first = firsts.join(spans, "tid", "left").select(F.xxhash64("first", "tid").alias("k"), F.lit(True).alias("is_first"), "runs")
     joined = rows.select("doc_id", "text", own.alias("k")).join(of_first, "k", "left")
