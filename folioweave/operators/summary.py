@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioweave.operators.facts import KEYS, uncovered
 
@@ -21,9 +20,8 @@ def kind_counts(rows: DataFrame, key: str, kind: str, kinds: list[str]) -> DataF
 
 
 def grouped_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """AGG16: groups in the order in which their keys are first seen, with their sizes."""
-    groups = rows.groupBy(key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    return groups.withColumn("place", F.dense_rank().over(Window.orderBy("first")))
+    """AGG16: groups with their sizes and where each is first seen, by which they are ordered."""
+    return rows.groupBy(key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first")
 
 
 def unstable_names(rows: DataFrame, name: str, role: str) -> DataFrame:

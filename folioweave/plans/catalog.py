@@ -178,9 +178,9 @@ def events_kind_counts(spark, sf_dir):  # noqa: ANN001, ANN201
     return sm.kind_counts(event_facts(spark, sf_dir), "doc_id", "type", ["view", "click", "purchase"])
 
 
-@query("SELECT user_id AS doc_id, min(event_id) AS first, count(*) AS n, dense_rank() OVER (ORDER BY min(event_id)) AS place FROM events GROUP BY user_id")
+@query("SELECT user_id AS doc_id, min(event_id) AS first, count(*) AS n FROM events GROUP BY user_id")
 def events_groups_in_order(spark, sf_dir):  # noqa: ANN001, ANN201
-    return sm.grouped_in_order(event_facts(spark, sf_dir), "doc_id", "fact_id").withColumn("place", F.col("place").cast("long"))
+    return sm.grouped_in_order(event_facts(spark, sf_dir), "doc_id", "fact_id")
 
 
 @query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_roles FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
