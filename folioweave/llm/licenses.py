@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of lines that speak of a license. A block is compressed alone and once with each template as
-a zstandard raw dictionary; templates are ranked by how much the size falls. In that order, a winner has to confirm by
-its exact wording: the word differences between the block and the template's notices are taken, and the block is `exact`
-if a notice stands in it word for word, `modified` if at least SIMILAR of the notice's words stand there in order.
+a zstandard raw dictionary; templates are ranked by how much the size falls near the triggers. The rank only orders: each
+template, whatever it saves, has to confirm by its exact wording: the word differences between the block and the
+template's notices are taken, and the block is `exact` if a notice stands in it word for word, `modified` if at least
+SIMILAR of the notice's words stand there in order.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.common import table
 
-#: A template whose dictionary saves less than this share of the block can't be a winner.
-MIN_SAVED = 0.08
 SIMILAR = 0.8
 #: Lines without a trigger that a block may hold between lines with one.
 GAP = 2
@@ -114,15 +113,16 @@ class Scanner:
 
         self.names = sorted(by_license)
         self.notices = {k: [words(t) for t in by_license[k]] for k in self.names}
+        self.longest = max(len(t) for texts in by_license.values() for t in texts)
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict("\n".join(by_license[k]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k in self.names}
         self.cache: dict[str, list[tuple]] = {}
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
-        raw = block.encode()
+        """All templates; prose far from the triggers would drown what a short notice saves, so only their surroundings count."""
+        raw = _near_triggers(block, self.longest).encode()
         base = len(self.alone.compress(raw))
-        saved = [((base - len(c.compress(raw))) / base, k) for k, c in self.given.items()]
-        return sorted((-s, k) for s, k in saved if s >= MIN_SAVED)
+        return sorted(((len(c.compress(raw)) - base) / base, k) for k, c in self.given.items())
 
     def confirm(self, block: str, name: str) -> tuple[str, float, list[str], list[str]] | None:
         """Kind, share of the notice found, its words that are missing and the block's words between; the best notice counts."""
@@ -157,6 +157,16 @@ class Scanner:
         return out
 
 
+def _near_triggers(block: str, reach: int) -> str:
+    spans: list[list[int]] = []
+    for m in _TRIGGER.finditer(block):
+        if spans and m.start() - reach <= spans[-1][1]:
+            spans[-1][1] = m.end() + reach
+        else:
+            spans.append([max(0, m.start() - reach), m.end() + reach])
+    return "\n".join(block[a:b] for a, b in spans) or block
+
+
 def _find(have: list[str], notice: list[str]) -> int | None:
     n = len(notice)
     for i in range(len(have) - n + 1):

@@ -1,3 +1,5 @@
+import random
+
 from folioweave.llm.licenses import OPENINGS, candidate_blocks, scan_licenses, templates
 
 SCHEMA = "doc_id long, text string, license string, rank string"
@@ -34,3 +36,23 @@ def test_blocks_and_edges(spark):
     rows = [(None, "Released under the MIT License."), (1, None), (2, ""), (3, "Released under the MIT License."), (3, "Released under the MIT License."), (4, long)]
     assert [x[:3] for x in found(spark, rows)] == [(3, "MIT", "exact"), (3, "MIT", "exact"), (4, "MIT", "exact"), (None, "MIT", "exact")]
     assert found(spark, []) == []
+
+
+def prose(rng, n):
+    """Words of random letters, n characters or a little more: nothing that compresses away."""
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) + " "
+    return out
+
+
+def test_short_notices_in_long_paragraphs(spark):
+    rng = random.Random(4)
+    notices = {"MIT": ["Released under the MIT License.", OPENINGS["MIT"]], "Apache-2.0": ["Licensed under the Apache License, Version 2.0."]}
+    docs, want = [], []
+    for spdx, texts in notices.items():
+        for n in texts:
+            for size in (200, 400, 600, 2000, 2900, 8000):
+                docs.append((len(docs), prose(rng, size / 2) + n + " " + prose(rng, size / 2)))
+                want.append((docs[-1][0], spdx, "exact"))
+    assert [x[:3] for x in found(spark, docs)] == sorted(want, key=str)
