@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines that speak of a license. A block is compressed alone and once with each template as
+Candidate blocks are runs of lines that speak of a license; wording is looked for in them and in as many words on both
+sides as a changed copy of the longest notice can take, so a wrapped notice keeps its head and tail. A block is compressed alone and once with each template as
 a zstandard raw dictionary; templates are ranked by how much the size falls near the triggers. The rank only orders: each
 template, whatever it saves, has to confirm by its exact wording: the word differences between the block and the
 template's notices are taken, and the block is `exact` if a notice stands in it word for word, `modified` if at least
@@ -9,8 +10,10 @@ SIMILAR of the notice's words stand there in order.
 
 from __future__ import annotations
 
-import difflib
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from folioweave.llm.common import table
 
 SIMILAR = 0.8
+#: Notices of fewer words count only word for word.
+LEAST_WORDS = 5
 #: Lines without a trigger that a block may hold between lines with one.
 GAP = 2
 #: A line that is longer is cut to this many characters on each side of its triggers.
@@ -64,7 +69,8 @@ OPENINGS = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
-TRIGGER = r"(?i)licen[sc]e|permission\s+(is\s+hereby|to\s+use)|redistribution\s+and\s+use|public\s+domain|warrant(y|ies)|\bcc[ -]by\b|\bcc0\b|creative\s+commons|copyright|released\s+under|distributed\s+under|terms\s+of\s+the"
+#: Words may be parted by line ends and comment signs.
+TRIGGER = r"(?i)licen[sc]e|permission\W+(is\W+hereby|to\W+use)|redistribution\W+and\W+use|public\W+domain|warrant(y|ies)|\bcc\W+by\b|\bcc0\b|creative\W+commons|copyright|released\W+under|distributed\W+under|terms\W+of\W+the"
 _TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 
@@ -84,9 +90,15 @@ def words(text: str) -> list[str]:
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
     """Spans of whole runs of lines around triggers; very long lines count only near their triggers."""
     spans: list[list[int]] = []
-    at, quiet = 0, GAP + 1
+    triggers = [m.span() for m in _TRIGGER.finditer(text)]
+    at, quiet, k = 0, GAP + 1, 0
     for line in text.split("\n"):
-        found = [m.span() for m in _TRIGGER.finditer(line)]
+        found = []
+        while k < len(triggers) and triggers[k][0] <= at + len(line):
+            found.append((max(0, triggers[k][0] - at), min(len(line), triggers[k][1] - at)))
+            if triggers[k][1] > at + len(line):  # it goes on in the next line
+                break
+            k += 1
         if found and len(line) > 2 * REACH:
             for a, b in found:
                 lo, hi = at + max(0, a - REACH), at + min(len(line), b + REACH)
@@ -114,9 +126,10 @@ class Scanner:
         self.names = sorted(by_license)
         self.notices = {k: [words(t) for t in by_license[k]] for k in self.names}
         self.longest = max(len(t) for texts in by_license.values() for t in texts)
+        self.most = max(len(n) for notices in self.notices.values() for n in notices)
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict("\n".join(by_license[k]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k in self.names}
-        self.cache: dict[str, list[tuple]] = {}
+        self.cache: dict[bytes, list[tuple]] = {}
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """All templates; prose far from the triggers would drown what a short notice saves, so only their surroundings count."""
@@ -124,39 +137,79 @@ class Scanner:
         base = len(self.alone.compress(raw))
         return sorted(((len(c.compress(raw)) - base) / base, k) for k, c in self.given.items())
 
-    def confirm(self, block: str, name: str) -> tuple[str, float, list[str], list[str]] | None:
-        """Kind, share of the notice found, its words that are missing and the block's words between; the best notice counts."""
-        have, best = words(block), None
-        for notice in self.notices[name]:
-            at = _find(have, notice)
-            if at is not None:
-                got = (1.0, len(notice), "exact", [], [])
+    def matches(self, have: list[str]) -> list[tuple]:
+        """License, kind, share of the notice found, its length, first word and end, its words that are missing and the words between."""
+        at: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(have):
+            at[w].append(i)
+        out = []
+        for name in self.names:
+            for notice in self.notices[name]:
+                n = len(notice)
+                if sum(w in at for w in notice) < (SIMILAR * n if n >= LEAST_WORDS else n):
+                    continue
+                exact = [i for i in at.get(notice[0], ()) if have[i : i + n] == notice]
+                out += [(name, "exact", 1.0, n, i, i + n, [], []) for i in exact]
+                if n >= LEAST_WORDS:
+                    taken = [(i, i + n) for i in exact]
+                    out += [(name, "modified", m / n, n, i, j, *_differences(have[i:j], notice)) for m, i, j in _modified(have, at, notice, taken)]
+        return out
+
+    def scan(self, text: str) -> list[tuple]:
+        """Block, its start and end with all that it confirms, then license, rank, saved, kind, share, missing, between."""
+        cores = candidate_blocks(text)
+        if not cores:
+            return []
+        found = list(_WORD.finditer(text))
+        starts, ends = [m.start() for m in found], [m.end() for m in found]
+        runs: list[list[int]] = []
+        reach = 2 * self.most
+        for a, b in cores:
+            lo, hi = max(0, bisect_right(ends, a) - reach), min(len(found), bisect_left(starts, b) + reach)
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = max(hi, runs[-1][1])
             else:
-                got = _aligned(have, notice)
-            if got and (best is None or got[:2] > best[:2]):
-                best = got
-        return None if best is None else (best[2], best[0], best[3], best[4], best[1])
-
-    def scan(self, block: str) -> list[tuple]:
-        if (got := self.cache.get(block)) is not None:
-            return got
+                runs.append([lo, hi])
+        of: dict[int, list[tuple]] = defaultdict(list)
+        for lo, hi in runs:
+            if lo == hi:
+                continue
+            key = hashlib.blake2b(text[starts[lo] : ends[hi - 1]].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if (got := self.cache.get(key)) is None:
+                got = self.matches([m.group().lower() for m in found[lo:hi]])
+                if len(self.cache) < CACHE:
+                    self.cache[key] = got
+            for m in got:
+                a, b = starts[lo + m[4]], ends[lo + m[5] - 1]
+                of[_owner(cores, a, b)].append((*m[:4], a, b, *m[6:]))
+        return self.confirmed(text, cores, of)
+
+    def confirmed(self, text: str, cores: list[tuple[int, int]], of: dict[int, list[tuple]]) -> list[tuple]:
         out = []
-        for rank, (saved, name) in enumerate(self.ranked(block), 1):
-            if (c := self.confirm(block, name)) is not None:
-                out.append((name, rank, -saved, *c))
-        # A notice inside a longer one of another license is not evidence of its own: exact wording goes first, then length.
-        exact = [o for o in out if o[3] == "exact"]
-        if exact:
-            out = exact
-        else:
-            top = max((o[4] for o in out), default=0)
-            out = [o for o in out if o[4] == top][:1]
-        out = _outermost(out, self.notices, words(block))
-        if len(self.cache) < CACHE:
-            self.cache[block] = out
+        for k in sorted(of):
+            lo, hi = min(cores[k][0], *(m[4] for m in of[k])), max(cores[k][1], *(m[5] for m in of[k]))
+            ranks = {name: (rank, -saved) for rank, (saved, name) in enumerate(self.ranked(text[lo:hi]), 1)}
+            kept: dict[str, tuple] = {}
+            for m in sorted(of[k], key=lambda m: (m[1], -m[2], -m[3], ranks[m[0]][0], m[4])):
+                if not any(o[0] != m[0] and o[4] <= m[4] and m[5] <= o[5] for o in kept.values()):
+                    kept.setdefault(m[0], m)
+            if any(m[1] == "exact" for m in kept.values()):
+                rows = [m for m in kept.values() if m[1] == "exact"]
+            else:
+                rows = list(kept.values())[:1]
+            lo, hi = min(cores[k][0], *(m[4] for m in rows)), max(cores[k][1], *(m[5] for m in rows))
+            out += [(k, lo, hi, m[0], *ranks[m[0]], *m[1:3], *m[6:]) for m in sorted(rows, key=lambda m: ranks[m[0]][0])]
         return out
 
 
+def _owner(cores: list[tuple[int, int]], a: int, b: int) -> int:
+    """The first block that the span a to b touches, or else the nearest."""
+    k = next((k for k in range(max(0, bisect_right(cores, (a, a)) - 1), len(cores)) if cores[k][1] > a), len(cores) - 1)
+    if cores[k][0] < b or k == 0:
+        return k
+    return k if cores[k][0] - b < a - cores[k - 1][1] else k - 1
+
+
 def _near_triggers(block: str, reach: int) -> str:
     spans: list[list[int]] = []
     for m in _TRIGGER.finditer(block):
@@ -167,40 +220,56 @@ def _near_triggers(block: str, reach: int) -> str:
     return "\n".join(block[a:b] for a, b in spans) or block
 
 
-def _find(have: list[str], notice: list[str]) -> int | None:
-    n = len(notice)
-    for i in range(len(have) - n + 1):
-        if have[i] == notice[0] and have[i : i + n] == notice:
-            return i
-    return None
-
-
-def _aligned(have: list[str], notice: list[str]) -> tuple | None:
-    """The notice's words in order inside the block, within twice the notice's length; at least SIMILAR of them."""
-    if len(notice) < 5 or len(set(notice) & set(have)) < SIMILAR * len(set(notice)):
-        return None
-    m = difflib.SequenceMatcher(None, have, notice, autojunk=False)
-    runs = [b for b in m.get_matching_blocks() if b.size]
-    matched = sum(b.size for b in runs)
-    if not runs or matched < SIMILAR * len(notice) or runs[-1].a + runs[-1].size - runs[0].a > 2 * len(notice):
-        return None
-    missing, between = [], []
-    for tag, a0, a1, b0, b1 in m.get_opcodes():
-        if tag != "equal":
-            missing += notice[b0:b1]
-            between += have[max(a0, runs[0].a) : min(a1, runs[-1].a + runs[-1].size)]
-    return (matched / len(notice), len(notice), "modified", missing, between)
-
+def _modified(have: list[str], at: dict[str, list[int]], notice: list[str], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Words found, start and end of places apart from each other and from those taken, the best ones first.
 
-def _outermost(found: list[tuple], notices: dict[str, list[list[str]]], have: list[str]) -> list[tuple]:
-    """Without licenses all of whose exact places lie inside a longer exact notice of another license."""
-    places = {o[0]: {(i, i + len(n)) for n in notices[o[0]] for i in range(len(have)) if have[i : i + len(n)] == n} for o in found if o[3] == "exact"}
+    A place holds at least SIMILAR of the notice's words in order, within twice the notice's length.
+    """
+    n = len(notice)
+    bits: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(notice):
+        bits[w] |= 1 << i
+    hits = sorted((i, b) for w, b in bits.items() for i in at.get(w, ()))
+    full, found, end = (1 << n) - 1, [], 0
+    for k, (start, _) in enumerate(hits):
+        while end < len(hits) and hits[end][0] < start + 2 * n:
+            end += 1
+        if end - k < SIMILAR * n:
+            continue
+        row, most, last = full, 0, start
+        for i, b in hits[k:end]:  # common subsequence by bit-parallel rows
+            hit = row & b
+            row = (row + hit) | (row - hit)
+            if (m := n - (row & full).bit_count()) > most:
+                most, last = m, i
+        if most >= SIMILAR * n:
+            found.append((-most, last + 1 - start, start))
+    out = []
+    for less, length, start in sorted(found):
+        if all(start + length <= a or b <= start for a, b in taken):
+            taken.append((start, start + length))
+            out.append((-less, start, start + length))
+    return out
 
-    def inside(name: str) -> bool:
-        others = [p for k, v in places.items() if k != name for p in v]
-        return all(any(a <= x and y <= b and b - a > y - x for a, b in others) for x, y in places[name])
 
-    return [o for o in found if o[3] != "exact" or not inside(o[0])]
+def _differences(have: list[str], notice: list[str]) -> tuple[list[str], list[str]]:
+    """The notice's words that are missing and the words between, by a longest common subsequence."""
+    rest = [[0] * (len(notice) + 1) for _ in range(len(have) + 1)]
+    for i in range(len(have) - 1, -1, -1):
+        for j in range(len(notice) - 1, -1, -1):
+            rest[i][j] = rest[i + 1][j + 1] + 1 if have[i] == notice[j] else max(rest[i + 1][j], rest[i][j + 1])
+    i = j = 0
+    missing, between = [], []
+    while i < len(have) and j < len(notice):
+        if have[i] == notice[j]:
+            i, j = i + 1, j + 1
+        elif rest[i + 1][j] >= rest[i][j + 1]:
+            between.append(have[i])
+            i += 1
+        else:
+            missing.append(notice[j])
+            j += 1
+    return missing + notice[j:], between + have[i:]
 
 
 @lru_cache(maxsize=1)
@@ -214,7 +283,7 @@ SCHEMA = "doc_id long, block int, char_start long, char_end long, license string
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate block and license that it confirms, with the differences in wording.
 
-    Offsets are code points of the document. Blocks without a confirmed license give no row, nor do null and empty
+    Offsets are code points of the document and take in all of a notice that starts before or ends after the block's lines. Blocks without a confirmed license give no row, nor do null and empty
     texts. Repeated rows each give their rows; a null id is kept. Extra columns are not read.
     """
 
@@ -226,8 +295,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = []
             for d, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
-                for k, (a, b) in enumerate(candidate_blocks(text)):
-                    rows += [(d.as_py(), k, a, b, name, rank, saved, kind, share, missing, between) for name, rank, saved, kind, share, missing, between, _ in scanner.scan(text[a:b])]
+                rows += [(d.as_py(), *found) for found in scanner.scan(text)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

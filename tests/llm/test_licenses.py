@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from folioweave.llm.licenses import OPENINGS, candidate_blocks, scan_licenses, templates
 
@@ -56,3 +57,24 @@ def test_short_notices_in_long_paragraphs(spark):
                 docs.append((len(docs), prose(rng, size / 2) + n + " " + prose(rng, size / 2)))
                 want.append((docs[-1][0], spdx, "exact"))
     assert [x[:3] for x in found(spark, docs)] == sorted(want, key=str)
+
+
+def test_wrapped_notices_keep_head_and_tail(spark):
+    docs, want = [], []
+    for spdx, text in OPENINGS.items():
+        for width in (24, 60, 72, 80):
+            for sign in ("", "# ", " * "):
+                lines = textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False)
+                docs.append((len(docs), "one two three\n\n" + "\n".join(sign + x for x in lines) + "\n\nfour five six"))
+                want.append((docs[-1][0], spdx, "exact"))
+    got = found(spark, docs)
+    assert [x[:3] for x in got if x[2] == "exact"] == sorted(want, key=str)
+    text = dict(docs)
+    assert all("three" not in text[d][a:b] and "four" not in text[d][a:b] for d, *_, a, b in got)
+
+
+def test_changed_notice_in_a_long_line(spark):
+    rng = random.Random(5)
+    changed = OPENINGS["GPL-3.0"].replace("This program", "Thing").replace("any later version", "a later one")
+    (row,) = found(spark, [(1, "the license of this program: " + prose(rng, 1000) + changed + " " + prose(rng, 1000) + "this software, as said, is free")])
+    assert row[:3] == (1, "GPL-3.0", "modified")
