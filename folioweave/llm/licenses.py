@@ -126,6 +126,7 @@ class Scanner:
         self.names = sorted(by_license)
         self.notices = {k: [words(t) for t in by_license[k]] for k in self.names}
         self.longest = max(len(t) for texts in by_license.values() for t in texts)
+        self.vocabulary = {k: {w for n in notices for w in n} for k, notices in self.notices.items()}
         self.most = max(len(n) for notices in self.notices.values() for n in notices)
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict("\n".join(by_license[k]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k in self.names}
@@ -138,7 +139,7 @@ class Scanner:
         return sorted(((len(c.compress(raw)) - base) / base, k) for k, c in self.given.items())
 
     def matches(self, have: list[str]) -> list[tuple]:
-        """License, kind, share of the notice found, its length, first word and end, its words that are missing and the words between."""
+        """License, kind, share of the notice found, its length, first word and end, its words that are missing, the words between, and where its words stand."""
         at: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(have):
             at[w].append(i)
@@ -149,10 +150,10 @@ class Scanner:
                 if sum(w in at for w in notice) < (SIMILAR * n if n >= LEAST_WORDS else n):
                     continue
                 exact = [i for i in at.get(notice[0], ()) if have[i : i + n] == notice]
-                out += [(name, "exact", 1.0, n, i, i + n, [], []) for i in exact]
+                out += [(name, "exact", 1.0, n, i, i + n, [], [], range(i, i + n)) for i in exact]
                 if n >= LEAST_WORDS:
                     taken = [(i, i + n) for i in exact]
-                    out += [(name, "modified", m / n, n, i, j, *_differences(have[i:j], notice)) for m, i, j in _modified(have, at, notice, taken)]
+                    out += [(name, "modified", m / n, n, i, j, *_differences(have, i, j, notice)) for m, i, j in _modified(have, at, notice, taken)]
         return out
 
     def scan(self, text: str) -> list[tuple]:
@@ -161,7 +162,7 @@ class Scanner:
         if not cores:
             return []
         found = list(_WORD.finditer(text))
-        starts, ends = [m.start() for m in found], [m.end() for m in found]
+        have, starts, ends = [m.group().lower() for m in found], [m.start() for m in found], [m.end() for m in found]
         runs: list[list[int]] = []
         reach = 2 * self.most
         for a, b in cores:
@@ -176,29 +177,38 @@ class Scanner:
                 continue
             key = hashlib.blake2b(text[starts[lo] : ends[hi - 1]].encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if (got := self.cache.get(key)) is None:
-                got = self.matches([m.group().lower() for m in found[lo:hi]])
+                got = self.matches(have[lo:hi])
                 if len(self.cache) < CACHE:
                     self.cache[key] = got
             for m in got:
                 a, b = starts[lo + m[4]], ends[lo + m[5] - 1]
-                of[_owner(cores, a, b)].append((*m[:4], a, b, *m[6:]))
-        return self.confirmed(text, cores, of)
-
-    def confirmed(self, text: str, cores: list[tuple[int, int]], of: dict[int, list[tuple]]) -> list[tuple]:
+                of[_owner(cores, a, b)].append((*m[:4], a, b, *m[6:8], range(lo + m[4], lo + m[5]), [lo + i for i in m[8]]))
+        return self.confirmed(text, have, cores, of)
+
+    def confirmed(self, text: str, have: list[str], cores: list[tuple[int, int]], of: dict[int, list[tuple]]) -> list[tuple]:
+        """For each block the best place of each license.
+
+        A place that shares words with better places of other licenses counts only by a word of its own: one outside them
+        that no notice of those licenses has.
+        """
+        ranks: dict[int, dict[str, tuple[int, float]]] = {}
+        for k, found in of.items():
+            lo, hi = min(cores[k][0], *(m[4] for m in found)), max(cores[k][1], *(m[5] for m in found))
+            ranks[k] = {name: (rank, -saved) for rank, (saved, name) in enumerate(self.ranked(text[lo:hi]), 1)}
+        better: dict[int, set[str]] = defaultdict(set)
+        kept: dict[int, dict[str, tuple]] = defaultdict(dict)
+        # Exact wording goes first, then the share found, then length, then rank.
+        for k, m in sorted(((k, m) for k, found in of.items() for m in found), key=lambda x: (x[1][1], -x[1][2], -x[1][3], ranks[x[0]][x[1][0]][0], x[1][4])):
+            others = {o for i in m[9] for o in better[i] if o != m[0]}
+            if not others or any(not better[i] - {m[0]} and not any(have[i] in self.vocabulary[o] for o in others) for i in m[9]):
+                for i in m[8]:
+                    better[i].add(m[0])
+                kept[k].setdefault(m[0], m)
         out = []
-        for k in sorted(of):
-            lo, hi = min(cores[k][0], *(m[4] for m in of[k])), max(cores[k][1], *(m[5] for m in of[k]))
-            ranks = {name: (rank, -saved) for rank, (saved, name) in enumerate(self.ranked(text[lo:hi]), 1)}
-            kept: dict[str, tuple] = {}
-            for m in sorted(of[k], key=lambda m: (m[1], -m[2], -m[3], ranks[m[0]][0], m[4])):
-                if not any(o[0] != m[0] and o[4] <= m[4] and m[5] <= o[5] for o in kept.values()):
-                    kept.setdefault(m[0], m)
-            if any(m[1] == "exact" for m in kept.values()):
-                rows = [m for m in kept.values() if m[1] == "exact"]
-            else:
-                rows = list(kept.values())[:1]
+        for k in sorted(kept):
+            rows = sorted(kept[k].values(), key=lambda m: ranks[k][m[0]][0])
             lo, hi = min(cores[k][0], *(m[4] for m in rows)), max(cores[k][1], *(m[5] for m in rows))
-            out += [(k, lo, hi, m[0], *ranks[m[0]], *m[1:3], *m[6:]) for m in sorted(rows, key=lambda m: ranks[m[0]][0])]
+            out += [(k, lo, hi, m[0], *ranks[k][m[0]], *m[1:3], *m[6:8]) for m in rows]
         return out
 
 
@@ -252,24 +262,25 @@ def _modified(have: list[str], at: dict[str, list[int]], notice: list[str], take
     return out
 
 
-def _differences(have: list[str], notice: list[str]) -> tuple[list[str], list[str]]:
-    """The notice's words that are missing and the words between, by a longest common subsequence."""
-    rest = [[0] * (len(notice) + 1) for _ in range(len(have) + 1)]
-    for i in range(len(have) - 1, -1, -1):
+def _differences(have: list[str], start: int, end: int, notice: list[str]) -> tuple[list[str], list[str], list[int]]:
+    """The notice's words that are missing, the words between, and the places of those found, by a longest common subsequence."""
+    rest = [[0] * (len(notice) + 1) for _ in range(start, end + 1)]
+    for i in range(end - 1, start - 1, -1):
         for j in range(len(notice) - 1, -1, -1):
-            rest[i][j] = rest[i + 1][j + 1] + 1 if have[i] == notice[j] else max(rest[i + 1][j], rest[i][j + 1])
-    i = j = 0
-    missing, between = [], []
-    while i < len(have) and j < len(notice):
+            rest[i - start][j] = rest[i - start + 1][j + 1] + 1 if have[i] == notice[j] else max(rest[i - start + 1][j], rest[i - start][j + 1])
+    i, j = start, 0
+    missing, between, places = [], [], []
+    while i < end and j < len(notice):
         if have[i] == notice[j]:
+            places.append(i)
             i, j = i + 1, j + 1
-        elif rest[i + 1][j] >= rest[i][j + 1]:
+        elif rest[i - start + 1][j] >= rest[i - start][j + 1]:
             between.append(have[i])
             i += 1
         else:
             missing.append(notice[j])
             j += 1
-    return missing + notice[j:], between + have[i:]
+    return missing + notice[j:], between + have[i:end], places
 
 
 @lru_cache(maxsize=1)

@@ -78,3 +78,12 @@ def test_changed_notice_in_a_long_line(spark):
     changed = OPENINGS["GPL-3.0"].replace("This program", "Thing").replace("any later version", "a later one")
     (row,) = found(spark, [(1, "the license of this program: " + prose(rng, 1000) + changed + " " + prose(rng, 1000) + "this software, as said, is free")])
     assert row[:3] == (1, "GPL-3.0", "modified")
+
+
+def test_a_block_gives_all_its_licenses(spark):
+    bsd = OPENINGS["BSD-2-Clause"].replace("permitted provided that", "allowed if")
+    gpl = OPENINGS["GPL-3.0"].replace("any later version", "a later one")
+    apache = OPENINGS["Apache-2.0"].replace("except in compliance with", "but under")
+    docs = [(1, f"Licensed under the MIT License.\n{apache}"), (2, f"{bsd}\n{gpl}"), (3, f"Released under the MIT License.\nReleased under the ISC License.\n{bsd}"), (4, "Licensed under the GNU Lesser General Public License, version 2.1"), (5, "Released under the MIT License. See the license of the rest."), (6, "Licensed under the MIT License or the ISC License")]
+    want = [(1, "Apache-2.0", "modified"), (1, "MIT", "exact"), (2, "BSD-2-Clause", "modified"), (2, "GPL-3.0", "modified"), (3, "BSD-2-Clause", "modified"), (3, "ISC", "exact"), (3, "MIT", "exact"), (4, "LGPL-2.1", "exact"), (5, "MIT", "exact"), (6, "ISC", "modified"), (6, "MIT", "exact")]
+    assert [x[:3] for x in found(spark, docs)] == want
