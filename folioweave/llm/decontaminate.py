@@ -7,6 +7,9 @@ windows of every whole document. Where at least COVER of an item's words lie und
 the slots are compared: one value of the item must always meet one value of the document. Then the document holds the
 item, verbatim (all slots equal) or re-parameterised.
 
+Windows that are mostly placeholders match by their slots' values too. By their template alone they only widen a match
+that other windows of its alignment have made, so an item without any window rich in words is found verbatim only.
+
 The benchmark's windows are sent to the tasks in slices of at most SLICE_WORDS words each, so what is broadcast is
 bounded whatever the benchmark's size; each slice scans the documents once.
 """
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +122,10 @@ class Items:
         self.values: list[list[str]] = []
         self.ids: list[int] = []
         self.size: list[int] = []
+        #: Of each item, the starts of windows that are mostly placeholders; their hashes; and where their values stand.
+        self.poor: list[list[int]] = []
+        self.poor_hashes: set[int] = set()
+        self.by_values: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         table: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in rows:
             words = (text or "").split()
@@ -130,13 +137,19 @@ class Items:
             self.canon.append(codes)
             self.values.append(slot_values(words, at))
             self.size.append(size)
+            self.poor.append([])
             for pos, h in enumerate(windows(codes, size).tolist()):
-                # Windows that are mostly placeholders say nothing.
+                # Templates that are mostly placeholders say nothing by themselves.
                 if 2 * int((codes[pos : pos + size] > 33).sum()) >= size:
                     table[h].append((size, k, pos))
+                else:
+                    self.poor[k].append(pos)
+                    self.poor_hashes.add(h)
+                    self.by_values[tuple(self.values[k][pos : pos + size])].append((k, pos))
         self.table = dict(table)
         self.sizes = sorted(set(self.size))
-        self.hashes = np.array(sorted(table), np.uint64)
+        self.by_values = dict(self.by_values)
+        self.hashes = np.array(sorted(table.keys() | self.poor_hashes), np.uint64)
         bits = max(16, int(np.ceil(np.log2(len(self.hashes) + 1))) + 4)
         self.mask = np.uint64((1 << bits) - 1)
         self.filter = np.zeros(1 << bits, bool)
@@ -165,23 +178,38 @@ def judged(items: Items, k: int, pairs: list[tuple[int, int]], canon: np.ndarray
         for p, d in group:
             for j in range(size):
                 to.setdefault(p + j, d + j)
+        mapping: dict[tuple[int, str], str] = {}
+        if not _agree(items, k, to.items(), values, mapping):
+            continue
+        for by in sorted({d - p for p, d in group}):
+            for p in items.poor[k]:
+                if 0 <= p + by <= len(canon) - size and np.array_equal(items.canon[k][p : p + size], canon[p + by : p + by + size]):
+                    more = [(q, q + by) for q in range(p, p + size) if q not in to]
+                    if more and _agree(items, k, more, values, tried := dict(mapping)):
+                        mapping = tried
+                        to.update(more)
         if len(to) < cover * n:
             continue
-        mapping: dict[tuple[int, str], str] = {}
-        slots = changed = broken = 0
+        slots = changed = 0
         for p, d in to.items():
-            if (code := int(items.canon[k][p])) <= 33:
+            if int(items.canon[k][p]) <= 33:
                 slots += 1
-                was, now = items.values[k][p], values[d]
-                broken += mapping.setdefault((code, was), now) != now
-                changed += was != now
-        if not broken and (best is None or len(to) > best[0]):
+                changed += items.values[k][p] != values[d]
+        if best is None or len(to) > best[0]:
             best = (len(to), min(to.values()), {"slots": slots, "changed": changed})
     if best is None:
         return None
     return best[0] / n, best[1], best[2]["slots"], best[2]["changed"]
 
 
+def _agree(items: Items, k: int, pairs: Iterable[tuple[int, int]], values: list[str], mapping: dict[tuple[int, str], str]) -> bool:
+    """Whether each value of the item meets one value of the document; mapping gets them."""
+    for p, d in pairs:
+        if (code := int(items.canon[k][p])) <= 33 and mapping.setdefault((code, items.values[k][p]), values[d]) != values[d]:
+            return False
+    return True
+
+
 SCHEMA = "doc_id long, item_id long, coverage double, n_slots int, n_changed int, kind string, word_start long"
 KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
 
@@ -189,7 +217,7 @@ KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row and benchmark item that it holds: coverage of the item's words, slots, how many changed, kind.
 
-    Null and empty texts hold nothing; items of fewer than `min_words` canonical words, or without an id, take no part. Repeated rows
+    Items whose windows are all mostly placeholders are found verbatim, not re-parameterised. Null and empty texts hold nothing; items of fewer than `min_words` canonical words, or without an id, take no part. Repeated rows
     of a document each give their rows; repeated items with one id and text count once. A null doc_id is kept.
     Extra columns are not read. Empty tables give no rows.
     """
@@ -246,17 +274,28 @@ def _scan(ids: pa.Array, texts: pa.Array, items: Items, canon: Canon, cover: flo
     codes, at = canonical(canon.codes([w for words in split for w in words]), doc)
     doc = doc[at]
     hits: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    poor: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for size in items.sizes:
         h = windows(codes, size)
         maybe = np.flatnonzero(items.filter[(h & items.mask).astype(np.int64)])
         maybe = maybe[doc[maybe] == doc[maybe + size - 1]]
         for i in maybe[np.isin(h[maybe], items.hashes)].tolist():
-            for own, k, pos in items.table[int(h[i])]:
+            for own, k, pos in items.table.get(int(h[i]), ()):
                 if own == size:
                     hits[int(doc[i])][k].append((pos, i))
+            if int(h[i]) in items.poor_hashes:
+                poor[int(doc[i])].append((i, size))
     rows = []
     starts = np.searchsorted(doc, np.arange(len(split)))
     offsets = np.cumsum(n) - n
+    for d, places in poor.items():
+        values = slot_values(split[d], at[doc == d] - offsets[d])
+        for i, size in places:
+            first = i - int(starts[d])
+            for k, pos in items.by_values.get(tuple(values[first : first + size]), ()):
+                # Values alone don't tell a name from a word or a number of another kind.
+                if items.size[k] == size and np.array_equal(items.canon[k][pos : pos + size], codes[i : i + size]):
+                    hits[d][k].append((pos, i))
     for d, by_item in hits.items():
         own = doc == d
         base = int(starts[d])

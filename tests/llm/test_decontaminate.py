@@ -52,3 +52,13 @@ def test_edges(spark):
     docs = [(None, ITEM), (1, None), (2, ""), (3, "! ? ."), (4, ITEM), (4, ITEM), (5, "w " * 50_000 + ITEM)]
     assert [x[:2] for x in found(spark, docs, [(7, ITEM), (7, ITEM), (8, None), (None, ITEM), (9, "")])] == [(4, 7), (4, 7), (5, 7), (None, 7)]
     assert found(spark, [], [(7, ITEM)]) == [] and found(spark, docs, []) == []
+
+
+SUM = "What is 25 + 37 + 48 + 59 ?"
+DENSE = "A train leaves the old station every morning before dawn. It goes 12 km in 5 minutes, 18 km in 7 minutes, 21 km in 9 minutes, 33 km in 11 minutes, 40 km in 13 minutes and 52 km in 17 minutes."
+
+
+def test_items_of_mostly_placeholders(spark):
+    other = DENSE.replace("12 km", "14 km").replace("52 km", "55 km").replace("21 km", "29 km")
+    docs = [(1, f"so it was. {SUM} Then more."), (2, "so it was. What is 26 + 38 + 49 + 60 ? Then more."), (3, f"Text before. {DENSE} Text after."), (4, f"Text before. {other} Text after."), (5, "1 2 3 4 5 6 7 8 9 " * 500), (6, f"{SUM} {SUM}"), (7, DENSE[60:]), (8, "nothing")]
+    assert found(spark, docs, [(1, SUM), (2, DENSE)]) == [(1, 1, "verbatim", 0), (3, 2, "verbatim", 0), (4, 2, "reparameterised", 3), (6, 1, "verbatim", 0), (7, 2, "verbatim", 0)]
