@@ -30,8 +30,6 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.002
 CHUNK = 1 << 20
 UND = "und"
-#: No language has the majority below this.
-MIN_SCORE = 0.5
 
 
 @lru_cache(maxsize=1)
@@ -186,15 +184,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without rows whose language is undetermined or below `min_score`."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without rows whose language is undetermined; a low score alone drops none."""
     box = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [box.value.predict(x.as_py()) for x in batch.column(at)]
-            yield batch.filter(pa.array([lang != UND and score >= min_score for lang, score in got], pa.bool_()))
+            yield batch.filter(pa.array([lang != UND for lang, _ in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

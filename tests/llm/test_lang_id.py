@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from folioweave.llm import lang_id
-from folioweave.llm.lang_id import counts, identify, train
+from folioweave.llm.lang_id import DIM, Model, counts, identify, train, with_language
 
 SCHEMA = "doc_id long, text string, lang string, score double, h string"
 
@@ -62,3 +62,16 @@ def test_edges(spark):
     assert len(out) == 7 and sum(r.lang_pred == "und" for r in out) >= 3
     assert all(0 <= r.score <= 1 for r in out)
     assert identify(docs.limit(0), train(docs.limit(0))).count() == 0
+
+
+def test_with_language_keeps_low_scores(spark):
+    model = fit_many()
+    docs = spark.createDataFrame([(1, "lo"), (2, "12 34"), (3, None)], "doc_id long, text string")
+    lang, score = model.predict("lo")
+    assert lang != "und" and score < 0.5
+    assert [r.doc_id for r in with_language(docs, model).collect()] == [1]
+
+
+def fit_many():
+    """Many languages that tell nothing of the word."""
+    return Model([f"l{i}" for i in range(8)], np.ones(DIM), np.zeros((8, DIM)), np.zeros(8), 1.0)
