@@ -15,7 +15,6 @@ Parquet carries the payloads so that Spark's commit protocol and any store that
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,23 +23,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave.llm.common import drop_written, free_shuffles, fresh_path, table, written
+from folioweave.llm.encoder import Encoder
 
 MAX_BITS = 18
 INTERVAL = 256
 BLOCK_TOKENS = 262_144
-MEMO_WORDS = 600_000
-#: Texts are tokenised together up to this many characters.
-TOGETHER = 2_000_000
-COPIES = 2000
+#: Texts are tokenised together up to this many bytes.
+TOGETHER = 1_500_000
 HEAD = struct.Struct("<4sIIIQ")
-#: Three white-space characters around a blank: only there do pre-tokens cross a blank.
-UNSAFE = re.compile(r"\s \s")
 
 
 # ---------------------------------------------------------------- code lengths
@@ -178,95 +173,6 @@ def from_payload(payload: bytes, decoder: tuple[np.ndarray, np.ndarray, int]) ->
 # ---------------------------------------------------------------- tokenising
 
 
-class Encoder:
-    """A tokenizers file, with a memory of words.
-
-    The byte-level pre-tokeniser never joins text across a blank unless white space stands on both sides of it, so a
-    text is cut before each blank and every distinct piece of a batch is tokenised once. Pieces that come a second
-    time stay in a memory, which is emptied when it holds MEMO_WORDS pieces. Texts with such white space, and
-    tokenizers of another kind, are encoded whole.
-    """
-
-    def __init__(self, path: str) -> None:
-        import json
-
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
-        vocab = self.tok.get_vocab()
-        self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.memo: dict[str, bytes] = {}
-        self.met = bytearray(1 << 24)  # by hash: pieces and texts that have come before
-        self.copies: dict[bytes, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        """Pieces that follow a blank; many go through the library in one text, cut again at tokens that open with a blank."""
-        memo, width = self.memo, np.dtype(self.dtype).itemsize
-        easy = [w for w in words if w and not w[0].isspace()]
-        hard = [w for w in words if not w or w[0].isspace()]
-        groups = [easy[k : k + 2000] for k in range(0, len(easy), 2000)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            cuts = (np.flatnonzero(self.opens[ids]) * width).tolist()
-            if len(cuts) != len(group) or cuts[0]:
-                hard += group
-                continue
-            raw = ids.tobytes()
-            memo.update(zip(group, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
-        if hard:
-            memo.update(zip(hard, self.plain([" " + w for w in hard]), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes. A text that comes again is remembered from its second time on."""
-        keys = [xxhash.xxh3_128_digest(t) for t in texts]
-        new = [i for i, k in enumerate(keys) if k not in self.copies]
-        done = dict(zip(new, self.encode([texts[i] for i in new]), strict=True))
-        out = [done[i] if i in done else self.copies[k] for i, k in enumerate(keys)]
-        if len(self.copies) > COPIES:
-            self.copies.clear()
-        for i in new:
-            at = hash(keys[i]) & (len(self.met) - 1)
-            if self.met[at]:
-                self.copies[keys[i]] = out[i]
-            self.met[at] = 1
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        if not texts:
-            return out
-        whole = [i for i, t in enumerate(texts) if t and (not self.by_word or UNSAFE.search(t))]
-        for i, x in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        skip = set(whole)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if t and i not in skip}
-        first = self.plain([p[0] for p in cut.values()])
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        missing: set[str] = set()
-        for p in cut.values():
-            missing.update(set(p[1:]).difference(self.memo))
-        self.learn(list(missing))
-        for (i, p), head in zip(cut.items(), first, strict=True):
-            out[i] = head + b"".join(map(self.memo.__getitem__, p[1:]))
-        met, mask = self.met, len(self.met) - 1
-        for w in missing:
-            if not met[at := hash(w) & mask]:
-                met[at] = 1
-                del self.memo[w]
-        return out
-
-
 def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose texts have about `most` bytes together; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -302,25 +208,29 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, order: list[str]) -
 
         part = TaskContext.get().partitionId()
         enc = encoder(tokenizer_path(tokenizer))
-        width, end = np.dtype(enc.dtype).itemsize, np.array([end_id], enc.dtype).tobytes()
-        block, first, ids, lengths, parts, held = 0, 0, [], [], [], 0
+        block, first, doc_ids, lengths, parts, held = 0, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = [[part], [block], [first], [ids], [lengths], [b"".join(parts)]]
+            rows = [[part], [block], [first], [doc_ids], [lengths], [b"".join(parts)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["part", "block", "first", "doc_ids", "doc_lengths", "ids"])
 
         for batch in batches:
             for some in by_size(batch, 1, TOGETHER):
-                for d, raw in zip(some.column(0).to_pylist(), enc([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    ids.append(d)
-                    lengths.append(len(raw) // width + 1)
-                    parts += (raw, end)
-                    held += lengths[-1]
+                own, sizes, ids = some.column(0).to_pylist(), *enc(some.column(1), end_id)
+                ends = np.cumsum(sizes)
+                at = done = 0
+                while at < len(own):  # a block ends with the document that fills it
+                    to = min(len(own), int(np.searchsorted(ends, done + BLOCK_TOKENS - held)) + 1)
+                    doc_ids += own[at:to]
+                    lengths += sizes[at:to].tolist()
+                    parts.append(ids[done : ends[to - 1]].tobytes())
+                    held += int(ends[to - 1]) - done
+                    at, done = to, int(ends[to - 1])
                     if held >= BLOCK_TOKENS:
                         yield flush()
-                        block, first, ids, lengths, parts, held = block + 1, first + held, [], [], [], 0
-        if ids:
+                        block, first, doc_ids, lengths, parts, held = block + 1, first + held, [], [], [], 0
+        if doc_ids:
             yield flush()
 
     return docs.mapInArrow(encode, RAW)

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from folioweave.llm.common import fresh_path
-from folioweave.llm.token_files import Encoder, canonical_codes, decode_table, from_payload, limited_lengths, pack, read_token_files, to_payload, unpack, write_token_files
+from folioweave.llm.encoder import Encoder
+from folioweave.llm.token_files import canonical_codes, decode_table, from_payload, limited_lengths, pack, read_token_files, to_payload, unpack, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -53,10 +54,25 @@ def test_round_trip(ids):
     assert docs == [None, 5] and list(sizes) == [0, len(ids)] and (back == ids).all()
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([*" \n\t\u00a0\u2003aébC1'.<|>字", "<|endoftext|>", "  ", "'s"]), max_size=40).map("".join))
-def test_words_give_what_whole_texts_give(enc, text):
-    assert enc([text]) == enc.plain([text]) if text else enc([text]) == [b""]
+ALPHABET = [*" \n\t\r\u00a0\u2003\u2028\x00\x1c\x85aébC1²'.,<|>字×÷ɏɐªº\u00ad—’…\u205f🙂\u0301", "<|endoftext|>", "  ", "'s", "'ll", "'re", "x" * 30, "dés"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=30).map("".join), max_size=6))
+def test_pieces_give_what_whole_texts_give(enc, texts):
+    for _ in range(2):  # from the library, then from memory
+        sizes, ids = enc([*texts, None], 2)
+        want = [[*x, 2] for x in enc.plain([*texts, ""])]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_memory_starts_anew(enc, monkeypatch):
+    monkeypatch.setattr("folioweave.llm.encoder.MOST", 20)
+    small = Encoder(PATH)
+    for k in range(30):
+        text = " ".join(f"w{i}x yzz{i}" for i in range(k, k + 12))
+        assert small([text, text])[1].tolist() == enc.plain([text])[0] * 2
+    assert small.memory.kept <= 60
 
 
 def test_files(spark, sf):
