@@ -17,12 +17,14 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (a local session, as in tests) a folder of this machine is made and set.
+    Only where that is unset a folder of this machine is made, and only in a local session, as in tests.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="folioweave-")
         atexit.register(shutil.rmtree, _own_dir, True)
@@ -30,8 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses. What a result still reads there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    store, where = _located(spark, path)
+    _located(spark, shared_dir(spark))[0].mkdirs(where.getParent())
+    store.deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
@@ -42,12 +48,16 @@ def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def drop_written(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        store, where = _located(spark, path)
+        store.delete(where, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -67,6 +77,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def apart(df: DataFrame, name: str, check: str) -> DataFrame:
+    """df with another number in `name` wherever contents that differ in `check` had the same one.
+
+    Both are 64-bit hashes of a content: afterwards equal numbers mean contents that are equal in 128 bits. Nulls stay.
+    """
+    while True:
+        clash = df.groupBy(name).agg(F.min(check).alias("__least"), F.max(check).alias("__most")).where("__least < __most").select(name, "__least")
+        if not clash.limit(1).count():
+            return df
+        other = F.when(F.col(check) != F.col("__least"), F.xxhash64(name, check)).otherwise(F.col(name))
+        df = df.join(clash, name, "left").withColumn(name, other).select(*df.columns)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str, first: int = 0, pieces: int = 256) -> DataFrame:
     """df with a gapless number in each group, without ever sorting a whole group in one task.
 

@@ -1,7 +1,9 @@
-"""Connected components by repeated joins."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,27 +11,37 @@ from folioweave.llm.common import drop_written, fresh_path, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of edges (a, b).
+    """(node, label): the smallest node reachable, for every node of edges (a, b); written.
 
-    Each round, a node takes the smallest label of itself and its neighbours and then its label's label; a label
-    spreads over long chains in few rounds. Every round is written to the shared folder; nothing comes to the driver
-    but a count.
+    In each round a node goes to that of its neighbours that comes first, if that comes before itself, and edges are
+    redrawn between the nodes that are left; edges inside what is known to be connected vanish. The first round's order is
+    that of the nodes, so the members of a star around its smallest node meet at once; later ones flip random bits of the
+    nodes, which thins long chains by a constant share whatever their order. Rounds get smaller as they go, and so do the
+    maps from which labels are put together, the last first. Nothing comes to the driver but whether edges are left.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).where("x <> y").distinct()
-    both_path = fresh_path(spark, "edges")
-    both = written(both, "edges", both_path)
-    old = fresh_path(spark, "labels")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels", old)
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(heard, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("lower"))
-        new = fresh_path(spark, "labels")
-        step = written(lower.join(jump, "low").select("node", F.least("low", "lower").alias("label"), (F.least("low", "lower") < F.col("label")).alias("moved")), "labels", new)
-        moved = step.where("moved").limit(1).count()
-        drop_written(spark, old)
-        old, labels = new, step.select("node", "label")
-        if not moved:
-            drop_written(spark, both_path)
-            return labels
+    paths = [fresh_path(spark, "edges")]
+    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", paths[0])
+    maps: list[tuple[str, DataFrame]] = []
+    while links.limit(1).count():
+        flip = F.lit(random.Random(len(maps)).getrandbits(63) if maps else 0)
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a"))
+        first = ends.groupBy("node").agg(F.min(F.col("near").bitwiseXOR(flip)).alias("first"))
+        to = F.when(F.col("first") < F.col("node").bitwiseXOR(flip), F.col("first").bitwiseXOR(flip)).otherwise(F.col("node"))
+        path = fresh_path(spark, "map")
+        maps.append((path, written(first.select("node", to.alias("to")), "map", path)))
+        goes = maps[-1][1]
+        half = links.join(goes.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
+        drawn = half.join(goes.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        paths.append(fresh_path(spark, "edges"))
+        links = written(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", paths[-1])
+        drop_written(spark, paths.pop(0))
+    last = spark.createDataFrame([], "node long, last long")
+    for _, goes in reversed(maps):
+        last = goes.join(last.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("last", "to").alias("last"))
+    path = fresh_path(spark, "last")
+    last = written(last, "last", path)
+    paths.append(path)
+    out = written(last.join(last.groupBy("last").agg(F.min("node").alias("label")), "last").select("node", "label"), "labels")
+    drop_written(spark, *paths, *[p for p, _ in maps])
+    return out

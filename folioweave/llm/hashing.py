@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -30,6 +31,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A number for each byte at each of the first LONG places of a word. Sums of them tell words apart; polynomials modulo
+#: 2**64 don't, as some words of 1,024 letters and more agree in every base. Longer words are hashed one by one.
+LONG = 64
+_LETTERS = mixed(mixed(np.arange(LONG * 256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
+
+
 def prefix(buf: np.ndarray) -> np.ndarray:
     """Sums of byte * BASE**position before each position; differences give hashes of slices."""
     out = np.zeros(len(buf) + 1, np.uint64)
@@ -60,8 +67,13 @@ def _word_hashes(raw: bytes) -> np.ndarray:
     starts, ends = turns[::2], turns[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = prefix(buf)
-    return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(buf))[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    at = np.flatnonzero(~space[1:-1])
+    place = at - np.repeat(starts, size)
+    sums = np.add.reduceat(_LETTERS[(place & (LONG - 1)) << 8 | buf[at]], np.cumsum(size) - size)
+    for k in np.flatnonzero(size > LONG).tolist():
+        sums[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return mixed(sums + size.astype(np.uint64))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioweave.llm.common import drop_written, free_shuffles, fresh_path, table, written
+from folioweave.llm.common import apart, drop_written, free_shuffles, fresh_path, table, written
 from folioweave.llm.components import components
 from folioweave.llm.hashing import mixed, shingles, word_hashes
 
@@ -96,15 +96,18 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return shingles(word_hashes(text.encode().lower()), words) if text else np.zeros(0, np.uint64)
 
 
-def set_id(sets: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(sets.tobytes())).view(np.int64))
+def set_id(sets: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two hashes of a set; of the first one only some bits, if asked for."""
+    whole = xxhash.xxh3_128_intdigest(sets.tobytes())
+    low, high = np.array([whole & ((1 << bits) - 1), whole >> 64], np.uint64).view(np.int64).tolist()
+    return low, high
 
 
-def sets_and_regions(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_id, text_hash, keys; a set that a task has met before comes without keys."""
+def sets_and_regions(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, set_id and check (see set_id), text_hash, keys; a set that a task has met before comes without keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
@@ -112,7 +115,7 @@ def sets_and_regions(docs: DataFrame, words: int, percent: int, id_col: str, tex
                 for text in some.column(1):
                     s = shingle_set(text.as_py(), words)
                     n.append(len(s))
-                    ids.append(set_id(s) if len(s) else None)
+                    ids.append(set_id(s, bits) if len(s) else (None, None))
                     if len(s) and ids[-1] not in seen:
                         keys.append(region_keys(s, percent))
                         if len(seen) < 500_000:
@@ -121,39 +124,31 @@ def sets_and_regions(docs: DataFrame, words: int, percent: int, id_col: str, tex
                         keys.append(np.zeros(0, np.int64))
                     ends.append(ends[-1] + len(keys[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), some.column(2), lists], ["doc_id", "n_shingles", "set_id", "text_hash", "keys"])
+                low, high = (pa.array(x, pa.int64()) for x in zip(*ids, strict=True))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), low, high, some.column(2), lists], ["doc_id", "n_shingles", "set_id", "check", "text_hash", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, text_hash long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, check long, text_hash long, keys array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, all_sizes: bool = False) -> DataFrame:
     """(a, b, shared, either, linked) of distinct pairs (a, b), by whole sets; pairs whose sizes can't link only if asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inter, union = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                inter.append(int((v[at] == u).sum()))
-                union.append(len(u) + len(v) - inter[-1])
-            linked = [100 * i >= percent * u for i, u in zip(inter, union, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "either", "linked"])
-
     with_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("u"), F.col("n").alias("nu")), "a")
     with_b = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("v"), F.col("n").alias("nv")), "b")
     # Sizes alone rule out pairs whose smaller set is below percent of the larger.
     fit = with_b if all_sizes else with_b.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    return fit.select("a", "b", "u", "v").mapInArrow(run, "a long, b long, shared long, either long, linked boolean")
+    counted = fit.select("a", "b", F.size(F.array_intersect("u", "v")).cast("long").alias("shared"), (F.col("nu") + F.col("nv")).alias("both"))
+    out = counted.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("either"))
+    return out.withColumn("linked", 100 * F.col("shared") >= percent * F.col("either"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, label, text_hash of every row: which rows are linked, directly or through others.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing: their component is
     their own id. Rows with equal sets are linked. component_id is the smallest id of the component (nulls don't
     count; null if it has no other). Repeated rows each get their row. Extra columns are not read.
+    Sets are told apart by 128 bits, of which the first 64 are their number; fewer `bits` are for tests of collisions.
     """
     spark = docs.sparkSession
     made: list[str] = []
@@ -162,8 +157,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         made.append(fresh_path(spark, tag))
         return written(df, tag, made[-1])
 
-    base = keep(sets_and_regions(docs, words, percent, id_col, text_col), "sets")
-    rows = keep(base.select("doc_id", "n_shingles", "set_id", "text_hash"), "rows")
+    base = apart(keep(sets_and_regions(docs, words, percent, id_col, text_col, bits), "sets"), "set_id", "check")
+    rows = keep(base.select("doc_id", "n_shingles", "set_id", "check", "text_hash"), "rows")
     met = base.select("set_id", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     regions = met.withColumn("pivot", F.min("set_id").over(by_key)).withColumn("last", F.max("set_id").over(by_key)).where("pivot < last").select("key", "set_id", "pivot")
@@ -171,30 +166,35 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     drop_written(spark, made.pop(0))
     free_shuffles(spark)
     wanted = regions.select("set_id").distinct()
-    first = rows.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("__rep"))
+    first = rows.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "check")).alias("at"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
+            for number, check, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set(text.as_py(), words)
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([set_id(s)], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["set_id", "n", "hashes"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("__rep"), F.col(text_col).alias("text"))
-    held = texts.join(first.select("__rep").distinct(), texts["__rep"].eqNullSafe(first["__rep"]), "left_semi").select("text")
-    sets = keep(held.mapInArrow(again, "set_id long, n long, hashes binary").dropDuplicates(["set_id"]), "hashes")
+                if len(s) and set_id(s)[1] == check:
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(s)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s.view(np.int64)))], ["set_id", "n", "hashes"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    of = first.select("set_id", "at.doc_id", "at.text_hash", "at.check")
+    held = texts.join(of, texts["doc_id"].eqNullSafe(of["doc_id"]) & (texts["text_hash"] == of["text_hash"])).select("set_id", "check", "text")
+    sets = held.mapInArrow(again, "set_id long, n long, hashes array<long>")
+    # Only where a row is repeated is a set there more than once.
+    if rows.join(of, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() or rows.where("doc_id IS NULL").limit(1).count():
+        sets = sets.dropDuplicates(["set_id"])
+    sets = keep(sets, "hashes")
     free_shuffles(spark)
 
     tested = keep(compared(regions.where("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct(), sets, percent), "links")
     links = tested.where("linked").select("a", "b")
-    labels = keep(components(links), "labels")
+    labels = components(links)
     open_members = _open(regions.select("key", "set_id").distinct(), labels)
     waiting = keep(open_members.select("set_id").distinct(), "waiting")
     if waiting.limit(1).count():
         alive = keep(_with_shared_shingles(waiting, sets, percent), "alive")
         left = keep(_open(regions.join(alive, "set_id", "left_semi").select("key", "set_id").distinct(), labels), "open")
         more = keep(_cells(left, sets, percent, block), "links")
-        labels = keep(components(links.union(more)), "labels")
+        labels = components(links.union(more))
     ids = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     named = ids.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -219,9 +219,8 @@ def _with_shared_shingles(waiting: DataFrame, sets: DataFrame, percent: int) ->
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(1)]
-                h = np.concatenate(lists)
-                ids = np.repeat(some.column(0).to_numpy(), [len(x) for x in lists])
+                h = some.column(1).flatten().to_numpy().view(np.uint64)
+                ids = np.repeat(some.column(0).to_numpy(), some.column(1).value_lengths().to_numpy())
                 part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
@@ -269,8 +268,8 @@ def _cells(left: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFr
 def _links(x: pa.Table, y: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     """Links between the sets of two blocks, as far as they connect what isn't connected by then."""
     ids, labels, sizes = y.column("y_set_id").to_numpy(), y.column("y_label").to_numpy(), y.column("y_n").to_numpy()
-    lists = [np.frombuffer(h.as_buffer(), np.uint64) for h in y.column("y_hashes")]
-    tokens, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(h) for h in lists])
+    lists = y.column("y_hashes").combine_chunks()
+    tokens, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     root: dict[int, int] = {}
@@ -282,7 +281,7 @@ def _links(x: pa.Table, y: pa.Table, percent: int) -> tuple[list[int], list[int]
 
     out_a, out_b = [], []
     for k, label, n, raw in zip(x.column("set_id").to_pylist(), x.column("label").to_pylist(), x.column("n").to_pylist(), x.column("hashes"), strict=True):
-        h = np.frombuffer(raw.as_buffer(), np.uint64)
+        h = raw.values.to_numpy()
         lo, hi = np.searchsorted(tokens, h, "left"), np.searchsorted(tokens, h, "right")
         size = hi - lo
         at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
@@ -305,13 +304,13 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     who = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     stay = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(who).alias("w")).select("w.doc_id", "w.text_hash")
     loose = found.where(F.col("label").isNull()).select("doc_id", "text_hash").distinct()
-    keys = written(stay.unionByName(loose).select(F.xxhash64("doc_id", "text_hash").alias("__keep")), "stay")
-    mine = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    marked = docs.withColumn("__keep", mine)
-    kept = marked.join(keys, "__keep", "left_semi").select("__keep", *[marked[c] for c in docs.columns])
+    keys = written(stay.unionByName(loose).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "stay")
+    marked = docs.withColumns({"__own": F.col(id_col).cast("long"), "__text": F.xxhash64(text_col)})
+    same = marked["__own"].eqNullSafe(keys["__id"]) & (marked["__text"] == keys["__hash"])
+    kept = marked.join(keys, same, "left_semi")
     # Only where an id comes with one text more than once is another row left to go.
     if found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("__keep").orderBy("__keep"))
+        first = F.row_number().over(Window.partitionBy("__own", "__text").orderBy("__own"))
         wordless = F.coalesce(F.length(F.regexp_replace(text_col, r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
         kept = kept.withColumn("__first", first).where((F.col("__first") == 1) | wordless)
     return kept.select(*[kept[c] for c in docs.columns])
