@@ -96,3 +96,10 @@ def test_chunks_and_lines(spark):
     df = spark.createDataFrame([("d", "abcdefg"), ("e", "")], "doc_id string, text string")
     assert [(r.start, r.chunk) for r in sg.chunks(df, ["doc_id"], 3).where("doc_id = 'd'").orderBy("start").collect()] == [(0, "abc"), (3, "def"), (6, "g")]
     assert sg.lines(df, ["doc_id"]).count() == 2
+
+
+def test_spans_of_a_text_with_many_matches(spark):
+    text = "a1 b22 ccc\n" * 50_000
+    row = spark.createDataFrame([(text,)], "text string").select(spans(F.col("text"), "[0-9]+").alias("s")).selectExpr("size(s) AS n", "s[99999] AS last", "s[0] AS first").first()
+    assert row.n == 100_000 and (row.first.raw, row.first.start, row.first.end) == ("1", 1, 2)
+    assert (row.last.raw, row.last.start, row.last.end) == ("22", 11 * 49_999 + 4, 11 * 49_999 + 6)
