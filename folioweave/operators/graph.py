@@ -69,22 +69,25 @@ def edge_label(p1: Column, p2: Column) -> Column:
 
 
 def sparsified(pairs: DataFrame, top_k: int = lx.TOP_K, least: float = lx.MIN_SCORE) -> DataFrame:
-    """WIN1: pairs of at least `least` that are among the top_k of either end; equal scores go by the other end's id."""
+    """WIN1: pairs of at least `least` that are among the top_k of either end; equal scores go by the other end's id.
+
+    Each pair goes to both its ends with all its columns, so the pairs are computed once and nothing is joined back.
+    """
     good = pairs.where(F.col("score") >= least)
-    ends = good.select(F.col("a").alias("node"), F.col("b").alias("other"), "score").union(good.select("b", "a", "score"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "other"))
-    kept = ends.withColumn("r", rank).where(F.col("r") <= top_k).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return good.join(kept, ["a", "b"])
+    ends = good.withColumn("__end", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+    rank = F.row_number().over(Window.partitionBy("__end.node").orderBy(F.desc("score"), "__end.other"))
+    return ends.withColumn("__r", rank).where(F.col("__r") <= top_k).drop("__end", "__r").dropDuplicates(["a", "b"])
 
 
 def edges(facts: DataFrame, n_facts: Column | None = None, hub: int = lx.HUB, top_k: int = lx.TOP_K, least: float = lx.MIN_SCORE, gate: bool = False, similarity=None) -> DataFrame:  # noqa: ANN001
     """Postings to labelled edges: a, b, score, label, cross_doc and the score's parts. gate: only pairs that share an entity, JN16, after the top-k."""
     posts = postings(facts)
     n = n_facts if n_facts is not None else F.lit(facts.count())
-    pairs = sparsified(scored(facts, candidates(posts, hub), idf(posts, n).select("key", "idf"), similarity), top_k, least)
-    if gate:
-        pairs = pairs.where("share_entity")
-    return pairs.select("a", "b", "score", edge_label(F.col("fa.polarity"), F.col("fb.polarity")).alias("label"), (F.col("fa.doc_id") != F.col("fb.doc_id")).alias("cross_doc"), *[F.round(c, 3).alias(c) for c in ("entity", "time", "text", "same")])
+    rated = scored(facts, candidates(posts, hub), idf(posts, n).select("key", "idf"), similarity)
+    label = edge_label(F.col("fa.polarity"), F.col("fb.polarity")).alias("label")
+    slim = rated.select("a", "b", "score", label, (F.col("fa.doc_id") != F.col("fb.doc_id")).alias("cross_doc"), *[F.round(c, 3).alias(c) for c in ("entity", "time", "text", "same")], "share_entity")
+    pairs = sparsified(slim, top_k, least)
+    return (pairs.where("share_entity") if gate else pairs).drop("share_entity")
 
 
 def clusters(links: DataFrame) -> DataFrame:
