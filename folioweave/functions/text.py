@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioweave import lexicons as lx
+from folioweave.functions.fuzzy import Phrases
 
 
 def any_of(text: Column, phrases: tuple[str, ...] | list[str]) -> Column:
@@ -28,9 +30,8 @@ def normal_name(name: Column) -> Column:
 
 def amount_value(raw: Column) -> Column:
     """FN5: whole rupees of a figure with an optional scale; null if there is none."""
-    pattern = r"(?i)(?:Rs\.?|₹|INR)\s?(\d[\d,]*(?:\.\d+)?)(?:\s?(lakh|lakhs|crore|crores))?"
-    figure = F.regexp_replace(F.regexp_extract(raw, pattern, 1), ",", "").try_cast("double")
-    unit = F.lower(F.regexp_extract(raw, pattern, 2))
+    figure = F.regexp_replace(F.regexp_extract(raw, lx.AMOUNT_PARTS, 1), ",", "").try_cast("double")
+    unit = F.lower(F.regexp_extract(raw, lx.AMOUNT_PARTS, 2))
     scale = F.when(unit.startswith("lakh"), 1e5).when(unit.startswith("crore"), 1e7).otherwise(1.0)
     return F.bround(figure * scale).cast("long")
 
@@ -62,8 +63,8 @@ def amount_key(raw: Column) -> Column:
 
 def provision_key(raw: Column) -> Column:
     """FN8: `act::SECTION`, `section::SECTION`, or null without a section."""
-    section = F.upper(F.regexp_extract(raw, r"(?i)\b(?:section|sec\.?|s\.)\s?(\d+[A-Z]{0,2})\b", 1))
-    act = F.regexp_extract(raw, r"(?i)\b(?:the\s+)?([A-Z][A-Za-z.\s]{2,60}?Act(?:,\s*\d{4})?)", 1)
+    section = F.upper(F.regexp_extract(raw, lx.SECTION_NUMBER, 1))
+    act = F.regexp_extract(raw, lx.ACT_OF, 1)
     act = F.lower(F.trim(F.regexp_replace(act, r"\s+", " ")))
     return F.when(section == "", F.lit(None)).when(act == "", F.concat(F.lit("section::"), section)).otherwise(F.concat(act, F.lit("::"), section))
 
@@ -147,12 +148,25 @@ def polarity(text: Column) -> Column:
     return F.when(any_of(low, lx.DENIALS), "DENIES").when(any_of(low, lx.ASSERTIONS), "ASSERTS").when(low.rlike(denies), "DENIES").when(low.rlike(asserts), "ASSERTS").otherwise("NEUTRAL")
 
 
-def role_cue(text: Column) -> Column:
-    """EVT16: the first role with a cue in the text."""
-    low, out = F.lower(text), F
-    for role, cues in lx.ROLE_CUES.items():
-        out = out.when(any_of(low, cues), role)
-    return out.otherwise(F.lit(None).cast("string"))
+def role_cue(text: Column, cues: dict[str, tuple[str, ...]] = lx.ROLE_CUES) -> Column:
+    """EVT16: the first role with a cue in the text, word for word or, for cues of FUZZY_CUE_MIN letters or more, nearly so.
+
+    Wording is looked for natively; Python, in Arrow batches, only sees whether an earlier role has a cue nearly.
+    """
+    low, roles = F.lower(text), list(cues)
+    long = [(c, i) for i, r in enumerate(roles) for c in cues[r] if len(c) >= lx.FUZZY_CUE_MIN]
+    exact = F.lit(len(roles))
+    for i in reversed(range(len(roles))):
+        exact = F.when(any_of(low, cues[roles[i]]), i).otherwise(exact)
+
+    @F.pandas_udf("int")
+    def nearly(texts: pd.Series, before: pd.Series) -> pd.Series:
+        phrases = Phrases([c for c, _ in long], lx.FUZZY_CUE)
+        return pd.Series([min([n, *(long[k][1] for k in phrases.near(t))]) if t and t.strip() else n for t, n in zip(texts, before, strict=True)], dtype="int32")
+
+    # Without earlier roles there is nothing to look for.
+    first = nearly(F.when(exact > 0, low), exact)
+    return F.try_element_at(F.array(*[F.lit(r) for r in roles]), first + 1)
 
 
 def is_generic_name(kind: Column, name: Column) -> Column:
@@ -161,10 +175,14 @@ def is_generic_name(kind: Column, name: Column) -> Column:
     return common | name.rlike(lx.REPORTER_CITATION) | F.contains(name, F.lit("\n"))
 
 
+def long_words(text: Column) -> Column:
+    """The distinct words of more than three letters."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """FN16: shared words of more than three letters over the smaller number of them."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))
-    x, y = words(a), words(b)
+    x, y = long_words(a), long_words(b)
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
 

@@ -30,9 +30,10 @@ def symbol_table(site_rows: DataFrame) -> DataFrame:
     return own.groupBy("key").agg(F.first("kind").alias("kind"), F.min_by("document_id", "first").alias("definition"), F.min_by("text", "first").alias("definition_text"), spelled.alias("aliases"), F.sum("n").alias("n_sites"))
 
 
-def references(site_rows: DataFrame, key: str) -> DataFrame:
-    """AGG9: all sites of a key in order."""
-    return site_rows.where(F.col("key") == key).orderBy("ord")
+def references(site_rows: DataFrame, key: str | None = None) -> DataFrame:
+    """AGG9: the sites of a key, or of every key, with their place in order: ref_no from 1."""
+    rows = site_rows if key is None else site_rows.where(F.col("key") == key)
+    return rows.withColumn("ref_no", F.row_number().over(Window.partitionBy("key").orderBy("ord", "document_id")))
 
 
 def resembling(keys: DataFrame, least: float) -> DataFrame:
@@ -97,15 +98,17 @@ def provisions(cited: DataFrame, doc: str = "doc_id") -> DataFrame:
     return rows.groupBy("key").agg(F.min_by("raw", "ord").alias("section"), longest["act"].alias("act"), F.sort_array(F.collect_set(doc)).alias("documents"), F.count(F.lit(1)).alias("count"))
 
 
-def prefixed(rows: DataFrame, text: str, rules: DataFrame) -> DataFrame:
-    """JN9: rows with the value of the first rule (prefix, value, priority) whose prefix starts the text; rules are few and broadcast.
+def first_prefix(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The value of the first rule (prefix, value) whose prefix starts the text; null where none does."""
+    value = F.lit(None).cast("string")
+    for prefix, given in reversed(rules):
+        value = F.when(F.upper(F.trim(text)).startswith(prefix.upper()), F.lit(given)).otherwise(value)
+    return value
 
-    The rules' number is fixed by a word list, so the broadcast is bounded; rows are keyed to be grouped again only by their rank.
-    """
-    best = F.lit(None)
-    for r in sorted(rules.collect(), key=lambda r: -r["priority"]):
-        best = F.when(F.upper(F.trim(F.col(text))).startswith(r["prefix"].upper()), F.lit(r["value"])).otherwise(best)
-    return rows.withColumn("value", best)
+
+def prefixed(rows: DataFrame, text: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """JN9: rows with the value of the first rule whose prefix starts the text."""
+    return rows.withColumn("value", first_prefix(F.col(text), rules))
 
 
 def looked_up_acts(acts: DataFrame, index: DataFrame, least: float = lx.FUZZY_ACT) -> DataFrame:
@@ -125,9 +128,10 @@ def looked_up_acts(acts: DataFrame, index: DataFrame, least: float = lx.FUZZY_AC
 
 
 def is_versus(line: Column) -> Column:
-    """MEN12: a line that only says versus, in one of its spellings, or nearly so after common scan errors are undone."""
-    core = F.regexp_replace(F.lower(F.trim(line)), r"[^\p{L}]", "")
-    fixed = F.regexp_replace(F.lower(F.translate(F.trim(line), "01586|@", "OISBGIA")), r"[^a-z]", "")
-    exact = core.isin("versus", "vs", "v", "vrs", "verses")
-    near = (F.length(fixed).between(4, 12)) & may_reach(fixed, F.lit("versus"), lx.FUZZY_VERSUS) & (F.levenshtein(fixed, F.lit("versus")) <= 2)
-    return exact | near
+    """MEN12: a short line that only says versus, in one of its forms, or nearly so after common scan errors are undone."""
+    text = F.trim(line)
+    core = F.regexp_replace(F.lower(F.translate(text, "".join(lx.SCAN_FIXES), "".join(lx.SCAN_FIXES.values()))), r"[^a-z\u0900-\u0DFF]", "")
+    likely = F.length(core).between(2, 12) & (may_reach(core, F.lit("versus"), lx.FUZZY_VERSUS) | may_reach(core, F.lit("verses"), lx.FUZZY_VERSUS))
+    near = F.greatest(*[similarity(ratio, F.when(likely, core), F.lit(x)) for x in ("versus", "verses")]) >= lx.FUZZY_VERSUS
+    exact = text.rlike(r"(?i)^\s*[-–—\s]*(?:" + "|".join(lx.VERSUS_FORMS) + r")[\s.:\-–—]*$") | core.isin("v", "vs")
+    return F.length(text).between(1, 24) & (exact | F.coalesce(near, F.lit(False)))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave import lexicons as lx
-from folioweave.functions.text import highlighted, overlap
+from folioweave.functions.text import highlighted, long_words, overlap
+from folioweave.operators.graph import clusters
+from folioweave.session import settled
 
 
 def dashboard(facts: DataFrame, case: str) -> DataFrame:
@@ -16,43 +18,82 @@ def dashboard(facts: DataFrame, case: str) -> DataFrame:
     return facts.groupBy(case).agg(F.countDistinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_facts"), F.count("date").alias("n_dated"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+def in_order(facts: DataFrame, case: str) -> DataFrame:
+    """SRT1: `position`: the place of each dated fact of a case by date, then id."""
+    return facts.where(F.col("date").isNotNull()).withColumn("position", F.row_number().over(Window.partitionBy(case).orderBy("date", "fact_id")))
+
+
+def longest_first(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """SRT3: `rank`: the place of each fact of a group, the longest text first, then by id."""
+    return facts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.length("text")), "fact_id")))
+
+
+def alike(facts: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Pairs a < b of facts of a group whose words overlap by more than `least` of the smaller number of them.
+
+    The smaller of two such sets shares more than `least` of its words, so one of its rarest words, as many as it may
+    lack plus one, is in the other. Only these meet, and the sets are compared as a whole.
+    """
+    sets = facts.select(*keys, "fact_id", long_words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    words = sets.withColumn("word", F.explode("w")).select(*keys, "fact_id", "n", "word")
+    often = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = words.join(often, [*keys, "word"])
+    # Words of one fact alone meet nothing, but count among those that may lack.
+    single = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy(*keys, "fact_id"))
+    rank = single + F.row_number().over(Window.partitionBy(*keys, "fact_id").orderBy("often", "word"))
+    rare = ranked.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.floor(F.col("n") * least - 1e-9))
+    other = ranked.select(*keys, "word", F.col("fact_id").alias("y"), F.col("n").alias("m"))
+    met = rare.join(other, [*keys, "word"]).where((F.col("n") <= F.col("m")) & (F.col("fact_id") != F.col("y")))
+    pairs = met.select(F.least("fact_id", "y").alias("a"), F.greatest("fact_id", "y").alias("b")).distinct()
+    x, y = (sets.select(F.col("fact_id").alias(c), F.col("w").alias(f"w{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    return both.where(F.size(F.array_intersect("wa", "wb")) / F.least("na", "nb") > least).select("a", "b")
+
+
+def unrepeated(facts: DataFrame, case: str, wide: float = 0.85) -> DataFrame:
+    """SET6, first pass: dated facts without those whose words overlap by more than `wide` with an earlier one of their case, kept or not."""
+    ordered = in_order(facts, case).withColumn("__w", F.sort_array(long_words(F.col("text"))))
+    # Facts of the same words only need their first one; the others would make all their pairs.
+    copy = F.row_number().over(Window.partitionBy(case, "__w").orderBy("position"))
+    placed = ordered.withColumn("__r", copy).where((F.col("__r") == 1) | (F.size("__w") == 0)).drop("__r", "__w")
+    pairs = alike(placed, [case], wide)
+    at = placed.select("fact_id", "position")
+    both = pairs.join(at.select(F.col("fact_id").alias("a"), F.col("position").alias("pa")), "a").join(at.select(F.col("fact_id").alias("b"), F.col("position").alias("pb")), "b")
+    later = both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("fact_id")).distinct()
+    return placed.join(later, "fact_id", "left_anti")
+
+
 def timeline(facts: DataFrame, case: str, wide: float = 0.85, close: float = 0.5) -> DataFrame:
     """V2: dated facts in order, without party blocks, provision headings and near-duplicates.
 
     First a fact goes if its words overlap by more than `wide` with an earlier one of its case, then, inside a date
-    from the longest down, if they overlap by more than `close` with one that stays. Both passes depend on their own
-    order, so they are folds over a case's or a date's facts.
+    from the longest down, if they overlap by more than `close` with one that stays. The second pass depends on its own
+    order, so it is a fold over each group of facts that such overlaps link, not over a case.
     """
-
-    def words(t: str) -> set[str]:
-        return {w for w in pd.Series([t]).str.lower().str.split(r"[^\w]+", regex=True).iloc[0] if len(w) > 3}
-
-    def alike(a: set[str], b: set[str], least: float) -> bool:
-        n = min(len(a), len(b))
-        return n > 0 and len(a & b) / n > least
-
-    def earlier(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set[str]] = []
-        keep = []
-        for t in (pdf := pdf.sort_values(["date", "fact_id"]))["text"]:
-            w = words(t)
-            keep.append(not any(alike(w, s, wide) for s in seen))
-            seen.append(w)
-        return pdf[keep]
-
-    def same_date(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(n=pdf["text"].str.len()).sort_values(["n", "fact_id"], ascending=[False, True]).drop(columns="n")
-        kept: list[set[str]] = []
-        keep = []
-        for t in pdf["text"]:
-            w = words(t)
-            keep.append(not any(alike(w, s, close) for s in kept))
-            if keep[-1]:
-                kept.append(w)
-        return pdf[keep]
-
     shown = facts.where(F.col("date").isNotNull() & ~F.coalesce(F.col("section_label").rlike(lx.PROVISION_HEADING), F.lit(False)) & (F.col("type") != "PARTIES"))
-    return shown.groupBy(case).applyInPandas(earlier, shown.schema).groupBy(case, "date").applyInPandas(same_date, shown.schema)
+    first = settled(unrepeated(shown, case, wide).drop("position"))
+    ranked = longest_first(first, [case, "date"])
+    pairs = settled(alike(first, [case, "date"], close))
+    groups = clusters(pairs)
+    at = ranked.select("fact_id", "rank")
+    ends = pairs.join(at.select(F.col("fact_id").alias("a"), F.col("rank").alias("ra")), "a").join(at.select(F.col("fact_id").alias("b"), F.col("rank").alias("rb")), "b")
+    linked = ends.join(groups.withColumnRenamed("node", "a"), "a")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        before: dict = {}
+        rank: dict = {}
+        for a, b, ra, rb in pdf[["a", "b", "ra", "rb"]].itertuples(index=False):
+            rank |= {a: ra, b: rb}
+            before.setdefault(a if ra > rb else b, []).append(b if ra > rb else a)
+        gone: set = set()
+        for f in sorted(rank, key=rank.get):
+            if any(e not in gone for e in before.get(f, ())):
+                gone.add(f)
+        return pd.DataFrame({"fact_id": list(gone)})
+
+    kind = facts.schema["fact_id"].dataType.simpleString()
+    dropped = linked.groupBy("cluster").applyInPandas(fold, f"fact_id {kind}")
+    return first.join(dropped, "fact_id", "left_anti").select(*facts.columns)
 
 
 def tree(facts: DataFrame) -> DataFrame:
@@ -75,6 +116,11 @@ def conflicts(edges: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select("a", "b", "score", *[F.col(f"f{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("doc_id", "type", "date", "polarity")])
 
 
+def with_document(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """JN15: nodes with the columns that are known of their documents; null where a document isn't known."""
+    return nodes.join(documents, "doc_id", "left")
+
+
 def distinct_provisions(rows: DataFrame, order: str = "ord") -> DataFrame:
     """SET5: of citations with one wording and act in a document, the last."""
     w = Window.partitionBy("doc_id", "raw", "act").orderBy(F.desc(order))

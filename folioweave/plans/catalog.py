@@ -17,7 +17,7 @@ from folioweave.operators import segment as sg
 from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
-from folioweave.plans import fixtures
+from folioweave.plans import fixtures, reading
 from folioweave.plans.adapters import event_facts, order_facts, page_units, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,30 +35,30 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | fixtures.queries()
+    return _QUERIES | reading.queries() | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | fixtures.oracle_sql()
+    return _SQL | reading.oracle_sql() | fixtures.oracle_sql()
 
 
 # ---------------------------------------------------------------- graph over orders
 
 _FACTS = """
-facts AS (SELECT o_orderkey AS fact_id, o_orderpriority AS doc_id, o_orderstatus AS type, 'cust::' || o_custkey AS ent, o_orderdate::DATE AS date,
+facts AS MATERIALIZED (SELECT o_orderkey AS fact_id, o_orderpriority AS doc_id, o_orderstatus AS type, 'cust::' || o_custkey AS ent, o_orderdate::DATE AS date,
   floor(o_totalprice)::BIGINT::VARCHAR AS amount, CASE o_orderstatus WHEN 'F' THEN 'ASSERTS' WHEN 'O' THEN 'DENIES' ELSE 'NEUTRAL' END AS polarity FROM orders),
-posts AS (SELECT fact_id, ent AS key FROM facts UNION ALL SELECT fact_id, 'date::' || date FROM facts UNION ALL SELECT fact_id, 'amt::' || amount FROM facts UNION ALL SELECT fact_id, 'type::' || type FROM facts),
-idf AS (SELECT key, count(*) AS df, ln(((SELECT count(*) FROM facts) + 1) / (count(*) + 1)) + 0.1 AS idf FROM posts GROUP BY key),
-small AS (SELECT fact_id, key FROM posts JOIN idf USING (key) WHERE df <= 40),
-cand AS (SELECT DISTINCT x.fact_id AS a, y.fact_id AS b FROM small x JOIN small y ON x.key = y.key AND x.fact_id < y.fact_id),
-parts AS (SELECT a, b, x.polarity AS pa, y.polarity AS pb, x.doc_id <> y.doc_id AS cross_doc, x.ent = y.ent AS share_entity,
+posts AS MATERIALIZED (SELECT fact_id, ent AS key FROM facts UNION ALL SELECT fact_id, 'date::' || date FROM facts UNION ALL SELECT fact_id, 'amt::' || amount FROM facts UNION ALL SELECT fact_id, 'type::' || type FROM facts),
+idf AS MATERIALIZED (SELECT key, count(*) AS df, ln(((SELECT count(*) FROM facts) + 1) / (count(*) + 1)) + 0.1 AS idf FROM posts GROUP BY key),
+small AS MATERIALIZED (SELECT fact_id, key FROM posts JOIN idf USING (key) WHERE df <= 40),
+cand AS MATERIALIZED (SELECT DISTINCT x.fact_id AS a, y.fact_id AS b FROM small x JOIN small y ON x.key = y.key AND x.fact_id < y.fact_id),
+parts AS MATERIALIZED (SELECT a, b, x.polarity AS pa, y.polarity AS pb, x.doc_id <> y.doc_id AS cross_doc, x.ent = y.ent AS share_entity,
   CASE WHEN x.ent = y.ent THEN least(idf.idf / 2.0, 1.0) ELSE 0.0 END AS entity, greatest(0.0, 1 - abs(date_diff('day', x.date, y.date)) / 180) AS time,
   CASE WHEN x.doc_id = y.doc_id THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS same FROM cand JOIN facts x ON x.fact_id = a JOIN facts y ON y.fact_id = b LEFT JOIN idf ON idf.key = x.ent),
-scored AS (SELECT *, 0.35 * entity + 0.20 * time + 0.35 * 0.0 + 0.10 * same AS score FROM parts),
-good AS (SELECT * FROM scored WHERE score >= 0.35),
-ends AS (SELECT a AS node, b AS other, score FROM good UNION ALL SELECT b, a, score FROM good),
-kept AS (SELECT DISTINCT least(node, other) AS a, greatest(node, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS r FROM ends) WHERE r <= 5),
-edges AS (SELECT a, b, score, CASE WHEN (pa = 'ASSERTS' AND pb = 'DENIES') OR (pa = 'DENIES' AND pb = 'ASSERTS') THEN 'POTENTIAL_CONFLICT' WHEN pa = 'ASSERTS' OR pb = 'ASSERTS' THEN 'SUPPORTS' ELSE 'RELATED_TO' END AS label,
+scored AS MATERIALIZED (SELECT *, 0.35 * entity + 0.20 * time + 0.35 * 0.0 + 0.10 * same AS score FROM parts),
+good AS MATERIALIZED (SELECT * FROM scored WHERE score >= 0.35),
+ends AS MATERIALIZED (SELECT a AS node, b AS other, score FROM good UNION ALL SELECT b, a, score FROM good),
+kept AS MATERIALIZED (SELECT DISTINCT least(node, other) AS a, greatest(node, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS r FROM ends) WHERE r <= 5),
+edges AS MATERIALIZED (SELECT a, b, score, CASE WHEN (pa = 'ASSERTS' AND pb = 'DENIES') OR (pa = 'DENIES' AND pb = 'ASSERTS') THEN 'POTENTIAL_CONFLICT' WHEN pa = 'ASSERTS' OR pb = 'ASSERTS' THEN 'SUPPORTS' ELSE 'RELATED_TO' END AS label,
   cross_doc, share_entity, entity, time, same FROM good JOIN kept USING (a, b))
 """
 
@@ -348,19 +348,21 @@ def part_entities(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("SELECT p_partkey, CASE WHEN p_type LIKE 'ECO%' THEN 'first' WHEN p_type LIKE 'E%' THEN 'second' WHEN p_type LIKE 'S%' THEN 'third' END AS value FROM part")
 def part_prefix_rules(spark, sf_dir):  # noqa: ANN001, ANN201
-    rules = spark.createDataFrame([("ECO", "first", 0), ("E", "second", 1), ("S", "third", 2)], "prefix string, value string, priority int")
-    return sy.prefixed(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", rules).select("p_partkey", "value")
+    return sy.prefixed(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", [("ECO", "first"), ("E", "second"), ("S", "third")]).select("p_partkey", "value")
+
 
 
 @query("""WITH d AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT label, i, sum(x) AS t FROM d GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT vec_id, round(sum(x * t - x * x) / any_value(n), 6) AS centrality FROM d JOIN s USING (label, i) JOIN n USING (label) GROUP BY vec_id""")
 def embedding_centrality(spark, sf_dir):  # noqa: ANN001, ANN201
     """EVT6: the mean similarity to the others of a group, over all its members, without forming pairs."""
-    e = table(spark, sf_dir, "embeddings")
-    d = e.select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    s = d.groupBy("label", "i").agg(F.sum("x").alias("t"))
-    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return d.join(s, ["label", "i"]).join(n, "label").groupBy("vec_id").agg(F.round(F.sum(F.col("x") * F.col("t") - F.col("x") * F.col("x")) / F.first("n"), 6).alias("centrality"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    d = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("t"))
+    total = F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda p: p["t"])
+    s = d.groupBy("label").agg(total.alias("t")).join(e.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
+    own = F.aggregate(F.zip_with("v", "t", lambda x, t: x * t - x * x), F.lit(0.0), lambda a, x: a + x)
+    return e.join(s, "label").select("vec_id", F.round(own / F.col("n"), 6).alias("centrality"))
+
 
 
 @query("SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
