@@ -17,7 +17,7 @@ from folioweave.operators import segment as sg
 from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
-from folioweave.plans import fixtures, reading
+from folioweave.plans import exchange, fixtures, reading
 from folioweave.plans.adapters import event_facts, order_facts, page_units, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | reading.queries() | fixtures.queries()
+    return _QUERIES | reading.queries() | fixtures.queries() | exchange.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | reading.oracle_sql() | fixtures.oracle_sql()
+    return _SQL | reading.oracle_sql() | fixtures.oracle_sql() | exchange.oracle_sql()
 
 
 # ---------------------------------------------------------------- graph over orders
@@ -120,9 +120,9 @@ def graph_export_nodes(spark, sf_dir):  # noqa: ANN001, ANN201
     return g.nodes_and_edges(facts, g.edges(facts))[0]
 
 
-@query()
+@query(f"WITH RECURSIVE {_FACTS}, l AS MATERIALIZED (SELECT a AS node, b AS other FROM edges WHERE share_entity UNION SELECT b, a FROM edges WHERE share_entity), reach AS (SELECT node, node AS root FROM l UNION SELECT reach.node, l.other FROM reach JOIN l ON l.node = reach.root) SELECT node, min(root) AS cluster FROM reach GROUP BY node")
 def graph_clusters(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Components of the edges; recursion in SQL is too slow on whole tables, so tests hold it against union-find."""
+    """Components of the edges that share an entity."""
     return g.clusters(g.edges(order_facts(spark, sf_dir), gate=True))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +32,28 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once, its lineage cut by a reliable checkpoint.
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; one of this machine is set only where that is unset.
+    Only where that is unset a folder of this machine is made, and only in a local session, as in tests.
     """
+    global _own_folder
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="folioweave-")
+        atexit.register(shutil.rmtree, _own_folder, True)
+    return f"file://{_own_folder}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once, its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import atexit
-        import shutil
-        import tempfile
-
-        own = tempfile.mkdtemp(prefix="folioweave-")
-        atexit.register(shutil.rmtree, own, True)
-        spark.sparkContext.setCheckpointDir(own)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
