@@ -14,10 +14,11 @@ pivots divide these regions:
 2. In each region the pivot is the smallest set id. Distances to the pivot are exact; members within the threshold
    link to it. A region whose members are all connected is finished, however many they are.
 3. In the regions that are left, a member with too few shingles that any other such member has can't link any more.
-   What stays divides again: regions that share members form a group, the group's pivot gives each member a distance,
-   and bands of it, as wide as the threshold, are the cells. By the triangle inequality a member meets its own cell and,
-   as a replica in the window, the next one. Cells join exactly, block by block, in memory; only links between members
-   that aren't connected yet come out.
+   What stays is joined in metric regions: regions that share members form a group, and a group of more than BLOCK sets
+   gets several pivots. Each set goes to the Voronoi cell of its nearest pivot and, as a replica, wherever windows from
+   the triangle inequality say that a partner may be; what no pivot is near to is a region of its own. Parts that are
+   still large divide again by other pivots. Cells join exactly, in memory; only links between members that aren't
+   connected yet come out.
 
 Equal sets count once throughout. Pairs are compared by whole sets, so no link is lost and none is invented.
 """
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,9 @@ from folioweave.llm.common import apart, drop_written, free_shuffles, fresh_path
 from folioweave.llm.components import components
 from folioweave.llm.hashing import mixed, shingles, word_hashes
 
-#: Members of a block of a cell.
-BLOCK = 512
+#: Sets of a region that are joined in memory; larger ones are divided, at most LEVELS times, by about PIVOTS pivots whose
+#: cells have RADIUS, while their parts have at most STUCK of them. Parts that don't shrink are joined block by block.
+BLOCK, LEVELS, PIVOTS, RADIUS, STUCK = 512, 8, 16, 0.5, 0.8
 RATIO = 1.5
 
 
@@ -193,7 +196,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     if waiting.limit(1).count():
         alive = keep(_with_shared_shingles(waiting, sets, percent), "alive")
         left = keep(_open(regions.join(alive, "set_id", "left_semi").select("key", "set_id").distinct(), labels), "open")
-        more = keep(_cells(left, sets, percent, block), "links")
+        more = keep(_near_links(left, sets, percent, block), "links")
         labels = components(links.union(more))
     ids = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     named = ids.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
@@ -241,34 +244,59 @@ def _with_shared_shingles(waiting: DataFrame, sets: DataFrame, percent: int) ->
     return chosen.select("set_id", "n").join(total, "set_id").where(100 * F.col("shared") >= percent * F.col("n")).select("set_id")
 
 
-def _cells(left: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between members of open regions that aren't connected yet."""
+def _near_links(left: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between members of open regions (key, set_id, label) that aren't connected yet."""
     star = left.withColumn("a", F.min("set_id").over(Window.partitionBy("key"))).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
-    groups = components(star).select(F.col("node").alias("set_id"), F.col("label").alias("grp"))
-    near = compared(groups.where("grp <> set_id").select(F.col("grp").alias("a"), F.col("set_id").alias("b")), sets, percent, all_sizes=True)
-    # Band numbers in whole arithmetic: distance / threshold = 100 * (either - shared) / (either * (100 - percent)).
-    band = F.expr(f"cast(100 * (either - shared) div (either * {100 - percent}) as int)")
-    bands = near.select(F.col("b").alias("set_id"), band.alias("band"))
-    placed = groups.join(bands, "set_id", "left").withColumn("band", F.coalesce("band", F.lit(0)))
-    sizes = placed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    rows = placed.join(sizes, "grp").join(left.select("set_id", "label").distinct(), "set_id").join(sets, "set_id").withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("nb") - 1)
-    own = rows.select("grp", F.col("band").alias("cell"), F.col("blk").alias("i"), F.explode(other).alias("j"), "set_id", "label", "n", "hashes")
-    meets = rows.withColumn("cell", F.explode(F.array("band", F.col("band") - 1))).where("cell >= 0")
-    guests = meets.select(F.col("grp").alias("y_grp"), F.col("cell").alias("y_cell"), F.explode(other).alias("y_i"), F.col("blk").alias("y_j"), *[F.col(c).alias(f"y_{c}") for c in ("set_id", "label", "n", "hashes")])
-
-    def join(x: pa.Table, y: pa.Table) -> pa.Table:
-        a, b = _links(x, y, percent) if x.num_rows and y.num_rows else ([], [])
+    groups = components(star).select(F.col("label").alias("region"), F.col("node").alias("set_id"))
+    cells = _voronoi(groups, sets, percent, block).join(left.select("set_id", "label").distinct(), "set_id")
+    sizes = cells.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    sized = cells.join(sizes.select("region", F.ceil(F.col("size") / block).cast("int").alias("nb")), "region").join(sets, "set_id").withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int"))
+    met = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = met.select("region", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "set_id", "label", "n", "hashes")
+
+    def join(cell: pa.Table) -> pa.Table:
+        x, y = (cell.filter(pc.equal(cell["blk"], cell[k][0])) for k in "ij")
+        a, b = _links(x, y, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    keys = ["grp", "cell", "i", "j"]
-    return own.groupBy(*keys).cogroup(guests.groupBy(*[f"y_{k}" for k in keys])).applyInArrow(join, "a long, b long")
+    return rows.groupBy("region", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def _voronoi(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(region, set_id): members in regions of at most `block` sets, or such that pivots divide no more. Linked sets share one.
+
+    Some members of a large region are its pivots, by a hash. A set within RADIUS of one belongs to the cell of the nearest.
+    With a link's distance of at most t, a set's partners in that cell lie within t more of its pivot, and at most 2 t
+    farther from it than from their own nearest: there they are replicated. Sets beyond RADIUS of all pivots
+    are a region of their own, as two of them that are linked both are there. Each part is divided again.
+    """
+    reach, done = (100 - percent) / 100 + 1e-9, None
+    todo = members.select("region", "set_id", F.lit(1 << 62).alias("parent"))
+    for level in range(LEVELS):
+        sized = todo.join(todo.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+        divides = (F.col("size") > block) & (F.col("size") <= STUCK * F.col("parent"))
+        ready = sized.where(~divides).select("region", "set_id")
+        done = ready if done is None else done.unionByName(ready)
+        large = sized.where(divides).select("region", "set_id", "size")
+        if not large.limit(1).count():
+            return done
+        large = written(large, "large")
+        pivots = large.where(F.pmod(F.xxhash64("set_id", F.lit(level)), F.col("size")) < PIVOTS).select("region", F.col("set_id").alias("pivot"))
+        held = pivots.join(sets.select(F.col("set_id").alias("pivot"), F.col("n").alias("np"), F.col("hashes").alias("hp")), "pivot")
+        both = large.join(sets, "set_id").join(held, "region", "left").withColumn("shared", F.size(F.array_intersect("hashes", "hp")))
+        far = both.select("region", "set_id", "size", "pivot", (1 - F.col("shared") / (F.col("n") + F.col("np") - F.col("shared"))).alias("far"))
+        # At most a few more than PIVOTS distances a set.
+        placed = far.groupBy("region", "set_id", "size").agg(F.collect_list(F.when(F.col("pivot").isNotNull(), F.struct("far", "pivot"))).alias("at")).withColumn("least", F.coalesce(F.array_min("at")["far"], F.lit(2.0)))
+        cells = F.transform(F.filter("at", lambda p: p["far"] <= F.least(F.col("least") + 2 * reach, F.lit(RADIUS) + reach)), lambda p: F.xxhash64("region", F.lit(level), p["pivot"]))
+        into = F.concat(cells, F.when(F.col("least") > RADIUS, F.array(F.xxhash64("region", F.lit(level)))).otherwise(F.array().cast("array<bigint>")))
+        todo = written(placed.select(F.explode(into).alias("region"), "set_id", F.col("size").alias("parent")), "cells")
+    return done.unionByName(todo.select("region", "set_id"))
 
 
 def _links(x: pa.Table, y: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     """Links between the sets of two blocks, as far as they connect what isn't connected by then."""
-    ids, labels, sizes = y.column("y_set_id").to_numpy(), y.column("y_label").to_numpy(), y.column("y_n").to_numpy()
-    lists = y.column("y_hashes").combine_chunks()
+    ids, labels, sizes = y.column("set_id").to_numpy(), y.column("label").to_numpy(), y.column("n").to_numpy()
+    lists = y.column("hashes").combine_chunks()
     tokens, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]

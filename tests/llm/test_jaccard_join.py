@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from folioweave.llm.components import components
-from folioweave.llm.jaccard_join import jaccard_components, region_keys
+from folioweave.llm.hashing import word_hashes
+from folioweave.llm.jaccard_join import _voronoi, jaccard_components, region_keys
 
 SCHEMA = "doc_id long, text string, set_id string, keys int, label string"
 
@@ -90,7 +91,45 @@ def test_edges(spark):
     assert result(spark, []) == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_agree_modulo_powers_of_two_differ(spark):
+    for n in (32, 64, 65, 1024, 2048, 4096):
+        a = thue_morse(n)
+        b = a.translate(str.maketrans("ab", "ba"))
+        assert word_hashes(a.encode())[0] != word_hashes(b.encode())[0]
+    rows = [(1, thue_morse(2048)), (2, thue_morse(2048).translate(str.maketrans("ab", "ba"))), (3, "a " + "x" * 5000), (4, "a " + "x" * 4999), (5, "a " + "x" * 5000)]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_sets_with_one_number_stay_apart(spark):
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in enumerate(chain(rng, 30, 12) + [f"own{i} text{i} of{i} its{i}" for i in range(30)] + ["same words of two", "same words of two"])]
+    assert result(spark, rows, bits=3) == brute(rows)
+
+
+def test_cells_hold_all_links(spark):
+    rng = np.random.default_rng(4)
+    rows, base = [], [np.unique(rng.integers(-(1 << 62), 1 << 62, 60)) for _ in range(12)]
+    for i in range(300):
+        s = base[i % 12].copy()
+        s[rng.integers(0, 60, rng.integers(0, 12))] = rng.integers(-(1 << 62), 1 << 62)
+        rows.append((i, np.unique(s).tolist()))
+    sets = spark.createDataFrame([(i, len(s), s) for i, s in rows], "set_id long, n long, hashes array<long>")
+    cells = {}
+    for r in _voronoi(sets.selectExpr("0L AS region", "set_id"), sets, 80, 20).collect():
+        cells.setdefault(r.region, set()).add(r.set_id)
+    assert len(cells) > 5 and max(map(len, cells.values())) < 120
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)):
+            assert any(i in c and j in c for c in cells.values())
