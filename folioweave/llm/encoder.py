@@ -14,13 +14,10 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from folioweave.llm.hashing import mixed
+from folioweave.llm.contents import LONGEST, Table, contents
 
-#: Pieces that a memory holds before it starts anew, and the slots of its table.
+#: Pieces that a memory holds before it starts anew.
 MOST = 700_000
-SLOTS = 1 << 21
-#: Pieces of up to eight bytes a word are looked up in the table, longer ones in a dictionary.
-WORDS = 3
 LETTER, DIGIT, OTHER, WHITE, ODD, REST = range(6)
 
 
@@ -107,65 +104,16 @@ def cuts(buf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.isin(at, whole) if len(whole) else np.zeros(len(at), bool)
 
 
-def contents(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The bytes of each piece as WORDS numbers. Zeros fill up; as a piece may hold them, the last number's top byte is the size."""
-    padded = np.r_[buf, np.zeros(8 * WORDS, np.uint8)]
-    at_each = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
-    out = []
-    for w in range(WORDS):
-        held = np.clip(sizes - 8 * w, 0, 8).astype(np.uint64)
-        mask = np.where(held == 8, np.uint64((1 << 64) - 1), (np.uint64(1) << (held * np.uint64(8) % np.uint64(64))) - np.uint64(1))
-        out.append(at_each[starts + 8 * w] & mask)
-    out[-1] |= sizes.astype(np.uint64) << np.uint64(56)
-    return out
-
-
 class Memory:
     """Pieces by number, the token ids of each number one after another. Number 0 ends a text."""
 
     def __init__(self, dtype: type) -> None:
         self.dtype, self.kept = dtype, 0
         self.flat, self.starts = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64)
-        self.content = [np.zeros(MOST + (1 << 16), np.uint64) for _ in range(WORDS)]
-        self.slots = np.full(SLOTS, -1, np.int32)
+        self.table = Table(2 * MOST)
         self.long: dict[bytes, int] = {}
         self.met = np.zeros(1 << 23, bool)  # by hash: pieces that have come before
 
-    @staticmethod
-    def hashes(content: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(content[0]), np.uint64)
-        for x in content:
-            out = mixed(out ^ x)
-        return out
-
-    def find(self, content: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-        """The number of each, -1 if it has none. What is found is equal in all bytes."""
-        out = np.full(len(h), -1, np.int64)
-        left, at = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(left):
-            number = self.slots[at]
-            same = number >= 0
-            for own, x in zip(self.content, content, strict=True):
-                same &= own[number] == x[left]
-            out[left[same]] = number[same]
-            on = (number >= 0) & ~same
-            left, at = left[on], (at[on] + 1) & (SLOTS - 1)
-        return out
-
-    def place(self, content: list[np.ndarray], h: np.ndarray, numbers: np.ndarray) -> None:
-        if not len(numbers):
-            return
-        while numbers[-1] >= len(self.content[0]):
-            self.content = [np.r_[x, np.zeros_like(x)] for x in self.content]
-        for own, x in zip(self.content, content, strict=True):
-            own[numbers] = x
-        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(at):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = numbers[free]
-            on = self.slots[at] != numbers
-            numbers, at = numbers[on], (at[on] + 1) & (SLOTS - 1)
-
     def learn(self, sizes: np.ndarray, ids: np.ndarray) -> None:
         """Of the numbers from `kept` on: how many ids each has, and the ids."""
         n, start = self.kept + len(sizes), self.starts[self.kept]
@@ -231,20 +179,10 @@ class Encoder:
             memory.learn(np.array([len(end)]), np.array(end, self.dtype))
             memory.kept = 1
         out = np.zeros(len(starts), np.int64)
-        alone = whole | (sizes > 8 * WORDS)
+        alone = whole | (sizes > LONGEST)
         short = np.flatnonzero(~alone)
         content = contents(buf, starts[short], sizes[short])
-        h = memory.hashes(content)
-        found = memory.find(content, h)
-        lacking = np.flatnonzero(found < 0)
-        order = lacking[np.lexsort([x[lacking] for x in content])]
-        differs = np.zeros(len(order), bool)
-        differs[:1] = True
-        for x in content:
-            differs[1:] |= x[order[1:]] != x[order[:-1]]
-        found[order] = memory.kept + np.cumsum(differs) - 1
-        out[short] = found
-        new = order[differs]
+        out[short], h, new = memory.table.number(content, memory.kept)
         at, size = starts[short[new]], sizes[short[new]]
         self.fresh = [x[new] for x in content], h[new], {}
         got = self._by_model(buf, at, size)
@@ -272,10 +210,10 @@ class Encoder:
         memory, (content, h, long) = self.memory, self.fresh
         mask = np.uint64(len(memory.met) - 1)
         again = np.flatnonzero(memory.met[((h >> np.uint64(20)) & mask).astype(np.int64)])
-        again = again[: max(0, SLOTS // 2 - memory.kept)]  # the table stays sparse whatever a text holds
+        again = again[: max(0, memory.table.most - memory.kept)]  # the table stays sparse whatever a text holds
         memory.met[((h >> np.uint64(20)) & mask).astype(np.int64)] = True
         stay = (memory.kept + again).tolist()
-        memory.place([x[again] for x in content], h[again], memory.kept + np.arange(len(again)))
+        memory.table.place([x[again] for x in content], h[again], memory.kept + np.arange(len(again)))
         for piece, number in long.items():
             at = hash(piece) & int(mask)
             if memory.met[at] and len(piece) < 1000:
