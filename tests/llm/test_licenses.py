@@ -87,3 +87,29 @@ def test_a_block_gives_all_its_licenses(spark):
     docs = [(1, f"Licensed under the MIT License.\n{apache}"), (2, f"{bsd}\n{gpl}"), (3, f"Released under the MIT License.\nReleased under the ISC License.\n{bsd}"), (4, "Licensed under the GNU Lesser General Public License, version 2.1"), (5, "Released under the MIT License. See the license of the rest."), (6, "Licensed under the MIT License or the ISC License")]
     want = [(1, "Apache-2.0", "modified"), (1, "MIT", "exact"), (2, "BSD-2-Clause", "modified"), (2, "GPL-3.0", "modified"), (3, "BSD-2-Clause", "modified"), (3, "ISC", "exact"), (3, "MIT", "exact"), (4, "LGPL-2.1", "exact"), (5, "MIT", "exact"), (6, "ISC", "modified"), (6, "MIT", "exact")]
     assert [x[:3] for x in found(spark, docs)] == want
+
+
+def test_every_notice_in_texts_of_all_lengths():
+    from folioweave.llm.licenses import Scanner, templates
+
+    rng, scanner = random.Random(6), Scanner(templates())
+    filler = prose(rng, 60_000).split()
+    for spdx, notices in templates().items():
+        for n in notices:
+            for size in (0, 20, 300, 5000):
+                for end in " \n" if size < 300 else rng.choice(" \n"):
+                    a, b = (" ".join(rng.choices(filler, k=size)) for _ in range(2))
+                    text = f"{a}{end}{n}{end}{b}"
+                    got = {(x[3], x[6]) for x in scanner.scan(text)}
+                    assert (spdx, "exact") in got, (spdx, n, size)
+
+
+def test_ten_licenses_side_by_side():
+    from folioweave.llm.licenses import OPENINGS, Scanner, templates
+
+    rng, scanner = random.Random(7), Scanner(templates())
+    for _ in range(20):
+        picked = rng.sample(sorted(OPENINGS), 6) + rng.sample([k for k in templates() if k not in OPENINGS], 4)
+        notices = [rng.choice(templates()[k]) for k in picked]
+        for between in ("\n", " and then ", "\n\n\n\n" + " ".join(prose(rng, 300).split()) + "\n\n"):
+            assert set(picked) <= {x[3] for x in scanner.scan(between.join(notices)) if x[6] == "exact"}

@@ -1,6 +1,9 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 from folioweave.llm.sharding import HashTree, assign_shards
 
 SCHEMA = "doc_id long, text string, shard string, slot int, lang string"
@@ -50,3 +53,34 @@ def test_edges(spark):
     assert len({(r.shard, r.slot) for r in out}) == 5
     assert {(r.doc_id, r.size, r.text_crc32) for r in out} >= {(None, 16, 0), (1, 16, 0), (2, 16, 0)}
     assert assign_shards(spark.createDataFrame([], SCHEMA), HashTree.balanced(40)).count() == 0
+
+
+def draw(key, level, name, weight):
+    h = 42
+    for part in (key, level, name):
+        h = xxhash.xxh64_intdigest(part.encode(), seed=h)
+    return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+
+def second_shard(key, tree):
+    """The shard of a key by plain loops over the tree."""
+    weight = lambda racks: sum(w for s in racks.values() for w in s.values())
+    top, r = min((draw(key, "region", f"/{r}", weight(racks)), r) for r, racks in tree.planned.items())
+    _, k = min((draw(key, "rack", f"{r}/{k}", sum(s.values())), k) for k, s in tree.planned[r].items())
+    _, shard = min((draw(key, "shard", f"{r}/{k}/{s}", w), s) for s, w in tree.planned[r][k].items())
+    late = min(((draw(key, "added", str(s), w), s) for s, _, _, w in tree.added), default=(math.inf, None))
+    return late[1] if late[0] < top else shard
+
+
+def test_the_whole_query_by_a_second_computation(spark, sf):
+    from folioweave.llm.sharding import op1
+
+    tree = HashTree.balanced(40)
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op1(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (second_shard(str(r.doc_id), tree), second_shard(str(r.doc_id), tree.grown()))
+        assert (r.size, r.text_crc32, r.law) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]), "key")
+    for shard in range(40):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
