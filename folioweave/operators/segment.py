@@ -87,6 +87,11 @@ def sections(pages: DataFrame, bookmarks: DataFrame | None = None, pattern: str
     )
 
 
+def layered(pages: DataFrame, bookmarks: DataFrame | None = None, pattern: str = lx.HEADING) -> DataFrame:
+    """SEG6: sections with the tier that found them; the only one here is that of text patterns."""
+    return sections(pages, bookmarks, pattern).withColumn("tier", F.lit("legacy_text_patterns"))
+
+
 def page_at(offset: Column, page_offsets: Column) -> Column:
     """SEG8: the page whose range holds the offset, else the last page; null without pages."""
     hit = F.filter(page_offsets, lambda r: (r["start"] <= offset) & (offset < r["end"]))

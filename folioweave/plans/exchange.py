@@ -64,6 +64,30 @@ def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.text_pages(spark, _put(spark, {"one.txt": b"line\nline two", "two.txt": b"alone"})).select("document", "page_number", "text", "page_kind")
 
 
+def source_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7, SRC10: a page that the cache holds isn't read again; an engine that isn't there reads nothing."""
+    scans = spark.createDataFrame([("f1", 1, b"one"), ("f1", 2, b"two"), ("f2", 1, None)], "fingerprint string, page_number int, image binary")
+    engines = {"upper": lambda image, lang: f"{lang}:{image.decode().upper()}"}
+    key = readers.ocr_key(F.lit("f1"), F.lit(2), 300, "upper", "eng")
+    cache = spark.range(1).select(key.alias("key"), F.lit("kept").alias("text"))
+    own = readers.read_scans(scans, cache, engine="upper", engines=engines).withColumn("engine", F.lit("upper"))
+    none = readers.read_scans(scans, engine="absent", engines=engines).withColumn("engine", F.lit("absent"))
+    return own.unionByName(none).select("engine", "fingerprint", "page_number", "text", "cached")
+
+
+_SCANS = [("upper", "f1", 1, "eng:ONE", False), ("upper", "f1", 2, "kept", True), ("upper", "f2", 1, None, False), ("absent", "f1", 1, None, False), ("absent", "f1", 2, None, False), ("absent", "f2", 1, None, False)]
+
+
+def section_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEG4 to SEG7: a document with headings is cut at them, another one by pages."""
+    text = "Opening words\nGROUNDS\nfirst\nPRAYER\nsecond\nINDEX\nthird"
+    pages = spark.createDataFrame([("a", 1, text, "digital"), ("b", 1, "no heading", "digital"), ("b", 2, "none here", "digital")], "doc_id string, page_number int, text string, page_kind string")
+    return sg.layered(pages).select("doc_id", "section_no", "section_label", "detected", "text", "tier")
+
+
+_SECTIONS = [(d, n, label, found, text, "legacy_text_patterns") for d, n, label, found, text in (("a", 1, "GROUNDS", True, "GROUNDS\nfirst\n"), ("a", 2, "PRAYER", True, "PRAYER\nsecond\n"), ("a", 3, "INDEX", True, "INDEX\nthird"), ("b", 1, "p.1", False, "no heading"), ("b", 2, "p.2", False, "none here"))]
+
+
 def source_word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC9."""
     boxes = [("p", "world", 50.0, 10.0, 90.0, 20.0), ("p", "hello", 5.0, 11.0, 40.0, 21.0), ("p", "below", 5.0, 40.0, 40.0, 50.0), ("q", "alone", 0.0, 0.0, 5.0, 8.0)]
@@ -139,6 +163,8 @@ _ROWS: dict[str, tuple[Callable, list[tuple], str]] = {
     "source_pages": (source_pages, _PAGES, "document::VARCHAR, page_number::INTEGER, text::VARCHAR, page_kind::VARCHAR, failed::BOOLEAN"),
     "source_fingerprints": (source_fingerprints, [("x.txt", ".txt", 3, "7692c3ad3540bb803c020b3a"), ("y.TXT", ".txt", 3, "7692c3ad3540bb803c020b3a"), ("z.pdf", ".pdf", 3, "3fc4ccfe745870e2c0d99f71")], "name::VARCHAR, kind::VARCHAR, length::BIGINT, fingerprint::VARCHAR"),
     "source_text": (source_text, [("one.txt", 1, "line\nline two", "digital"), ("two.txt", 1, "alone", "digital")], "document::VARCHAR, page_number::INTEGER, text::VARCHAR, page_kind::VARCHAR"),
+    "source_scans": (source_scans, _SCANS, "engine::VARCHAR, fingerprint::VARCHAR, page_number::INTEGER, text::VARCHAR, cached::BOOLEAN"),
+    "section_tiers": (section_tiers, _SECTIONS, "doc_id::VARCHAR, section_no::INTEGER, section_label::VARCHAR, detected::BOOLEAN, text::VARCHAR, tier::VARCHAR"),
     "source_word_boxes": (source_word_boxes, [("p", 0, "hello world"), ("p", 1, "below"), ("q", 0, "alone")], "page::VARCHAR, line_no::INTEGER, line::VARCHAR"),
     "source_acts": (source_acts, [("a1", "The Customs Act, 1962", 1962), ("a2", "The Ports Act", None)], "id::VARCHAR, short_title::VARCHAR, act_year::INTEGER"),
     "sink_graph": (sink_graph, [("evt_1", "ORDER", "l1", None), ("evt_2", "NOTICE", None, None), ("e_1_2", "evt_1", "SUPPORTS", "evt_2")], "id::VARCHAR, type::VARCHAR, label::VARCHAR, target::VARCHAR"),

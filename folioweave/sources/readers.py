@@ -103,6 +103,37 @@ def file_pages(spark: SparkSession, folder: str, ocr: Callable[[bytes, int], str
     return raw.select("document", "document_path", "page_number", text.alias("text"), page_kind(F.col("text"), F.col("images")).alias("page_kind"), "note")
 
 
+#: UDF5: engines that read an image: name to a function of (image, language); none comes with this package.
+OCR_ENGINES: dict[str, Callable[[bytes, str], str]] = {}
+
+
+def ocr_key(fingerprint: F.Column, page: F.Column, dpi: int, engine: str, lang: str) -> F.Column:
+    """SRC10: what a reading depends on: the file's content, the page, the resolution, the engine and the language."""
+    mark = F.substring(F.sha2(F.concat_ws("|", fingerprint, page.cast("string"), F.lit(str(dpi))), 256), 1, 24)
+    return F.concat(mark, F.lit(f"-{engine}-{lang}"))
+
+
+def read_scans(scans: DataFrame, cache: DataFrame | None = None, engine: str = "tesseract", lang: str = "eng", dpi: int = 300, engines: dict[str, Callable[[bytes, str], str]] = OCR_ENGINES) -> DataFrame:
+    """SRC7, SRC8, SRC10: fingerprint, page_number, key, text, cached: scanned pages as text, only those read that the cache lacks.
+
+    scans: fingerprint, page_number, image; cache: key, text of earlier calls. Preparing an image (turning, thresholds) is the
+    engine's. Without that engine a page that isn't in the cache has no text.
+    """
+    keyed = scans.withColumn("key", ocr_key(F.col("fingerprint"), F.col("page_number"), dpi, engine, lang))
+    if cache is None:
+        cache = scans.sparkSession.createDataFrame([], "key string, text string")
+    known = cache.select("key", F.col("text").alias("__text"), F.lit(True).alias("__known")).dropDuplicates(["key"])
+    joined = keyed.join(known, "key", "left").withColumn("cached", F.coalesce("__known", F.lit(False)))
+    read = engines.get(engine)
+
+    @F.pandas_udf("string")
+    def run(images: pd.Series) -> pd.Series:
+        return images.map(lambda image: None if image is None or read is None else read(bytes(image), lang))
+
+    text = F.when(F.col("cached"), F.col("__text")).otherwise(run(F.when(~F.col("cached"), F.col("image"))))
+    return joined.select("fingerprint", "page_number", "key", text.alias("text"), "cached")
+
+
 def word_box_lines(boxes: DataFrame, keys: list[str], tolerance: float = 0.6) -> DataFrame:
     """SRC9: keys, line_no, line: words of scanned pages as lines. A word joins the first row whose mean height is within
     `tolerance` of the median word height; rows depend on the words before, so a page is folded in one task."""
