@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioweave.llm.common import drop_written, free_shuffles, fresh_path, table, written
+from folioweave.llm.common import apart, drop_written, free_shuffles, fresh_path, table, written
 from folioweave.llm.hashing import BASE, INVERSE, mixed, powers, prefix
 from folioweave.llm.suffix_array import common_prefixes, suffix_array
 
 WIDTH = 100
 GRAM = 20
 BLOCK = 1 << 21
+#: Anchors that a task remembers as known to be elsewhere.
+OFTEN = 500_000
 #: A suffix array covers pieces of whole anchors until it has this many bytes.
 SORTED_BYTES = 1 << 20
 _AT = np.uint64((1 << 24) - 1)
@@ -70,13 +72,27 @@ def runs(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
     return d, h[a].view(np.int64), covered.view(np.int64), lo - starts[d], hi - lo
 
 
+def known_shared(q: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose anchor is known to be elsewhere, too, and the sorted anchors that are known now. Two rows of each new one aren't among them."""
+    anchors, which, count = np.unique(q, return_inverse=True, return_counts=True)
+    known = np.isin(anchors, often)
+    order = np.argsort(which, kind="stable")
+    nth = np.empty(len(q), np.int64)
+    nth[order] = np.arange(len(q)) - (np.cumsum(count) - count)[which[order]]
+    more = anchors[(count > 2) & ~known]
+    return known[which] | (nth >= 2), np.union1d(often, more) if len(often) < OFTEN else often
+
+
 def _anchored(width: int, gram: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        often = np.zeros(0, np.int64)
 
         def rows(texts: list[bytes], ids: list[int], offset: int = 0) -> pa.RecordBatch:
+            nonlocal often
             d, q, ctx, lo, n = runs(texts, width, gram)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids)[d]), pa.array(q), pa.array(ctx), pa.array((lo + offset).astype(np.int32)), pa.array(n.astype(np.int32))], ["tid", "q", "ctx", "lo", "n"])
+            shared, often = known_shared(q, often)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(ids)[d]), pa.array(q), pa.array(ctx), pa.array((lo + offset).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(shared)], ["tid", "q", "ctx", "lo", "n", "shared"])
 
         for batch in batches:
             texts, ids, held = [], [], 0
@@ -149,11 +165,12 @@ def _sorted_pieces(width: int):  # noqa: ANN202
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed run).
 
     Texts are UTF-8 bytes, null counts as empty. Of repeated rows with one id and text, one is the first and the
-    others are copies. Extra columns are not read; an empty table gives no rows.
+    others are copies. Extra columns are not read; an empty table gives no rows. Texts are told apart by 128 bits, of which
+    the first 64 are their number; fewer `bits` are for tests of collisions.
     """
     spark = docs.sparkSession
     made: list[str] = []
@@ -165,12 +182,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
         return out
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    number = F.xxhash64(text) if bits == 64 else F.pmod(F.xxhash64(text), F.lit(1 << bits))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), number.alias("tid"), F.xxhash64(F.lit(1), text).alias("check"), text.alias("text"))
+    rows = apart(rows, "tid", "check")
     firsts = rows.groupBy("tid").agg(F.min("ord").alias("first"))
-    found = rows.select("tid", "text").mapInArrow(_anchored(width, gram), "tid long, q long, ctx long, lo int, n int")
-    by_q = Window.partitionBy("q")
+    found = rows.select("tid", "text").mapInArrow(_anchored(width, gram), "tid long, q long, ctx long, lo int, n int, shared boolean")
+    # An anchor that is in many places would gather them all; those that a task knows to be shared needn't meet the others.
+    dealt = F.when(F.col("shared"), F.xxhash64("tid", "lo")).otherwise(F.col("q"))
+    by_q = Window.partitionBy("at_q")
     place = F.struct("tid", "lo")
-    shared = found.withColumn("a", F.min(place).over(by_q)).withColumn("b", F.max(place).over(by_q)).where("a <> b").select("q", "ctx", "tid", "lo", "n")
+    placed = found.withColumn("at_q", dealt).withColumn("a", F.min(place).over(by_q)).withColumn("b", F.max(place).over(by_q))
+    shared = placed.where(F.col("shared") | (F.col("a") != F.col("b"))).select("q", "ctx", "tid", "lo", "n")
     shared = keep(shared, "shared")
     placed = shared.join(firsts, "tid")
     earliest = placed.groupBy("q", "ctx").agg(F.min(F.struct("first", "tid", "lo", "n")).alias("r"))
@@ -180,9 +202,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     several = earliest.groupBy("q").agg(F.min("ctx").alias("u"), F.max("ctx").alias("v")).where("u <> v").select("q")
     open_runs = earliest.join(several, "q").select("q", "r.first", "r.tid", "r.lo", "r.n")
     wanted = open_runs.groupBy("tid", "first").agg(F.collect_list(F.struct("q", "lo", "n")).alias("runs"))
-    own = F.xxhash64("ord", "tid")
-    wanted = wanted.select(F.xxhash64("first", "tid").alias("k"), "first", "tid", "runs")
-    cut = rows.select(own.alias("k"), "text").join(wanted, "k").select("first", "tid", "text", "runs")
+    cut = rows.join(wanted.withColumnsRenamed({"tid": "__tid"}), (F.col("ord") == F.col("first")) & (F.col("tid") == F.col("__tid"))).select("first", "tid", "text", "runs")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +215,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     repeats = keep(cut_out.repartition("q").sortWithinPartitions("q").mapInArrow(_sorted_pieces(width), "tid long, lo int, n int"), "repeats")
     drop_written(spark, *[p for p in made if "/shared-" in p or "/earliest-" in p or "/pieces-" in p])
     spans = copies.unionByName(repeats).groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    of_first = firsts.join(spans, "tid", "left").select(F.xxhash64("first", "tid").alias("k"), F.lit(True).alias("is_first"), "runs")
-    joined = rows.select("doc_id", "text", own.alias("k")).join(of_first, "k", "left")
-    once = joined.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("k")))
+    of_first = firsts.join(spans, "tid", "left").select(F.col("first").alias("ord"), "tid", F.lit(True).alias("is_first"), "runs")
+    joined = rows.select("doc_id", "text", "ord", "tid").join(of_first, ["ord", "tid"], "left")
+    once = joined.withColumn("at", F.row_number().over(Window.partitionBy("ord", "tid").orderBy("ord")))
     final = once.select("doc_id", "text", (F.coalesce("is_first", F.lit(False)) & (F.col("at") == 1)).alias("is_first"), "runs")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioweave.llm.repeats import repeated_spans
+from folioweave.llm.repeats import known_shared, repeated_spans
 from folioweave.llm.suffix_array import common_prefixes, is_smaller_than_next, suffix_array
 
 SCHEMA = "doc_id long, text string, tid string, q int, runs string"
@@ -72,3 +72,17 @@ def test_edges(spark):
 def test_against_brute_force_on_the_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(spark, rows) == brute(rows, 100)
+
+
+def test_texts_with_one_number_and_a_common_line(spark):
+    rng = random.Random(9)
+    line = "the same line stands in nearly all of these texts and is long enough to be found"
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(50))) + line + "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(50)))) for i in range(60)]
+    rows += [(60 + i, f"{i} other text " * 9) for i in range(10)] + [(70, rows[3][1]), (71, rows[3][1])]
+    assert result(spark, rows, width=40, gram=8, bits=4) == brute(rows, 40)
+
+
+def test_rows_known_to_be_shared():
+    q = np.array([5, 7, 5, 5, 9, 7, 5])
+    shared, often = known_shared(q, np.array([9]))
+    assert shared.tolist() == [False, False, False, True, True, False, True] and often.tolist() == [5, 9]
