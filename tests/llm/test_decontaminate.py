@@ -1,6 +1,10 @@
 import random
 
-from folioweave.llm.decontaminate import leaks
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from folioweave.llm.decontaminate import Canon, Filter, leaks, packed, without_leaks, word_spans
 
 DOCS = "doc_id long, text string, kind string, coverage int"
 ITEMS = "item_id long, text string, doc_id string"
@@ -20,7 +24,8 @@ def test_verbatim_reparameterised_and_inconsistent(spark):
     torn = ITEM.replace("then John Smith", "then Maria")
     docs = [(1, f"Some words here. {ITEM} More words."), (2, f"so it was. {other}"), (3, torn), (4, "Nothing of the kind stands in this text at all, not even 120 km."), (5, ITEM.upper().replace(".", "!!")), (6, f"{ITEM} {ITEM}")]
     got = found(spark, docs, [(7, ITEM)])
-    assert [(d, i, k) for d, i, k, _ in got] == [(1, 7, "verbatim"), (2, 7, "reparameterised"), (6, 7, "verbatim")]
+    # Another case is no other wording; torn's first half is a copy in plain words.
+    assert [(d, i, k) for d, i, k, _ in got] == [(1, 7, "verbatim"), (2, 7, "reparameterised"), (3, 7, "verbatim"), (5, 7, "verbatim"), (6, 7, "verbatim")]
 
 
 def test_half_of_an_item_and_short_items(spark):
@@ -62,3 +67,46 @@ def test_items_of_mostly_placeholders(spark):
     other = DENSE.replace("12 km", "14 km").replace("52 km", "55 km").replace("21 km", "29 km")
     docs = [(1, f"so it was. {SUM} Then more."), (2, "so it was. What is 26 + 38 + 49 + 60 ? Then more."), (3, f"Text before. {DENSE} Text after."), (4, f"Text before. {other} Text after."), (5, "1 2 3 4 5 6 7 8 9 " * 500), (6, f"{SUM} {SUM}"), (7, DENSE[60:]), (8, "nothing")]
     assert found(spark, docs, [(1, SUM), (2, DENSE)]) == [(1, 1, "verbatim", 0), (3, 2, "verbatim", 0), (4, 2, "reparameterised", 3), (6, 1, "verbatim", 0), (7, 2, "verbatim", 0)]
+
+
+def test_names_that_open_sentences_and_sums(spark):
+    apples = "Alice has 3 apples and buys 4 pears."
+    total = "What is 12 + 34 * 5 - 6 / 7 ?"
+    docs = [(1, "Bob has 5 apples and buys 9 pears."), (2, f"It is so. {total} Yes."), (3, "What is 13 + 34 * 5 - 6 / 7 ?"), (4, "Bob likes 5 dogs and sells 9 cats."), (5, apples.upper())]
+    assert [x[:3] for x in found(spark, docs, [(1, apples), (2, total)])] == [(1, 1, "reparameterised"), (2, 2, "verbatim"), (5, 1, "verbatim")]
+
+
+def test_documents_without_leaks(spark):
+    docs = spark.createDataFrame([(1, ITEM, "a"), (1, ITEM, "b"), (2, "clean text of its own", "c"), (None, None, "d"), (3, "", "e"), (3, f"so {ITEM}", "f")], "doc_id long, text string, t1 string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    kept = without_leaks(docs, items)
+    assert kept.columns == docs.columns and sorted(r.t1 for r in kept.collect()) == ["c", "d", "e"]
+    assert without_leaks(docs, items.limit(0)).count() == 6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aé \t\n\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000.字🙂", "word", "x" * 40]), max_size=20).map("".join), max_size=5))
+def test_words_are_cut_as_by_split(texts):
+    for t in texts:
+        raw = t.encode()
+        assert [raw[a : a + n].decode() for a, n in zip(*map(np.ndarray.tolist, word_spans(np.frombuffer(raw, np.uint8))), strict=True)] == t.split()
+    canon = Canon()
+    for _ in range(2):
+        codes, doc = canon([t.encode() for t in texts])
+        assert codes.tolist() == [packed(w) for t in texts for w in t.split()]
+        assert doc.tolist() == [i for i, t in enumerate(texts) for _ in t.split()]
+
+
+def test_the_filter_misses_nothing():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    bits = 1 << 20
+    at = np.unique(np.concatenate([Filter.places(h, bits, p) for p in range(4)]))
+    slices = {}
+    for k in range(bits // Filter.SLICE):
+        own = np.zeros(Filter.SLICE, bool)
+        own[at[at // Filter.SLICE == k] % Filter.SLICE] = True
+        slices[k] = np.packbits(own, bitorder="little").tobytes()
+    keep = Filter(bits, slices)
+    assert len(keep.has(h)) == 5000
+    assert len(keep.has(rng.integers(0, 1 << 63, 100_000).astype(np.uint64))) < 300
