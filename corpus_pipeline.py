@@ -42,10 +42,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     try:  # the order in which the mix was written: by part, then by row
-        placed = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("part"), F.col("_metadata.row_index").alias("row"))
-        write_token_files(placed, path, order=["part", "row"])
-    except AnalysisException:  # documents that aren't files: by id
-        write_token_files(docs, path)
+        docs, order = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("part"), F.col("_metadata.row_index").alias("row")), ["part", "row"]
+    except AnalysisException:  # documents that aren't files have no such columns: by id
+        order = None
+    write_token_files(docs, path, order=order)
     return read_token_files(spark, path)
 
 
