@@ -22,8 +22,8 @@ from folioweave.llm.common import numbered, table, written
 
 PERIOD = 4096
 BLOCK_ROWS = 32
-#: More sources than this are refused: the plan of a period is held by the driver.
-MAX_SOURCES = 65_536
+#: More sources than this are refused: the driver plans a period of at least four slots a source, 16 MB at most.
+MAX_SOURCES = 1 << 20
 
 
 def quantised(weights: list[float], period: int) -> list[int]:

@@ -269,7 +269,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
-    lengths = limited_lengths(counts)
+    # Longer codes only where MAX_BITS can't tell all ids apart.
+    lengths = limited_lengths(counts, max(MAX_BITS, (int(np.count_nonzero(counts)) - 1).bit_length()))
     spark.createDataFrame([(bytearray(lengths.tobytes()), tokenizer, end_id)], "lengths binary, tokenizer string, end_id int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,3 +97,13 @@ def test_empty_table_and_single_id(spark):
         path = fresh_path(spark, "t")
         write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path)
         assert read_token_files(spark, path, with_ids=True).count() == len(rows)
+
+
+def test_more_ids_than_codes_of_the_usual_length():
+    counts = np.arange(1, (1 << 18) + 50)
+    with pytest.raises(ValueError):
+        limited_lengths(counts, 18)
+    lengths = limited_lengths(counts, 19)
+    ids = np.random.default_rng(1).integers(0, len(counts), 5000)
+    words, marks, _ = pack(ids, lengths, canonical_codes(lengths))
+    assert lengths.max() <= 19 and (unpack(words, marks, len(ids), decode_table(lengths)) == ids).all()
