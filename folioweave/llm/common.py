@@ -32,12 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other run uses. What a result still reads there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    store, where = _located(spark, path)
-    _located(spark, shared_dir(spark))[0].mkdirs(where.getParent())
-    store.deleteOnExit(where)
-    return path
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
@@ -45,6 +41,7 @@ def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    goes_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +50,12 @@ def _located(spark: SparkSession, path: str):  # noqa: ANN202
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """Results may still read a written table when an operator returns: it goes when the driver ends."""
+    store, where = _located(spark, path)
+    store.deleteOnExit(where)
+
+
 def drop_written(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder that nothing reads any more."""
     for path in paths:
@@ -77,6 +80,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def sampled(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """The `most` rows of each group that come first by a hash of their key, ties by the key.
+
+    Only rows below a hash that about four times as many have are ranked, so no task ranks a whole group.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
+    few = rows.join(sizes, group).where(share <= 4.0 * most / F.col("__n"))
+    pick = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
+    return few.withColumn("r", pick).where(F.col("r") <= most).drop("__n")
+
+
 def apart(df: DataFrame, name: str, check: str) -> DataFrame:
     """df with another number in `name` wherever contents that differ in `check` had the same one.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioweave.llm.common import drop_written, free_shuffles, fresh_path, table, written
+from folioweave.llm.common import drop_written, free_shuffles, fresh_path, goes_at_exit, table, written
 from folioweave.llm.encoder import Encoder
 
 MAX_BITS = 18
@@ -318,4 +318,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 def op7(spark, sf_dir):  # noqa: ANN001, ANN201
     path = fresh_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path)
+    goes_at_exit(spark, path)
     return read_token_files(spark, path)
