@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import fresh_path, table, written
+from folioweave.llm.common import fresh_path, goes_at_exit, table, written
 from folioweave.llm.decontaminate import without_leaks
 from folioweave.llm.jaccard_join import one_of_each
 from folioweave.llm.lang_id import train, with_language
@@ -46,6 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:  # documents that aren't files have no such columns: by id
         order = None
     write_token_files(docs, path, order=order)
+    goes_at_exit(spark, path)
     return read_token_files(spark, path)
 
 
