@@ -24,6 +24,7 @@ def _put(spark: SparkSession, files: dict[str, bytes]) -> str:
     folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path(folder))
     store.deleteOnExit(path(folder))
     for name, content in files.items():
         out = store.create(path(f"{folder}/{name}"))
