@@ -86,7 +86,7 @@ def symbol_key(kind: Column, text: Column) -> Column:
 def date_value(raw: Column) -> Column:
     """FN11: the date of a mention: ISO as it stands, otherwise day before month, months by their first three letters.
 
-    Only forms that are stated here are read: two-digit years and days that can't be are null.
+    Only forms that are stated here are read; days that can't be are null. Two digits are a year from 1969 to 2068.
     """
     tidy = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), r"[\s.,/\-]+", " "))
     month = F.lower(F.regexp_extract(tidy, r"(?i)\b([A-Z]{3})[A-Z]*\b", 1))
@@ -97,7 +97,10 @@ def date_value(raw: Column) -> Column:
     iso = F.when(raw.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat_ws("-", part(r"^(\d{4}) ", 1), two(part(r"^\d{4} (\d+) ", 1)), two(part(r"(\d+)$", 1))))
     named = F.when(month != "", F.concat_ws("-", part(r"(\d{4})$", 1), number, two(part(r"\b(\d{1,2})\b", 1))))
     numeric = F.when(tidy.rlike(r"^\d{1,2} \d{1,2} \d{4}$"), F.concat_ws("-", part(r"(\d{4})$", 1), two(part(r"^\d+ (\d+) ", 1)), two(part(r"^(\d+) ", 1))))
-    return F.try_to_date(F.coalesce(iso, named, numeric), "yyyy-MM-dd")
+    short = part(r"^\d{1,2} \d{1,2} (\d{2})$", 1)
+    century = F.when(short.cast("int") < 69, "20").otherwise("19")
+    brief = F.when(short.isNotNull(), F.concat_ws("-", F.concat(century, short), two(part(r"^\d+ (\d+) ", 1)), two(part(r"^(\d+) ", 1))))
+    return F.try_to_date(F.coalesce(iso, named, numeric, brief), "yyyy-MM-dd")
 
 
 def trimmed(text: Column, most: int) -> Column:

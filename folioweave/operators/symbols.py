@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,20 +114,47 @@ def prefixed(rows: DataFrame, text: str, rules: list[tuple[str, str]]) -> DataFr
     return rows.withColumn("value", first_prefix(F.col(text), rules))
 
 
+#: Entries of an index of acts that is sent to the tasks, at most; a published one has under a thousand.
+INDEX_MOST = 20_000
+
+
+def _act_name(text: str) -> str:
+    return re.sub(r",?\s*\d{4}\s*$", "", text).strip().lower()
+
+
+def best_act(act: str, index: list[tuple[str, str, int | None, str]], least: float) -> tuple[str, str, float] | None:
+    """id, short_title, score of the entry most like an act's name, first among those of its year, then among all."""
+    name, year = _act_name(act), re.search(r"(\d{4})\s*$", act)
+    words, room = set(name.split()), 1 - least / 100
+    best = None
+    for entry, title, in_year, other in index:
+        # Names without a word in common only reach the score if they are about as long as each other.
+        if words.isdisjoint(other.split()) and abs(len(name) - len(other)) > room * (len(name) + len(other)):
+            continue
+        score = token_set_ratio(name, other)
+        if score >= least:
+            rank = (not (year and in_year == int(year[1])), -score, len(title), entry)
+            best = min(best or (rank, entry, title, score), (rank, entry, title, score))
+    return best[1:] if best else None
+
+
 def looked_up_acts(acts: DataFrame, index: DataFrame, least: float = lx.FUZZY_ACT) -> DataFrame:
     """JN13: act, id, short_title, score: the index entry most like an act's name, first among those of its year, then among all.
 
-    index: id, short_title, act_year. Names meet entries with which they share a word of four letters or more.
+    index: id, short_title, act_year. Every different name is compared with the whole index, which goes to the tasks and is
+    refused beyond INDEX_MOST entries.
     """
-    year = F.regexp_extract("act", r"(\d{4})\s*$", 1).try_cast("int")
-    bare = lambda c: F.lower(F.trim(F.regexp_replace(c, r",?\s*\d{4}\s*$", "")))
-    words = lambda c: F.array_distinct(F.filter(F.split(bare(c), r"[^a-z]+"), lambda w: (F.length(w) > 3) & ~w.isin("code", "with", "under")))
-    left = acts.select("act").distinct().withColumn("__y", year).withColumn("w", F.explode(words(F.col("act"))))
-    right = index.withColumn("w", F.explode(words(F.col("short_title"))))
-    met = left.join(right, "w").select("act", "__y", "id", "short_title", "act_year").distinct()
-    rated = met.withColumn("score", similarity(token_set_ratio, bare(F.col("act")), bare(F.col("short_title")))).where(F.col("score") >= least)
-    order = Window.partitionBy("act").orderBy(F.desc(F.coalesce(F.col("__y") == F.col("act_year"), F.lit(False))), F.desc("score"), F.length("short_title"), "id")
-    return rated.withColumn("r", F.row_number().over(order)).where("r = 1").select("act", "id", "short_title", "score")
+    rows = index.select("id", "short_title", F.col("act_year").cast("int").alias("act_year")).limit(INDEX_MOST + 1).collect()
+    if len(rows) > INDEX_MOST:
+        raise ValueError(f"an index of more than {INDEX_MOST} acts")
+    known = sorted((r["id"], r["short_title"], r["act_year"], _act_name(r["short_title"])) for r in rows if r["id"] and r["short_title"])
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(act, *got) for act in pdf["act"] if (got := best_act(act, known, least))]
+            yield pd.DataFrame(found, columns=["act", "id", "short_title", "score"])
+
+    return acts.select("act").where(F.col("act").isNotNull()).distinct().mapInPandas(look, "act string, id string, short_title string, score double")
 
 
 def is_versus(line: Column) -> Column:
