@@ -12,6 +12,7 @@ once per vector, so a bound costs two multiplications a pair.
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,9 @@ from pyspark.sql.window import Window
 
 from folioweave.llm.common import table, written
 
-QUERY_BLOCK = 2048
-GROUP_ROWS = 16_384
-TILE = 2048
+#: Products of a task, at least (as far as the cores are busy with fewer tasks) and at most; rows of either side that a task
+#: holds, at most; and rows of either side of a tile.
+LEAST_CELLS, MOST_CELLS, SIDE, TILE = 1 << 24, 1 << 32, 1 << 16, 2048
 #: Relative slack for the rounding of the bounds themselves.
 SLACK = 1e-9
 
@@ -99,6 +100,18 @@ def search_group(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     return heaps
 
 
+def cut(candidates: int, queries: int, cores: int) -> tuple[int, int]:
+    """Into how many groups candidates go and into how many blocks queries.
+
+    Each candidate is sent once per block and each query once per group, so for a number of tasks the least is sent when
+    both send as much. That number follows the products, so copies of the table grow with its square root of tasks only.
+    """
+    cells = candidates * queries
+    tasks = max(-(-cells // MOST_CELLS), min(cores, -(-cells // LEAST_CELLS)), 1)
+    blocks = max(-(-queries // SIDE), round(math.sqrt(tasks * queries / max(1, candidates))), 1)
+    return max(-(-candidates // SIDE), -(-tasks // blocks), 1), blocks
+
+
 def usable(vec: Column) -> Column:
     """Not null, not empty, not all zero, without null or non-finite components."""
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -113,12 +126,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     candidates. Rows that repeat an id count once, with the smallest of their vectors. Extra columns are not read.
     """
     spark = vectors.sparkSession
-    double = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("is_query"))
+    # Vectors travel in single precision if they come in it; every task takes them as doubles.
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    double = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"), is_query.alias("is_query"))
     once = double.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
     rows = written(once.withColumn("dim", F.size("v")), "vectors")
     # Block numbers come from hashes, so that no count of a block depends on how ids are dealt; the counts set how many.
     n, m = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
-    groups, blocks = max(1, -(-n // GROUP_ROWS)), max(1, -(-m // QUERY_BLOCK))
+    groups, blocks = cut(n, m, 2 * spark.sparkContext.defaultParallelism)
     cand = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "vec_id", "v")
     query = rows.where("is_query").select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"), "vec_id", "v")
 
@@ -126,9 +141,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         qid, cid = left["vec_id"].to_numpy(np.int64), right["vec_id"].to_numpy(np.int64)
-        heaps = search_group(qid, np.stack(left["v"].to_numpy()), cid, np.stack(right["v"].to_numpy()), k)
-        at, slot = np.nonzero(heaps.score > -np.inf)
-        return pd.DataFrame({"query_id": qid[at], "vec_id": heaps.ids[at, slot], "score": heaps.score[at, slot]})
+        q, c = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (left, right))
+        out = []
+        for a in range(0, len(q), TILE):
+            heaps = search_group(qid[a : a + TILE], q[a : a + TILE], cid, c, k)
+            at, slot = np.nonzero(heaps.score > -np.inf)
+            out.append((qid[a + at], heaps.ids[at, slot], heaps.score[at, slot]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     keys = ["dim", "g", "b"]
     found = query.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInPandas(tile, "query_id long, vec_id long, score double")
