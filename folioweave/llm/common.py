@@ -80,14 +80,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+#: Groups of which sampled() sends the sizes to the tasks: the largest ones.
+LARGEST = 4096
+
+
 def sampled(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """The `most` rows of each group that come first by a hash of their key, ties by the key.
 
-    Only rows below a hash that about four times as many have are ranked, so no task ranks a whole group.
+    Of the LARGEST groups only rows below a hash that about four times as many have are ranked, so no task ranks a whole
+    large group.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), group).limit(LARGEST)
     share = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
-    few = rows.join(sizes, group).where(share <= 4.0 * most / F.col("__n"))
+    few = rows.join(F.broadcast(sizes), group, "left").where(share <= F.coalesce(4.0 * most / F.col("__n"), F.lit(1.0)))
     pick = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
     return few.withColumn("r", pick).where(F.col("r") <= most).drop("__n")
 

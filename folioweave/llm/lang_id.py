@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from folioweave.llm.common import held_out, table
+from folioweave.llm.common import held_out, sampled, table
 
 DIM = 1 << 13
 SAMPLE_PER_LANG = 400
@@ -152,8 +151,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a bounded sample of rows that have a language and are not held out."""
     # Chosen by ids alone; only the chosen rows' texts are then read into counts.
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    pick = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.withColumn("r", pick).where(F.col("r") <= SAMPLE_PER_LANG).orderBy("r", "lang").limit(SAMPLE_PER_LANG * MAX_LANGS)
+    chosen = sampled(rows, "lang", "id", SAMPLE_PER_LANG).orderBy("r", "lang").limit(SAMPLE_PER_LANG * MAX_LANGS)
     ids = {r["id"] for r in chosen.select("id").collect()}
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in sorted(ids)], "__id long"))

@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from folioweave.llm.common import held_out, table, written
+from folioweave.llm.common import held_out, sampled, table, written
 from folioweave.llm.jaccard_join import shingle_set
 
 SAMPLE = 1500
@@ -216,8 +215,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("id"))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pick = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.withColumn("r", pick).where(F.col("r") <= SAMPLE).select("id", "toxic").collect()
+    chosen = sampled(known, "toxic", "id", SAMPLE).select("id", "toxic").collect()
     small = F.broadcast(spark.createDataFrame([(r["id"], r["toxic"]) for r in chosen], "id long, toxic int"))
     texts = docs.select(F.col("doc_id").alias("__d"), F.col("text").alias("text"))
     sample = written(texts.join(small, F.col("__d") == F.col("id")).select("id", "toxic", "text"), "labelled")

@@ -75,3 +75,23 @@ def test_with_language_keeps_low_scores(spark):
 def fit_many():
     """Many languages that tell nothing of the word."""
     return Model([f"l{i}" for i in range(8)], np.ones(DIM), np.zeros((8, DIM)), np.zeros(8), 1.0)
+
+
+def test_the_whole_query_by_brute_force(spark, sf):
+    from folioweave.llm.lang_id import op6
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op6(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        c = brute_counts(texts[r.doc_id] or "")
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if c is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = np.where(c > 0, (1 + np.log(np.maximum(c, 1))) * model.idf, 0)
+        z = (model.weights @ (v / np.sqrt(v @ v)) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.langs[int(p.argmax())] and abs(r.score - p.max()) < 1e-9

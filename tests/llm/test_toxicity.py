@@ -60,3 +60,35 @@ def test_edges(spark):
     got = score_toxicity(many, train(many, many.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))).collect()
     assert all(r.predicted == (r.doc_id % 4 == 0) for r in got)
     assert all(r.neighbours and r.terms for r in got)
+
+
+def test_the_whole_query_by_brute_force(spark, sf):
+    import re
+
+    from folioweave.llm.toxicity import BEGINNINGS, SMOOTH, op5
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    index = train(docs, labels)
+    dense = np.zeros((len(index.ids), len(index.terms)))
+    for block in index.blocks:
+        for t, (i, w) in block.postings.items():
+            dense[block.first + i, t] = w
+    got = {r.doc_id: r for r in op5(spark, sf).collect()}
+    assert len(got) == docs.count()
+    for d in docs.collect():
+        q = np.zeros(len(index.terms))
+        for word in re.findall(r"[^\W\d_]+", (d.text or "").lower()):
+            for f in [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]:
+                if f in index.terms:
+                    q[index.terms[f]] += 1
+        want = index.none
+        if q.any():
+            q = np.where(q > 0, (1 + np.log(np.maximum(q, 1))) * index.idf, 0)
+            sims = dense @ (q / np.sqrt(q @ q))
+            near = [i for i in sorted(range(len(sims)), key=lambda i: (-round(sims[i], 12), i))[:K] if sims[i] > 0]
+            if near:
+                w = [index.weight[i] / (1 - min(sims[i], 1) + SMOOTH) for i in near]
+                vote = sum(x for i, x in zip(near, w, strict=True) if index.toxic[i]) / sum(w)
+                below = [v for c, v in zip(index.cuts, index.values, strict=True) if c <= vote + 1e-12]
+                want = below[-1] if below else index.values[0]
+        assert abs(got[d.doc_id].score - want) < 1e-9 and got[d.doc_id].predicted == int(got[d.doc_id].score >= 0.7)
