@@ -16,6 +16,7 @@ _OPS = {
     "op8_pfair_mixing": ("mixing", "op8"),
     "op9_template_decontamination": ("decontaminate", "op9"),
     "op10_suffix_array_repeats": ("repeats", "op10"),
+    "op11_voronoi_hard_negatives": ("hard_negatives", "op11"),
     "op13_centroid_clustering": ("centroids", "op13"),
 }
 
