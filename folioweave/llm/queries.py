@@ -17,6 +17,7 @@ _OPS = {
     "op9_template_decontamination": ("decontaminate", "op9"),
     "op10_suffix_array_repeats": ("repeats", "op10"),
     "op11_voronoi_hard_negatives": ("hard_negatives", "op11"),
+    "op12_chat_segments": ("chat_format", "op12"),
     "op13_centroid_clustering": ("centroids", "op13"),
 }
 
