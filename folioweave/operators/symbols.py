@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave import lexicons as lx
-from folioweave.functions.fuzzy import may_reach, ratio, similarity, token_set_ratio, token_sort_ratio
+from folioweave.functions.fuzzy import common_to, may_reach, places, ratio, similarity, token_set_ratio
 from folioweave.functions.text import act_without_year, normal_name, provision_key, symbol_key
-from folioweave.operators.graph import clusters
+from folioweave.operators.greedy import best_match, kept_in_order
+from folioweave.session import settled
 
 
 def sites(found: DataFrame, doc: str = "doc_id", kind: str = "kind", text: str = "raw", order: str = "ord") -> DataFrame:
@@ -39,8 +40,8 @@ def references(site_rows: DataFrame, key: str | None = None) -> DataFrame:
     return rows.withColumn("ref_no", F.row_number().over(Window.partitionBy("key").orderBy("ord", "document_id")))
 
 
-def resembling(keys: DataFrame, least: float) -> DataFrame:
-    """All pairs a, b of keys of a kind with token_sort_ratio >= least, as nodes of clusters(). keys: kind, key.
+def resembling_places(keys: DataFrame, least: float) -> DataFrame:
+    """bucket, node, at, probe, x of keys, for greedy selection: keys of a kind with token_sort_ratio >= least share a bucket. keys: kind, key, ord.
 
     Nothing is lost: an indel distance of d leaves at least (m + n - d) / 2 - (q - 1) * (d + 1) q-grams in common, so two
     such keys share one of their rarest q-grams, as many as they have beyond that bound, plus one.
@@ -48,48 +49,49 @@ def resembling(keys: DataFrame, least: float) -> DataFrame:
     slack = 1 - least / 100
     # Bigrams, if lengths from which a difference is allowed always leave one in common; else letters.
     q = 2 if slack < 1 / 3 and all((n - d) / 2 - 1 - d > 0 for n in range(2, 1000) if (d := int(slack * n + 1e-9))) else 1
-    node = keys.select("kind", F.concat("kind", F.lit("\1"), "key").alias("node"), F.array_join(F.sort_array(F.split("key", " ")), " ").alias("s")).withColumn("m", F.length("s"))
+    node = keys.select("kind", "ord", F.concat("kind", F.lit("\1"), "key").alias("node"), F.array_join(F.sort_array(F.split("key", " ")), " ").alias("s")).withColumn("m", F.length("s"))
     both = F.col("m") + F.ceil(F.col("m") * (1 - slack) / (1 + slack) - 1e-9)  # with the shortest key that can reach it
     common = F.greatest(F.lit(1), F.ceil(both * (1 - (2 * q - 1) * slack) / 2 - (q - 1) - 1e-9))
-    places = F.when(F.col("m") >= q, F.sequence(F.lit(1), F.col("m") - q + 1)).otherwise(F.array().cast("array<int>"))
-    grams = node.withColumn("i", F.explode(places)).withColumn("g", F.substring("s", F.col("i"), F.lit(q)))
+    starts = F.when(F.col("m") >= q, F.sequence(F.lit(1), F.col("m") - q + 1)).otherwise(F.array(F.lit(1)))
+    grams = node.withColumn("i", F.explode(starts)).withColumn("g", F.substring("s", F.col("i"), F.lit(q)))
     grams = grams.withColumn("nth", F.row_number().over(Window.partitionBy("node", "g").orderBy("i")))
-    often = grams.groupBy("g", "nth").agg(F.count(F.lit(1)).alias("often"))
+    often = grams.groupBy("kind", "g", "nth").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "g", "nth"))
-    first = grams.join(often, ["g", "nth"]).withColumn("r", rank).where(F.col("r") <= F.col("m") - q + 2 - common).select("kind", "g", "nth", "node", "s", "m")
-    other = first.select("kind", "g", "nth", F.col("node").alias("b"), F.col("s").alias("t"), F.col("m").alias("n"))
-    # The longer one's letters that have no partner alone may not exceed the distance.
-    near = (F.col("node") < F.col("b")) & (F.abs(F.col("m") - F.col("n")) <= (F.col("m") + F.col("n")) * slack + 1e-9)
-    met = first.join(other, ["kind", "g", "nth"]).where(near).select(F.col("node").alias("a"), "b", "s", "t").distinct()
-    return met.where(may_reach(F.col("s"), F.col("t"), least)).where(similarity(ratio, F.col("s"), F.col("t")) >= least).select("a", "b")
+    first = grams.join(often, ["kind", "g", "nth"]).withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(1), F.col("m") - q + 2 - common))
+    return first.select(F.concat_ws("\1", "kind", "g", F.col("nth").cast("string")).alias("bucket"), "node", F.col("ord").cast("long").alias("at"), F.lit(True).alias("probe"), F.col("s").alias("x"))
+
+
+def _placed(s: str) -> tuple[str, dict[str, int]]:
+    return s, places(s)
+
+
+def _alike(x: tuple, y: tuple) -> float:
+    """ratio() of two keys whose letters are placed."""
+    a, b = x[0], y[0]
+    return 200.0 * common_to(x[1], len(a), b) / (len(a) + len(b))
 
 
 def canonical_entities(names: DataFrame, least: float = lx.FUZZY_ENTITY) -> DataFrame:
-    """FN4, JN12: kind, text, entity_id. Equal keys are one entity; then a key joins the one before it, in order of first use, that it resembles most.
+    """FN4, JN12: kind, text, entity_id. Equal keys are one entity; then a key joins the entity before it, in order of first use, that it resembles most.
 
-    names: kind, text, ord. Keys are compared with all of their kind. Only keys that a chain of resemblances links can
-    meet, so the fold, which is ordered, as each match depends on the entities so far, goes by these groups.
+    names: kind, text, ord (a whole number). A key is an entity of its own if it resembles none before it, so entities are the
+    first independent set of keys, found in rounds; then every other key meets the entities of its buckets, not all keys.
     """
     keyed = names.withColumn("key", normal_name(F.col("text"))).where(F.col("key") != "")
-    keys = keyed.groupBy("kind", "key").agg(F.min("ord").alias("ord"))
-    groups = clusters(resembling(keys, least))
-    linked = keys.withColumn("node", F.concat("kind", F.lit("\1"), "key")).join(groups, "node").select("kind", "key", "ord", "cluster")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        out = []
-        done = pdf.sort_values(["ord", "key"])
-        for key in done["key"]:
-            best = max(((token_sort_ratio(key, h), -i, h) for i, h in enumerate(heads)), default=(0.0, 0, ""))
-            if best[0] >= least:
-                out.append(best[2])
-            else:
-                heads.append(key)
-                out.append(key)
-        return pd.DataFrame({"kind": done["kind"], "key": done["key"], "head": out})
-
-    heads = linked.groupBy("kind", "cluster").applyInPandas(fold, "kind string, key string, head string")
-    return keyed.select("kind", "text", "key").distinct().join(heads, ["kind", "key"], "left").select("kind", "text", F.concat("kind", F.lit(":"), F.coalesce("head", "key")).alias("entity_id"))
+    keys = settled(keyed.groupBy("kind", "key").agg(F.min("ord").alias("ord")))
+    at = settled(resembling_places(keys, least))
+    room = 1 - least / 100
+
+    def near(x: tuple, y: tuple) -> bool:
+        m, n = len(x[0]), len(y[0])
+        return abs(m - n) <= (m + n) * room + 1e-9 and _alike(x, y) >= least
+
+    chosen = kept_in_order(at, near, _placed)
+    own, other = (settled(at.join(chosen.where(c), "node", "left_semi")) for c in ("kept", "NOT kept"))
+    match = best_match(other, own, _alike, least, _placed)
+    node = keyed.select("kind", "text", "key").distinct().withColumn("node", F.concat("kind", F.lit("\1"), "key"))
+    head = F.coalesce(F.substring_index("head", "\1", -1), F.col("key"))
+    return node.join(match, "node", "left").select("kind", "text", F.concat("kind", F.lit(":"), head).alias("entity_id"))
 
 
 def provisions(cited: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave import lexicons as lx
 from folioweave.functions.text import highlighted, long_words, overlap
-from folioweave.operators.graph import clusters
+from folioweave.operators.greedy import kept_in_order
 from folioweave.session import settled
 
 
@@ -28,72 +27,60 @@ def longest_first(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.length("text")), "fact_id")))
 
 
-def alike(facts: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """Pairs a < b of facts of a group whose words overlap by more than `least` of the smaller number of them.
+def first_of_words(facts: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """keys, x, n, at, node: the sorted words of facts that have any, and the first fact of a group with just these, by (at, fact_id)."""
+    sets = facts.select(*keys, "fact_id", at.cast("long").alias("at"), F.sort_array(long_words(F.col("text"))).alias("x"))
+    first = sets.where(F.size("x") > 0).groupBy(*keys, "x").agg(F.min(F.struct("at", "fact_id")).alias("f"))
+    return first.select(*keys, "x", F.size("x").alias("n"), "f.at", F.col("f.fact_id").alias("node"))
+
+
+def word_places(first: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """bucket, node, at, probe, x for greedy selection: of first_of_words(), those whose words overlap by more than `least` share a bucket.
 
     The smaller of two such sets shares more than `least` of its words, so one of its rarest words, as many as it may
-    lack plus one, is in the other. Only these meet, and the sets are compared as a whole.
+    lack plus one, is in the other.
     """
-    sets = facts.select(*keys, "fact_id", long_words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    words = sets.withColumn("word", F.explode("w")).select(*keys, "fact_id", "n", "word")
-    often = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = words.join(often, [*keys, "word"])
+    words = first.withColumn("word", F.explode("x")).withColumn("bucket", F.to_json(F.struct(*keys, "word"), {"ignoreNullFields": "false"}))
+    often = words.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Words of one fact alone meet nothing, but count among those that may lack.
-    single = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy(*keys, "fact_id"))
-    rank = single + F.row_number().over(Window.partitionBy(*keys, "fact_id").orderBy("often", "word"))
-    rare = ranked.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.floor(F.col("n") * least - 1e-9))
-    other = ranked.select(*keys, "word", F.col("fact_id").alias("y"), F.col("n").alias("m"))
-    met = rare.join(other, [*keys, "word"]).where((F.col("n") <= F.col("m")) & (F.col("fact_id") != F.col("y")))
-    pairs = met.select(F.least("fact_id", "y").alias("a"), F.greatest("fact_id", "y").alias("b")).distinct()
-    x, y = (sets.select(F.col("fact_id").alias(c), F.col("w").alias(f"w{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    return both.where(F.size(F.array_intersect("wa", "wb")) / F.least("na", "nb") > least).select("a", "b")
-
-
-def unrepeated(facts: DataFrame, case: str, wide: float = 0.85) -> DataFrame:
-    """SET6, first pass: dated facts without those whose words overlap by more than `wide` with an earlier one of their case, kept or not."""
-    ordered = in_order(facts, case).withColumn("__w", F.sort_array(long_words(F.col("text"))))
-    # Facts of the same words only need their first one; the others would make all their pairs.
-    copy = F.row_number().over(Window.partitionBy(case, "__w").orderBy("position"))
-    placed = ordered.withColumn("__r", copy).where((F.col("__r") == 1) | (F.size("__w") == 0)).drop("__r", "__w")
-    pairs = alike(placed, [case], wide)
-    at = placed.select("fact_id", "position")
-    both = pairs.join(at.select(F.col("fact_id").alias("a"), F.col("position").alias("pa")), "a").join(at.select(F.col("fact_id").alias("b"), F.col("position").alias("pb")), "b")
-    later = both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("fact_id")).distinct()
-    return placed.join(later, "fact_id", "left_anti")
-
-
-def timeline(facts: DataFrame, case: str, wide: float = 0.85, close: float = 0.5) -> DataFrame:
-    """V2: dated facts in order, without party blocks, provision headings and near-duplicates.
-
-    First a fact goes if its words overlap by more than `wide` with an earlier one of its case, then, inside a date
-    from the longest down, if they overlap by more than `close` with one that stays. The second pass depends on its own
-    order, so it is a fold over each group of facts that such overlaps link, not over a case.
+    shared = words.join(often, "bucket")
+    single = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rank = single + F.row_number().over(Window.partitionBy("node").orderBy("often", "word"))
+    return shared.withColumn("probe", rank <= F.col("n") - F.floor(F.col("n") * least - 1e-9)).select("bucket", "node", "at", "probe", "x")
+
+
+def _thinned(facts: DataFrame, keys: list[str], least: float, at: Column) -> DataFrame:
+    """facts without those whose words overlap by more than `least` of the smaller number with one of their group that stays and comes before, by (at, fact_id)."""
+
+    def repeats(x: frozenset, y: frozenset) -> bool:
+        return len(x & y) / min(len(x), len(y)) > least
+
+    # Of the same words only the first can stay, so a group of copies is one row from here on.
+    first = settled(first_of_words(facts, keys, at))
+    gone = kept_in_order(word_places(first, keys, least), repeats, frozenset).where("NOT kept").select("node")
+    stay = first.select("node").join(gone, "node", "left_anti")
+    bare = facts.where(F.size(long_words(F.coalesce("text", F.lit("")))) == 0)
+    return bare.unionByName(facts.join(stay, F.col("fact_id") == F.col("node"), "left_semi"))
+
+
+def unrepeated(facts: DataFrame, case: str, wide: float = 0.85, order: Column | None = None) -> DataFrame:
+    """SET6, first pass: dated facts without those whose words overlap by more than `wide` with one of their case that stays and comes before.
+
+    order: a whole number; equal ones, and all without it, go by fact_id.
+    """
+    return _thinned(facts.where(F.col("date").isNotNull()), [case], wide, order if order is not None else F.lit(0))
+
+
+def timeline(facts: DataFrame, case: str, wide: float = 0.85, close: float = 0.5, order: Column | None = None) -> DataFrame:
+    """V2, SET6: dated facts in order, without party blocks, provision headings and near-duplicates.
+
+    First a fact goes if its words overlap by more than `wide` with an earlier one of its case that stays, then, inside a date
+    from the longest down, if they overlap by more than `close` with one that stays. Both passes depend on their own order
+    and are found in parallel rounds. Facts without words of more than three letters stay.
     """
-    shown = facts.where(F.col("date").isNotNull() & ~F.coalesce(F.col("section_label").rlike(lx.PROVISION_HEADING), F.lit(False)) & (F.col("type") != "PARTIES"))
-    first = settled(unrepeated(shown, case, wide).drop("position"))
-    ranked = longest_first(first, [case, "date"])
-    pairs = settled(alike(first, [case, "date"], close))
-    groups = clusters(pairs)
-    at = ranked.select("fact_id", "rank")
-    ends = pairs.join(at.select(F.col("fact_id").alias("a"), F.col("rank").alias("ra")), "a").join(at.select(F.col("fact_id").alias("b"), F.col("rank").alias("rb")), "b")
-    linked = ends.join(groups.withColumnRenamed("node", "a"), "a")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        before: dict = {}
-        rank: dict = {}
-        for a, b, ra, rb in pdf[["a", "b", "ra", "rb"]].itertuples(index=False):
-            rank |= {a: ra, b: rb}
-            before.setdefault(a if ra > rb else b, []).append(b if ra > rb else a)
-        gone: set = set()
-        for f in sorted(rank, key=rank.get):
-            if any(e not in gone for e in before.get(f, ())):
-                gone.add(f)
-        return pd.DataFrame({"fact_id": list(gone)})
-
-    kind = facts.schema["fact_id"].dataType.simpleString()
-    dropped = linked.groupBy("cluster").applyInPandas(fold, f"fact_id {kind}")
-    return first.join(dropped, "fact_id", "left_anti").select(*facts.columns)
+    shown = facts.where(~F.coalesce(F.col("section_label").rlike(lx.PROVISION_HEADING), F.lit(False)) & (F.col("type") != "PARTIES"))
+    first = settled(unrepeated(shown, case, wide, order))
+    return _thinned(first, [case, "date"], close, -F.length("text")).select(*facts.columns)
 
 
 def tree(facts: DataFrame) -> DataFrame:

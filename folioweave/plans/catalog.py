@@ -339,13 +339,39 @@ def part_symbols(spark, sf_dir):  # noqa: ANN001, ANN201
     return sy.symbol_table(sy.sites(p)).drop("aliases")
 
 
-@query()
+def _canonical(keys: str, names: str) -> str:
+    """SQL of FN4: keys (kind, key, ord) that resemble no entity before them are entities, in order; the others join the one they resemble most.
+
+    Likeness is 200 * longest common subsequence / lengths of the words in order, by rows of bits; 31 letters at most.
+    """
+    marks = "list_transform(string_split(b.s, ''), lambda c: list_sum(list_transform(range(length(a.s)), lambda i: CASE WHEN a.s[i + 1] = c THEN 1::BIGINT << i ELSE 0 END))::BIGINT)"
+    step = "list_reduce(list_prepend((1::BIGINT << length(a.s)) - 1, marks), lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1::BIGINT << n) - 1))"
+    return f"""k AS MATERIALIZED (SELECT *, array_to_string(list_sort(string_split(key, ' ')), ' ') AS s, row_number() OVER (ORDER BY ord, key) AS i FROM ({keys})),
+p AS MATERIALIZED (SELECT i, j, 200.0 * (n - bit_count({step.replace('a.s', 's')})) / (n + m) AS score FROM (SELECT a.i, b.i AS j, a.s, length(a.s) AS n, length(b.s) AS m, {marks} AS marks FROM k a JOIN k b ON a.i < b.i AND a.kind = b.kind)),
+near AS MATERIALIZED (SELECT j, list(i) AS before FROM p WHERE score >= 88 GROUP BY j),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS heads UNION ALL SELECT k.i, CASE WHEN coalesce(len(list_intersect(before, heads)), 0) > 0 THEN heads ELSE list_append(heads, k.i) END FROM r JOIN k ON k.i = r.i + 1 LEFT JOIN near ON j = k.i),
+h AS MATERIALIZED (SELECT unnest(heads) AS i FROM (SELECT heads FROM r ORDER BY i DESC LIMIT 1)),
+e AS (SELECT k.kind, k.key, coalesce(arg_max(o.key, (score, -p.i)), k.key) AS head FROM k LEFT JOIN (p JOIN h USING (i)) ON p.j = k.i AND score >= 88 AND k.i NOT IN (SELECT i FROM h) LEFT JOIN k o ON o.i = p.i GROUP BY k.kind, k.key)
+SELECT kind, text, kind || ':' || head AS entity_id FROM ({names}) JOIN e USING (kind, key)"""
+
+
+@query(f"""WITH RECURSIVE {_canonical("SELECT 'PART' AS kind, p_name AS key, min(p_partkey) AS ord FROM part GROUP BY p_name", "SELECT DISTINCT 'PART' AS kind, p_name AS text, p_name AS key FROM part")}""")
 def part_entities(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Fuzzy canonical names: an ordered fold, tested in Python."""
+    """FN4, JN7, JN12: fuzzy canonical names, by greedy selection in rounds."""
     p = table(spark, sf_dir, "part").select(F.lit("PART").alias("kind"), F.col("p_name").alias("text"), F.col("p_partkey").alias("ord"))
     return sy.canonical_entities(p)
 
 
+_SUPPLIER_KEY = r"regexp_replace(lower(s_name), '[^a-z0-9 ]', ' ', 'g')"
+
+
+@query(f"""WITH RECURSIVE {_canonical(f"SELECT 'ORG' AS kind, {_SUPPLIER_KEY} AS key, min(s_suppkey) AS ord FROM supplier GROUP BY ALL", f"SELECT DISTINCT 'ORG' AS kind, s_name AS text, {_SUPPLIER_KEY} AS key FROM supplier")}""")
+def supplier_entities(spark, sf_dir):  # noqa: ANN001, ANN201
+    """FN4, JN12 over numbered names, nearly all of which resemble many others."""
+    s = table(spark, sf_dir, "supplier").select(F.lit("ORG").alias("kind"), F.col("s_name").alias("text"), F.col("s_suppkey").alias("ord"))
+    return sy.canonical_entities(s)
+
+
 @query("SELECT p_partkey, CASE WHEN p_type LIKE 'ECO%' THEN 'first' WHEN p_type LIKE 'E%' THEN 'second' WHEN p_type LIKE 'S%' THEN 'third' END AS value FROM part")
 def part_prefix_rules(spark, sf_dir):  # noqa: ANN001, ANN201
     return sy.prefixed(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", [("ECO", "first"), ("E", "second"), ("S", "third")]).select("p_partkey", "value")

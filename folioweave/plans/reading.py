@@ -93,14 +93,38 @@ def _turns(spark, sf_dir):  # noqa: ANN001, ANN202
     """Turns as dated facts, a conversation a case: two days to four turns."""
     c = table(spark, sf_dir, "conversations")
     day = F.date_add(F.lit("2020-01-01").cast("date"), F.expr("cast(turn div 2 as int)"))
-    return c.select("conv_id", F.struct("conv_id", "turn").alias("fact_id"), "turn", "text", day.alias("date"), F.col("role").alias("type"), F.lit(None).cast("string").alias("section_label"))
+    return c.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("fact_id"), "turn", "text", day.alias("date"), F.col("role").alias("type"), F.lit(None).cast("string").alias("section_label"))
 
 
-@query(f"WITH w AS (SELECT conv_id, turn, {_LONG_WORDS} AS w FROM conversations) SELECT conv_id, turn FROM w b WHERE NOT EXISTS (SELECT 1 FROM w a WHERE a.conv_id = b.conv_id AND a.turn < b.turn AND least(len(a.w), len(b.w)) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) > 0.3)")
+def _greedy(name: str, rows: str, keys: str, order: str, least: float) -> str:
+    """SQL that goes through `rows` (conv_id, turn, day, w, n) of each group in order: `name` has those that stay."""
+    again = f"coalesce(list_bool_or(list_transform(kept, lambda k: least(len(k), len(w)) > 0 AND len(list_intersect(k, w))::DOUBLE / greatest(1, least(len(k), len(w))) > {least})), false)"
+    return f"""{name}_o AS (SELECT *, concat_ws('|', {keys}) AS g, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS i FROM {rows}),
+{name}_r AS (SELECT g, 0::BIGINT AS i, []::VARCHAR[][] AS kept, false AS gone FROM {name}_o WHERE i = 1
+  UNION ALL SELECT o.g, o.i, CASE WHEN {again} THEN kept ELSE list_append(kept, w) END, {again} FROM {name}_r r JOIN {name}_o o ON o.g = r.g AND o.i = r.i + 1),
+{name} AS (SELECT o.* EXCLUDE (g, i) FROM {name}_o o JOIN {name}_r r USING (g, i) WHERE NOT gone)"""
+
+
+_WORDS_OF_TURNS = f"w AS (SELECT conv_id, turn, turn // 2 AS day, {_LONG_WORDS} AS w, length(text) AS n FROM conversations)"
+
+
+@query(f"WITH RECURSIVE {_WORDS_OF_TURNS}, {_greedy('a', 'w', 'conv_id', 'turn', 0.3)} SELECT conv_id, turn FROM a")
 def conversation_unrepeated(spark, sf_dir):  # noqa: ANN001, ANN201
-    """V2, SET6, first pass; a lower limit than the default, as turns seldom repeat."""
-    facts = _turns(spark, sf_dir)
-    return vw.unrepeated(facts, "conv_id", 0.3).select("conv_id", "turn")
+    """SET6, first pass, by greedy selection in rounds; a lower limit than the default, as turns seldom repeat."""
+    return vw.unrepeated(_turns(spark, sf_dir), "conv_id", 0.3).select("conv_id", "turn")
+
+
+@query(f"WITH RECURSIVE {_WORDS_OF_TURNS}, {_greedy('a', 'w', 'conv_id', 'turn', 0.4)}, {_greedy('b', 'a', 'conv_id, day', 'n DESC, turn', 0.2)} SELECT conv_id, turn, DATE '2020-01-01' + day::INTEGER AS date FROM b")
+def conversation_timeline(spark, sf_dir):  # noqa: ANN001, ANN201
+    """V2, SET6: both passes; lower limits than the defaults, as turns seldom repeat."""
+    return vw.timeline(_turns(spark, sf_dir), "conv_id", 0.4, 0.2).select("conv_id", "turn", "date")
+
+
+#: Turns of all conversations that open alike are one case, so groups are large.
+@query(f"WITH RECURSIVE {_WORDS_OF_TURNS}, c AS (SELECT conv_id, turn, turn AS day, w, n FROM w), {_greedy('a', 'c', 'day', 'conv_id, turn', 0.45)} SELECT conv_id, turn FROM a")
+def turn_unrepeated(spark, sf_dir):  # noqa: ANN001, ANN201
+    """SET6 over large groups: turns of one number, without those that share over 0.45 of their words with an earlier one that stays."""
+    return vw.unrepeated(_turns(spark, sf_dir).withColumn("case", F.col("turn")), "case", 0.45).select("conv_id", "turn")
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY length(text) DESC, turn)::INTEGER AS rank FROM conversations")
