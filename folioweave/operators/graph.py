@@ -14,18 +14,36 @@ from folioweave.functions.text import amount_key
 from folioweave.session import settled
 
 
-def postings(facts: DataFrame) -> DataFrame:
-    """AGG1: (key, fact_id): entities, date, amount and type of each fact."""
+def _keys() -> Column:
     keys = F.concat(
         F.coalesce("entities", F.array().cast("array<string>")),
         F.array(F.concat(F.lit("date::"), F.col("date").cast("string")), F.concat(F.lit("amt::"), amount_key(F.col("amount"))), F.concat(F.lit("type::"), F.col("type"))),
     )
-    return facts.select("fact_id", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("key"))
+    return F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())))
+
+
+def postings(facts: DataFrame) -> DataFrame:
+    """AGG1: (key, fact_id): entities, date, amount and type of each fact."""
+    return facts.select("fact_id", _keys().alias("key"))
 
 
 def idf(posts: DataFrame, n_facts: Column) -> DataFrame:
     """AGG2: (key, df, idf)."""
-    return posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((n_facts + 1) / (F.col("df") + 1)) + 0.1)
+    return posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", _idf(F.col("df"), n_facts))
+
+
+def _idf(df: Column, n_facts: Column) -> Column:
+    return F.log((n_facts + 1) / (df + 1)) + 0.1
+
+
+def within_hub(posts: DataFrame, hub: int = lx.HUB) -> DataFrame:
+    """AGG3: posts with df, at most hub + 1 of a key: a key with more than `hub` has just as many, so its df is only known to be more.
+
+    What a key has beyond that goes before the shuffle, so a key that all facts have is as small as the others.
+    """
+    key = Window.partitionBy("key")
+    few = posts.withColumn("__r", F.row_number().over(key.orderBy("fact_id"))).where(F.col("__r") <= hub + 1).drop("__r")
+    return few.withColumn("df", F.count(F.lit(1)).over(key))
 
 
 def candidates(posts: DataFrame, hub: int = lx.HUB) -> DataFrame:
@@ -33,7 +51,7 @@ def candidates(posts: DataFrame, hub: int = lx.HUB) -> DataFrame:
 
     Hubs go before the self-join, which bounds a key's pairs by hub * (hub - 1) / 2 whatever the input.
     """
-    small = posts.join(posts.groupBy("key").count().where(F.col("count") <= hub).select("key"), "key")
+    small = within_hub(posts, hub).where(F.col("df") <= hub).drop("df")
     pairs = small.alias("x").join(small.alias("y"), "key").where("x.fact_id < y.fact_id")
     return pairs.select(F.col("x.fact_id").alias("a"), F.col("y.fact_id").alias("b")).distinct()
 
@@ -48,24 +66,106 @@ def inner_product(u: Column, v: Column) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
 
 
-def scored(facts: DataFrame, pairs: DataFrame, weights: DataFrame, similarity=None) -> DataFrame:  # noqa: ANN001
-    """FN14: (a, b, score, entity, time, text, same). weights: (key, idf). similarity(u, v): of two facts' structs, UDF1."""
-    heavy = facts.select("fact_id", F.explode("entities").alias("key")).distinct().join(weights, "key").groupBy("fact_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "idf"))).alias("w"))
-    slim = facts.join(heavy, "fact_id", "left").select("fact_id", F.struct(*[c for c in ("doc_id", "date", "polarity", "entities", "w", "vec") if c in (*facts.columns, "w")]).alias("f"))
-    both = pairs.join(slim.select(F.col("fact_id").alias("a"), F.col("f").alias("fa")), "a").join(slim.select(F.col("fact_id").alias("b"), F.col("f").alias("fb")), "b")
-    shared = F.array_intersect("fa.entities", "fb.entities")
+def weighted(facts: DataFrame, n_facts: Column, hub: int = lx.HUB) -> DataFrame:
+    """fact_id and f: doc_id, date, polarity, small (keys that can pair, sorted) and w (entities with their weights) of facts with a key that can pair.
+
+    Postings are written once, hubs cut off. Their keys' numbers follow from them, but those of entities that are hubs,
+    which are counted apart, if there are any.
+    """
+    rows = facts.select("fact_id", "doc_id", "date", "polarity", "entities", _keys().alias("key")).withColumn("entity", F.coalesce(F.array_contains("entities", F.col("key")), F.lit(False))).drop("entities")
+    known = settled(within_hub(rows, hub))
+    every = known.where(F.col("df") <= hub).withColumn("small", F.lit(True))
+    hubs = known.where((F.col("df") > hub) & F.col("entity")).select("key").distinct()
+    if hubs.limit(1).count():
+        # A third of all facts may have one of them, so both sides of the join are dealt out.
+        salts = 16
+        df = rows.where("entity").join(hubs, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = rows.where("entity").withColumn("salt", F.pmod(F.xxhash64("fact_id"), F.lit(salts)).cast("int")).join(df, ["key", "salt"]).drop("salt")
+        every = every.unionByName(salted.withColumn("small", F.lit(False)))
+    idf = _idf(F.col("df"), n_facts)
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "date", "polarity")]
+    of = every.groupBy("fact_id").agg(*first, F.sort_array(F.collect_list(F.when(F.col("small"), F.col("key")))).alias("small"), F.map_from_entries(F.collect_list(F.when(F.col("entity"), F.struct("key", idf.alias("idf"))))).alias("w"))
+    return of.where(F.size("small") > 0).select("fact_id", F.struct("doc_id", "date", "polarity", "small", "w").alias("f"))
+
+
+def rated(facts: DataFrame, n_facts: Column, hub: int = lx.HUB) -> DataFrame:
+    """JN1, FN14 without the text part: a, b, fa, fb, entity, time, same, base (their weighted sum), share_entity.
+
+    What a score needs travels with the postings, so a pair is scored where it is found, and only once: at the first key
+    that both have. Nothing is joined to pairs, and no distinct is taken of them.
+    """
+    posts = weighted(facts, n_facts, hub).withColumn("key", F.explode("f.small"))
+    # Both sides grow with the facts: never broadcast.
+    both = posts.alias("x").join(posts.alias("y").hint("merge"), "key").where("x.fact_id < y.fact_id").select("key", F.col("x.fact_id").alias("a"), F.col("y.fact_id").alias("b"), F.col("x.f").alias("fa"), F.col("y.f").alias("fb"))
+    both = both.where(F.col("key") == F.array_min(F.array_intersect("fa.small", "fb.small")))
+    shared = F.array_intersect(F.map_keys("fa.w"), F.map_keys("fb.w"))
     entity = F.least(F.coalesce(F.aggregate(F.sort_array(shared), F.lit(0.0), lambda s, k: s + F.try_element_at(F.col("fa.w"), k)), F.lit(0.0)) / 2.0, F.lit(1.0))
-    text = similarity(F.col("fa"), F.col("fb")) if similarity else (inner_product(F.col("fa.vec"), F.col("fb.vec")) if "vec" in facts.columns else F.lit(0.0))
     same = F.when(F.col("fa.doc_id") == F.col("fb.doc_id"), lx.SAME_BONUS).otherwise(0.0)
-    parts = both.select("a", "b", "fa", "fb", entity.alias("entity"), proximity(F.col("fa.date"), F.col("fb.date")).alias("time"), text.alias("text"), same.alias("same"), (F.size(shared) > 0).alias("share_entity"))
-    total = lx.W_ENTITY * F.col("entity") + lx.W_TIME * F.col("time") + lx.W_TEXT * F.col("text") + lx.W_SAME * F.col("same")
-    return parts.withColumn("score", total)
+    parts = both.select("a", "b", "fa", "fb", entity.alias("entity"), proximity(F.col("fa.date"), F.col("fb.date")).alias("time"), same.alias("same"), (F.size(shared) > 0).alias("share_entity"))
+    return parts.withColumn("base", total(F.lit(0.0)))
+
+
+def total(text: Column) -> Column:
+    """FN14: the weighted sum of a pair's parts."""
+    return lx.W_ENTITY * F.col("entity") + lx.W_TIME * F.col("time") + lx.W_TEXT * text + lx.W_SAME * F.col("same")
+
+
+def with_text(parts: DataFrame, facts: DataFrame, similarity=None) -> DataFrame:  # noqa: ANN001
+    """Pairs with the text part and the score. similarity(u, v): of two facts' structs, UDF1; else the inner product of `vec`."""
+    u, v = (facts.select(F.col("fact_id").alias(c), F.struct(*[x for x in facts.columns if x != "fact_id"]).alias(f"__{c}")) for c in "ab")
+    text = similarity(F.col("__a"), F.col("__b")) if similarity else inner_product(F.col("__a.vec"), F.col("__b.vec"))
+    return parts.join(u, "a").join(v, "b").withColumn("text", text).drop("__a", "__b").withColumn("score", total(F.col("text")))
+
+
+def scored(facts: DataFrame, n_facts: Column, hub: int = lx.HUB, similarity=None) -> DataFrame:  # noqa: ANN001
+    """FN14: every candidate pair: a, b, entity, time, text, same, score."""
+    parts = rated(facts, n_facts, hub)
+    if similarity or "vec" in facts.columns:
+        return with_text(parts, facts, similarity)
+    return parts.withColumn("text", F.lit(0.0)).withColumn("score", F.col("base"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Each pair at both its ends: __end.node and __end.other."""
+    return pairs.withColumn("__end", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+
+
+def promising(parts: DataFrame, facts: DataFrame, top_k: int, least: float, similarity=None, most: float = 1.0) -> DataFrame:  # noqa: ANN001
+    """Scored pairs, among which are all that can be among the top_k of an end; texts are compared for these alone.
+
+    No text part is above `most`, so a pair's bound is its base plus that. The first round scores the top_k pairs of each node
+    by base; a node's top_k-th best score among them is a threshold that its final top_k can't fall below. The second round
+    scores what reaches the threshold of either end.
+    """
+    bound = F.col("base") + lx.W_TEXT * most + 1e-9
+    open_ = settled(parts.withColumn("bound", bound).where(F.col("bound") >= least))
+    by_base = F.row_number().over(Window.partitionBy("__end.node").orderBy(F.desc("base"), "__end.other"))
+    first = _ends(open_.select("a", "b", "base")).withColumn("__r", by_base).where(F.col("__r") <= top_k).select("a", "b").distinct()
+    done = settled(with_text(open_.join(first, ["a", "b"]), facts, similarity))
+    by_score = F.row_number().over(Window.partitionBy("__end.node").orderBy(F.desc("score")))
+    bar = _ends(done.where(F.col("score") >= least).select("a", "b", "score")).withColumn("__r", by_score).where(F.col("__r") == top_k).select(F.col("__end.node").alias("node"), F.col("score").alias("bar"))
+    left = open_.join(first, ["a", "b"], "left_anti")
+    for c in "ab":
+        left = left.join(bar.select(F.col("node").alias(c), F.col("bar").alias(f"bar_{c}")), c, "left")
+    reach = F.least(F.coalesce("bar_a", F.lit(least)), F.coalesce("bar_b", F.lit(least)))
+    return done.unionByName(with_text(left.where(F.col("bound") >= reach).drop("bar_a", "bar_b"), facts, similarity)).drop("bound")
 
 
 def edge_label(p1: Column, p2: Column) -> Column:
     """FN15, SET4."""
+    return _named(_label_no(p1, p2))
+
+
+LABELS = ("POTENTIAL_CONFLICT", "SUPPORTS", "RELATED_TO")
+
+
+def _label_no(p1: Column, p2: Column) -> Column:
     clash = ((p1 == "ASSERTS") & (p2 == "DENIES")) | ((p1 == "DENIES") & (p2 == "ASSERTS"))
-    return F.when(clash, "POTENTIAL_CONFLICT").when((p1 == "ASSERTS") | (p2 == "ASSERTS"), "SUPPORTS").otherwise("RELATED_TO")
+    return F.when(clash, 0).when((p1 == "ASSERTS") | (p2 == "ASSERTS"), 1).otherwise(2)
+
+
+def _named(number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in LABELS]), number + 1)
 
 
 def sparsified(pairs: DataFrame, top_k: int = lx.TOP_K, least: float = lx.MIN_SCORE) -> DataFrame:
@@ -73,20 +173,22 @@ def sparsified(pairs: DataFrame, top_k: int = lx.TOP_K, least: float = lx.MIN_SC
 
     Each pair goes to both its ends with all its columns, so the pairs are computed once and nothing is joined back.
     """
-    good = pairs.where(F.col("score") >= least)
-    ends = good.withColumn("__end", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+    ends = _ends(pairs.where(F.col("score") >= least))
     rank = F.row_number().over(Window.partitionBy("__end.node").orderBy(F.desc("score"), "__end.other"))
     return ends.withColumn("__r", rank).where(F.col("__r") <= top_k).drop("__end", "__r").dropDuplicates(["a", "b"])
 
 
 def edges(facts: DataFrame, n_facts: Column | None = None, hub: int = lx.HUB, top_k: int = lx.TOP_K, least: float = lx.MIN_SCORE, gate: bool = False, similarity=None) -> DataFrame:  # noqa: ANN001
     """Postings to labelled edges: a, b, score, label, cross_doc and the score's parts. gate: only pairs that share an entity, JN16, after the top-k."""
-    posts = postings(facts)
     n = n_facts if n_facts is not None else F.lit(facts.count())
-    rated = scored(facts, candidates(posts, hub), idf(posts, n).select("key", "idf"), similarity)
-    label = edge_label(F.col("fa.polarity"), F.col("fb.polarity")).alias("label")
-    slim = rated.select("a", "b", "score", label, (F.col("fa.doc_id") != F.col("fb.doc_id")).alias("cross_doc"), *[F.round(c, 3).alias(c) for c in ("entity", "time", "text", "same")], "share_entity")
-    pairs = sparsified(slim, top_k, least)
+    if similarity or "vec" in facts.columns:
+        pairs = promising(rated(facts, n, hub), facts, top_k, least, similarity)
+    else:
+        pairs = rated(facts, n, hub).where(F.col("base") >= least).withColumn("text", F.lit(0.0)).withColumn("score", F.col("base"))
+    # Columns of fixed width only, so that pairs are aggregated by hash; the label gets its name at the end.
+    label = _label_no(F.col("fa.polarity"), F.col("fb.polarity")).alias("label")
+    slim = pairs.select("a", "b", "score", label, (F.col("fa.doc_id") != F.col("fb.doc_id")).alias("cross_doc"), *[F.round(c, 3).alias(c) for c in ("entity", "time", "text", "same")], "share_entity")
+    pairs = sparsified(slim, top_k, least).withColumn("label", _named(F.col("label")))
     return (pairs.where("share_entity") if gate else pairs).drop("share_entity")
 
 

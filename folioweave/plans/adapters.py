@@ -35,3 +35,18 @@ def page_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", " ")
     text = F.regexp_replace(html, r"<[^>]*>", "\n")
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), text.alias("text"))
+
+
+def vector_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as facts with a vector: twelve neighbours by id share an entity, days are spread by id."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.col("vec_id").alias("fact_id"),
+        F.col("label").cast("string").alias("doc_id"),
+        F.lit(None).cast("string").alias("type"),
+        F.array(F.concat(F.lit("block::"), F.floor(F.col("vec_id") / 12).cast("string"))).alias("entities"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("vec_id") * 37 % 200).cast("int")).alias("date"),
+        F.lit(None).cast("string").alias("amount"),
+        F.when(F.col("vec_id") % 3 == 0, "ASSERTS").when(F.col("vec_id") % 3 == 1, "DENIES").otherwise("NEUTRAL").alias("polarity"),
+        F.col("embedding").alias("vec"),
+    )

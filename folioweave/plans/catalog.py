@@ -18,7 +18,7 @@ from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
 from folioweave.plans import exchange, fixtures, reading
-from folioweave.plans.adapters import event_facts, order_facts, page_units, table
+from folioweave.plans.adapters import event_facts, order_facts, page_units, table, vector_facts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -77,8 +77,7 @@ def graph_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
 @query(f"WITH {_FACTS} SELECT a, b, round(score, 6) AS score, round(entity, 6) AS entity, round(time, 6) AS time, same FROM scored")
 def graph_scores(spark, sf_dir):  # noqa: ANN001, ANN201
     facts = order_facts(spark, sf_dir)
-    posts = g.postings(facts)
-    rows = g.scored(facts, g.candidates(posts), g.idf(posts, F.lit(facts.count())).select("key", "idf"))
+    rows = g.scored(facts, F.lit(facts.count()))
     return rows.select("a", "b", F.round("score", 6).alias("score"), F.round("entity", 6).alias("entity"), F.round("time", 6).alias("time"), "same")
 
 
@@ -126,6 +125,32 @@ def graph_clusters(spark, sf_dir):  # noqa: ANN001, ANN201
     return g.clusters(g.edges(order_facts(spark, sf_dir), gate=True))
 
 
+_VECTOR_FACTS = """
+facts AS MATERIALIZED (SELECT vec_id AS fact_id, label, 'block::' || (vec_id // 12) AS ent, DATE '2020-01-01' + (vec_id * 37 % 200)::INTEGER AS date, embedding::DOUBLE[] AS vec, vec_id % 3 AS p FROM embeddings),
+posts AS MATERIALIZED (SELECT fact_id, ent AS key FROM facts UNION ALL SELECT fact_id, 'date::' || date FROM facts),
+idf AS MATERIALIZED (SELECT key, count(*) AS df, ln(((SELECT count(*) FROM facts) + 1) / (count(*) + 1)) + 0.1 AS idf FROM posts GROUP BY key),
+cand AS MATERIALIZED (SELECT DISTINCT x.fact_id AS a, y.fact_id AS b FROM posts x JOIN posts y USING (key) JOIN idf USING (key) WHERE df <= 40 AND x.fact_id < y.fact_id),
+parts AS MATERIALIZED (SELECT a, b, x.p AS pa, y.p AS pb, CASE WHEN x.ent = y.ent THEN least(idf.idf / 2.0, 1.0) ELSE 0.0 END AS entity, greatest(0.0, 1 - abs(date_diff('day', x.date, y.date)) / 180) AS time, {text} AS text,
+  CASE WHEN x.label = y.label THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS same FROM cand JOIN facts x ON x.fact_id = a JOIN facts y ON y.fact_id = b JOIN idf ON idf.key = x.ent),
+good AS MATERIALIZED (SELECT *, 0.35 * entity + 0.20 * time + 0.35 * text + 0.10 * same AS score FROM parts WHERE 0.35 * entity + 0.20 * time + 0.35 * text + 0.10 * same >= 0.2),
+kept AS (SELECT DISTINCT least(node, other) AS a, greatest(node, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS r FROM (SELECT a AS node, b AS other, score FROM good UNION ALL SELECT b, a, score FROM good)) WHERE r <= 2)
+SELECT a, b, round(score, 6) AS score, round(text, 3) AS text, CASE WHEN (pa = 0 AND pb = 1) OR (pa = 1 AND pb = 0) THEN 'POTENTIAL_CONFLICT' WHEN pa = 0 OR pb = 0 THEN 'SUPPORTS' ELSE 'RELATED_TO' END AS label FROM good JOIN kept USING (a, b)
+"""
+
+
+@query("WITH " + _VECTOR_FACTS.format(text="list_inner_product(x.vec, y.vec)"))
+def graph_vector_edges(spark, sf_dir):  # noqa: ANN001, ANN201
+    """FN13, FN14, WIN1: facts with vectors, which are only compared for pairs that can be among an end's best."""
+    return g.edges(vector_facts(spark, sf_dir), top_k=2, least=0.2).select("a", "b", F.round("score", 6).alias("score"), "text", "label")
+
+
+@query("WITH " + _VECTOR_FACTS.format(text="CASE WHEN (x.vec[1] < 0) = (y.vec[1] < 0) THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END"))
+def graph_similarity_edges(spark, sf_dir):  # noqa: ANN001, ANN201
+    """UDF1: an injected similarity of two facts."""
+    alike = lambda u, v: F.when((u["vec"][0] < 0) == (v["vec"][0] < 0), 1.0).otherwise(0.25)
+    return g.edges(vector_facts(spark, sf_dir), top_k=2, least=0.2, similarity=alike).select("a", "b", F.round("score", 6).alias("score"), "text", "label")
+
+
 # ---------------------------------------------------------------- events
 
 

@@ -1,5 +1,8 @@
+import datetime
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioweave import lexicons as lx
@@ -42,6 +45,58 @@ def test_hubs_do_not_pair_and_repartitioning_changes_nothing(spark):
     assert a and a == sorted(map(tuple, g.edges(facts.repartition(7, "doc_id"), least=0.1).collect()))
 
 
+def brute_edges(rows, hub, top_k, least, vec):
+    """All pairs, scored and ranked one by one."""
+    keys = {r[0]: {*(r[3] or []), *([f"date::{r[4]}"] if r[4] else []), f"type::{r[2]}"} for r in rows}
+    df = {}
+    for ks in keys.values():
+        for k in ks:
+            df[k] = df.get(k, 0) + 1
+    idf = {k: math.log((len(rows) + 1) / (n + 1)) + 0.1 for k, n in df.items()}
+    score = {}
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and any(df[k] <= hub for k in keys[x[0]] & keys[y[0]]):
+                entity = min(sum(idf[k] for k in sorted(set(x[3] or []) & set(y[3] or []))) / 2, 1.0)
+                time = max(0.0, 1 - abs((x[4] - y[4]).days) / lx.HORIZON_DAYS) if x[4] and y[4] else 0.0
+                text = sum(a * b for a, b in zip(vec[x[0]], vec[y[0]], strict=True)) if vec else 0.0
+                score[x[0], y[0]] = lx.W_ENTITY * entity + lx.W_TIME * time + lx.W_TEXT * text + lx.W_SAME * (lx.SAME_BONUS if x[1] == y[1] else 0.0)
+    good = {p: s for p, s in score.items() if s >= least}
+    kept = set()
+    for n in keys:
+        ends = sorted((-s, b if a == n else a, (a, b)) for (a, b), s in good.items() if n in (a, b))
+        kept |= {p for _, _, p in ends[:top_k]}
+    return {p: round(good[p], 9) for p in kept}
+
+
+@pytest.mark.parametrize("with_vectors", [False, True])
+def test_edges_against_all_pairs(spark, with_vectors):
+    """Hub entities count in scores though they make no pairs; bounds and thresholds lose no pair."""
+    rng = random.Random(9)
+    rows, vec = [], {}
+    for i in range(150):
+        entities = [f"e{rng.randrange(30)}" for _ in range(rng.randrange(3))] + (["court"] if i % 2 else [])
+        rows.append((i, f"d{i % 7}", f"T{i % 2}", entities if i % 11 else None, datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(90)) if i % 5 else None, None, "NEUTRAL"))
+        v = [rng.gauss(0, 1) for _ in range(3)]
+        vec[i] = [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    facts = spark.createDataFrame(rows, FACTS)
+    if with_vectors:
+        facts = facts.join(spark.createDataFrame([(i, v) for i, v in vec.items()], "fact_id long, vec array<double>"), "fact_id")
+    for hub, top_k, least in ((12, 3, 0.05), (40, 1, 0.2)):
+        got = {(r.a, r.b): round(r.score, 9) for r in g.edges(facts, hub=hub, top_k=top_k, least=least).collect()}
+        assert got == brute_edges(rows, hub, top_k, least, vec if with_vectors else None) != {}
+
+
+def test_bounds_leave_pairs_out(spark):
+    """What `promising` scores is less than all candidates."""
+    rng = random.Random(2)
+    rows = [(i, "d", "T", ["e"], datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(2000)), None, "NEUTRAL", [1.0, 0.0]) for i in range(40)]
+    facts = spark.createDataFrame(rows, FACTS + ", vec array<double>")
+    n = F.lit(40)
+    parts = g.rated(facts, n)
+    assert g.promising(parts, facts, 2, 0.3).count() < parts.count() / 2
+
+
 def test_linked_documents_and_control(spark):
     rows = [(1, "09", "P", ["ORG:bank"], None, None, "ASSERTS"), (2, "21", "P", ["ORG:bank"], None, None, "DENIES"), (3, "01", "P", ["ORG:mill"], None, None, "ASSERTS")]
     out = g.edges(spark.createDataFrame(rows, FACTS), least=0.05, gate=True).collect()
