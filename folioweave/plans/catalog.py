@@ -17,7 +17,7 @@ from folioweave.operators import segment as sg
 from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
-from folioweave.plans import exchange, fixtures, reading
+from folioweave.plans import given, reading
 from folioweave.plans.adapters import event_facts, order_facts, page_units, table, vector_facts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | reading.queries() | fixtures.queries() | exchange.queries()
+    return _QUERIES | reading.queries() | given.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | reading.oracle_sql() | fixtures.oracle_sql() | exchange.oracle_sql()
+    return _SQL | reading.oracle_sql() | given.oracle_sql()
 
 
 # ---------------------------------------------------------------- graph over orders

@@ -1,4 +1,4 @@
-"""Queries over small literal inputs that pass through sources, sinks and ordered folds, with the rows to expect as SQL."""
+"""Cases of small literal inputs that pass through sources, sinks and ordered folds, with the rows to expect as SQL."""
 
 from __future__ import annotations
 
@@ -14,10 +14,11 @@ from folioweave.functions import fuzzy as fz
 from folioweave.operators import graph as g
 from folioweave.operators import segment as sg
 from folioweave.operators import symbols as sy
-from folioweave.plans.fixtures import literal_rows
 from folioweave.session import shared_folder
 from folioweave.sources import readers, sinks
 
+from .fixtures import literal_rows
+
 
 def _put(spark: SparkSession, files: dict[str, bytes]) -> str:
     """A folder of files in the folder that the cluster shares; it goes when the driver ends."""

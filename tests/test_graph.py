@@ -14,7 +14,8 @@ from folioweave.operators import segment as sg
 from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
-from folioweave.plans.fixtures import BUNDLE, bundle_units
+
+from .cases.fixtures import BUNDLE, bundle_units
 
 FACTS = "fact_id long, doc_id string, type string, entities array<string>, date date, amount string, polarity string"
 
