@@ -40,6 +40,29 @@ def _placed(pieces: Column) -> Column:
     return F.aggregate(firsts, start, run, lambda acc: F.flatten(F.transform(acc, lambda r: r["found"])))
 
 
+def line_starts(pieces: Column) -> Column:
+    """array<struct<line, start>>: lines, of a text cut at line feeds, with the offsets at which they start. Folds over runs of lines, as above."""
+    return F.transform(F.array(pieces), _started)[0]
+
+
+def _started(pieces: Column) -> Column:
+    n = F.size(pieces)
+    long = F.ceil(F.sqrt(n)).cast("int")
+    none = F.array().cast("array<struct<line:string,start:int>>")
+
+    def step(acc: Column, line: Column) -> Column:
+        one = F.struct(line.alias("line"), acc["at"].alias("start"))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+    def run(acc: Column, first: Column) -> Column:
+        start = F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("found"))
+        return F.concat(acc, F.array(F.aggregate(F.slice(pieces, first + 1, long), start, step)))
+
+    start = F.array(F.struct(F.lit(0).alias("at"), none.alias("found")))
+    firsts = F.when(n > 0, F.sequence(F.lit(0), n - 1, long)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(firsts, start, run, lambda acc: F.flatten(F.transform(acc, lambda r: r["found"])))
+
+
 def exploded(units: DataFrame, pattern: str, kind: str, keys: list[str], text: str = "text") -> DataFrame:
     """One row per match: keys, kind, raw, start, end. Units without a match give none."""
     one = units.select(*keys, F.explode(spans(F.col(text), pattern)).alias("m"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave import lexicons as lx
+from folioweave.functions.spans import line_starts
 
 
 def page_kind(text: Column, has_images: Column) -> Column:
@@ -25,51 +26,71 @@ def without_furniture(text: Column) -> Column:
 
 
 def lines(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """WIN4: keys, line_no from 0, line, and the offset at which it starts; one empty line for an empty text, none for null."""
-    parts = units.select(*keys, F.split(F.col(text), "\n").alias("__p"))
-    exploded = parts.select(*keys, F.posexplode("__p").alias("line_no", "line"))
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return exploded.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("int"))
+    """WIN4: keys, line_no from 0, line, and the offset at which it starts; one empty line for an empty text, none for null. A row's own work: nothing is shuffled."""
+    return units.select(*keys, F.posexplode(line_starts(F.split(F.col(text), "\n"))).alias("line_no", "__l")).select(*keys, "line_no", "__l.line", "__l.start")
+
+
+def _headings(text: Column, pattern: str) -> Column:
+    """array<struct<offset, heading>> of a page's headed lines, in order; null for a null text."""
+    headed = F.filter(line_starts(F.split(text, "\n")), lambda r: F.trim(r["line"]).rlike(pattern))
+    return F.transform(headed, lambda r: F.struct(r["start"].alias("offset"), F.trim(r["line"]).alias("heading")))
 
 
 def headings(pages: DataFrame, pattern: str = lx.HEADING) -> DataFrame:
     """SEG1: doc_id, page_number, heading, offset of headed lines."""
-    found = lines(pages, ["doc_id", "page_number"]).where(F.trim("line").rlike(pattern))
-    return found.select("doc_id", "page_number", F.trim("line").alias("heading"), F.col("start").alias("offset"))
+    found = pages.select("doc_id", "page_number", F.explode(_headings(F.col("text"), pattern)).alias("h"))
+    return found.select("doc_id", "page_number", "h.heading", "h.offset")
+
+
+def _toc_lines(text: Column) -> Column:
+    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda r: r.rlike(lx.TOC_DOTTED) | r.rlike(lx.TOC_COLUMNS))), F.lit(0)).cast("long")
 
 
 def toc_pages(pages: DataFrame, least: int = lx.TOC_LINES) -> DataFrame:
     """SEG2: pages with enough lines that look like a table of contents."""
-    hit = F.col("line").rlike(lx.TOC_DOTTED) | F.col("line").rlike(lx.TOC_COLUMNS)
-    return lines(pages, ["doc_id", "page_number"]).where(hit).groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("toc_lines")).where(F.col("toc_lines") >= least)
+    return pages.select("doc_id", "page_number", F.when(F.col("text").isNotNull(), _toc_lines(F.col("text"))).alias("toc_lines")).where(F.col("toc_lines") >= least)
 
 
-def structure(pages: DataFrame, bookmarks: DataFrame | None = None, pattern: str = lx.HEADING) -> DataFrame:
-    """SEG3: doc_id, has_bookmarks, n_toc_pages, n_headings, structure_score, scanned_ratio, mode."""
-    base = pages.groupBy("doc_id").agg(F.avg((F.col("page_kind") != "digital").cast("double")).alias("__scanned"))
-    heads = headings(pages, pattern).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_headings"))
-    tocs = toc_pages(pages).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_toc_pages"))
-    marks = bookmarks if bookmarks is not None else pages.sparkSession.createDataFrame([], "doc_id string, has_bookmarks boolean").select(F.col("doc_id").cast(pages.schema["doc_id"].dataType), "has_bookmarks")
-    joined = base.join(heads, "doc_id", "left").join(tocs, "doc_id", "left").join(marks, "doc_id", "left").fillna({"n_headings": 0, "n_toc_pages": 0, "has_bookmarks": False})
+def _scored(rows: DataFrame) -> DataFrame:
+    """mode and what it is made of, from has_bookmarks, n_toc_pages, n_headings and __scanned."""
     score = lx.BOOKMARK_WEIGHT * F.col("has_bookmarks").cast("int") + lx.TOC_WEIGHT * F.col("n_toc_pages") + lx.HEADING_WEIGHT * F.col("n_headings")
     need = F.when(F.col("__scanned") > 0.5, lx.NOISY_THRESHOLD).otherwise(lx.STRUCTURE_THRESHOLD)
-    return joined.select("doc_id", "has_bookmarks", "n_toc_pages", "n_headings", score.alias("structure_score"), F.round("__scanned", 2).alias("scanned_ratio"), F.when(score >= need, "structured").otherwise("fallback").alias("mode"))
+    return rows.withColumn("structure_score", score).withColumn("mode", F.when(score >= need, "structured").otherwise("fallback"))
+
+
+def _measured(pages: DataFrame, bookmarks: DataFrame | None, pattern: str) -> DataFrame:
+    """pages with __h, their headings, and what the mode of a document counts of each page."""
+    rows = pages.withColumn("__h", _headings(F.col("text"), pattern)).withColumn("__toc", (_toc_lines(F.col("text")) >= lx.TOC_LINES).cast("long")).withColumn("__s", (F.col("page_kind") != "digital").cast("double"))
+    if bookmarks is None:
+        return rows.withColumn("has_bookmarks", F.lit(False))
+    return rows.join(bookmarks.select(F.col("doc_id").cast(pages.schema["doc_id"].dataType), "has_bookmarks"), "doc_id", "left").fillna({"has_bookmarks": False})
+
+
+_OF_DOCUMENT = {"n_headings": lambda: F.sum(F.greatest(F.size("__h"), F.lit(0)).cast("long")), "n_toc_pages": lambda: F.sum("__toc"), "__scanned": lambda: F.avg("__s"), "has_bookmarks": lambda: F.max("has_bookmarks")}
+
+
+def structure(pages: DataFrame, bookmarks: DataFrame | None = None, pattern: str = lx.HEADING) -> DataFrame:
+    """SEG3: doc_id, has_bookmarks, n_toc_pages, n_headings, structure_score, scanned_ratio, mode."""
+    rows = _scored(_measured(pages, bookmarks, pattern).groupBy("doc_id").agg(*[f().alias(c) for c, f in _OF_DOCUMENT.items()]))
+    return rows.select("doc_id", "has_bookmarks", "n_toc_pages", "n_headings", "structure_score", F.round("__scanned", 2).alias("scanned_ratio"), "mode")
 
 
 def sections(pages: DataFrame, bookmarks: DataFrame | None = None, pattern: str = lx.HEADING) -> DataFrame:
     """SEG4, SEG5, SEG7: doc_id, section_no, section_label, detected, text, page_offsets.
 
     A structured document starts a section at each heading. A page with several headings is cut at them, and what
-    stands before its first one is left out, as is an all-blank cut. Other documents have a section per page.
+    stands before its first one is left out, as is an all-blank cut. Other documents have a section per page. Headings
+    are found in the rows of pages, so pages are shuffled once, by document.
     """
-    mode = structure(pages, bookmarks, pattern).where((F.col("mode") == "structured") & (F.col("n_headings") > 0)).select("doc_id", F.lit(True).alias("__headed"))
-    marked = pages.join(mode, "doc_id", "left")
-    heads = headings(pages, pattern).groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("offset", "heading"))).alias("__h"))
-    joined = marked.join(heads, ["doc_id", "page_number"], "left")
-    many = F.coalesce(F.col("__headed"), F.lit(False)) & (F.size("__h") > 1)
+    doc = Window.partitionBy("doc_id")
+    measured = _measured(pages, bookmarks, pattern)
+    for c, f in _OF_DOCUMENT.items():
+        measured = measured.withColumn(c, f().over(doc))
+    marked = _scored(measured).withColumn("headed", (F.col("mode") == "structured") & (F.col("n_headings") > 0))
+    many = F.col("headed") & (F.size("__h") > 1)
     cuts = F.transform("__h", lambda h, i: F.struct(h["heading"].alias("heading"), F.substring(F.col("text"), h["offset"] + 1, F.coalesce(F.try_element_at(F.col("__h"), i + 2)["offset"], F.length("text")) - h["offset"]).alias("text")))
-    whole = F.array(F.struct(F.when(F.coalesce(F.col("__headed"), F.lit(False)), F.col("__h")[0]["heading"]).alias("heading"), F.col("text").alias("text")))
-    parts = joined.select("doc_id", "page_number", F.coalesce("__headed", F.lit(False)).alias("headed"), F.posexplode(F.when(many, cuts).otherwise(whole)).alias("cut", "c")).select("doc_id", "page_number", "headed", "cut", "c.heading", "c.text")
+    whole = F.array(F.struct(F.when(F.col("headed"), F.try_element_at("__h", F.lit(1))["heading"]).alias("heading"), F.col("text").alias("text")))
+    parts = marked.select("doc_id", "page_number", "headed", F.posexplode(F.when(many, cuts).otherwise(whole)).alias("cut", "c")).select("doc_id", "page_number", "headed", "cut", "c.heading", "c.text")
     parts = parts.where((F.col("cut") == 0) & F.col("heading").isNull() | ~F.col("headed") | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
     order = Window.partitionBy("doc_id").orderBy("page_number", "cut")
     opens = F.col("heading").isNotNull() | ~F.col("headed") | (F.row_number().over(order) == 1)
