@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave import lexicons as lx
-from folioweave.functions.fuzzy import common_to, may_reach, places, ratio, similarity, token_set_ratio
+from folioweave.functions.fuzzy import common_to, may_reach, places, ratio, similarity
 from folioweave.functions.text import act_without_year, normal_name, provision_key, symbol_key
 from folioweave.operators.greedy import best_match, kept_in_order
+from folioweave.operators.lookup import token_set_matches
 from folioweave.session import settled
 
 
@@ -116,47 +113,25 @@ def prefixed(rows: DataFrame, text: str, rules: list[tuple[str, str]]) -> DataFr
     return rows.withColumn("value", first_prefix(F.col(text), rules))
 
 
-#: Entries of an index of acts that is sent to the tasks, at most; a published one has under a thousand.
-INDEX_MOST = 20_000
-
-
-def _act_name(text: str) -> str:
-    return re.sub(r",?\s*\d{4}\s*$", "", text).strip().lower()
+_YEAR = r",?\s*\d{4}\s*$"
 
 
-def best_act(act: str, index: list[tuple[str, str, int | None, str]], least: float) -> tuple[str, str, float] | None:
-    """id, short_title, score of the entry most like an act's name, first among those of its year, then among all."""
-    name, year = _act_name(act), re.search(r"(\d{4})\s*$", act)
-    words, room = set(name.split()), 1 - least / 100
-    best = None
-    for entry, title, in_year, other in index:
-        # Names without a word in common only reach the score if they are about as long as each other.
-        if words.isdisjoint(other.split()) and abs(len(name) - len(other)) > room * (len(name) + len(other)):
-            continue
-        score = token_set_ratio(name, other)
-        if score >= least:
-            rank = (not (year and in_year == int(year[1])), -score, len(title), entry)
-            best = min(best or (rank, entry, title, score), (rank, entry, title, score))
-    return best[1:] if best else None
+def _act_name(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, _YEAR, "")))
 
 
 def looked_up_acts(acts: DataFrame, index: DataFrame, least: float = lx.FUZZY_ACT) -> DataFrame:
     """JN13: act, id, short_title, score: the index entry most like an act's name, first among those of its year, then among all.
 
-    index: id, short_title, act_year. Every different name is compared with the whole index, which goes to the tasks and is
-    refused beyond INDEX_MOST entries.
+    index: id, short_title, act_year; any size. Ties go to the shorter title, then to the smaller id. Names are compared without
+    their year; entries without id or title take no part, acts without a match have no row.
     """
-    rows = index.select("id", "short_title", F.col("act_year").cast("int").alias("act_year")).limit(INDEX_MOST + 1).collect()
-    if len(rows) > INDEX_MOST:
-        raise ValueError(f"an index of more than {INDEX_MOST} acts")
-    known = sorted((r["id"], r["short_title"], r["act_year"], _act_name(r["short_title"])) for r in rows if r["id"] and r["short_title"])
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(act, *got) for act in pdf["act"] if (got := best_act(act, known, least))]
-            yield pd.DataFrame(found, columns=["act", "id", "short_title", "score"])
-
-    return acts.select("act").where(F.col("act").isNotNull()).distinct().mapInPandas(look, "act string, id string, short_title string, score double")
+    named = acts.select("act").where(F.col("act").isNotNull()).distinct().select("act", _act_name(F.col("act")).alias("name"), F.nullif(F.regexp_extract("act", r"(\d{4})\s*$", 1), F.lit("")).cast("int").alias("year"))
+    known = index.where(F.col("id").isNotNull() & (F.col("short_title") != "")).select("id", "short_title", F.col("act_year").cast("int").alias("act_year"), _act_name(F.col("short_title")).alias("b"))
+    pairs = token_set_matches(named, known.select(F.col("b").alias("name")), least)
+    every = named.join(pairs, F.col("name") == F.col("a")).join(known, "b")
+    rank = F.struct(F.coalesce(F.col("year") != F.col("act_year"), F.lit(True)).alias("other_year"), (-F.col("score")).alias("s"), F.length("short_title").alias("n"), "id", "short_title")
+    return every.groupBy("act").agg(F.min(rank).alias("r")).select("act", "r.id", "r.short_title", (-F.col("r.s")).alias("score"))
 
 
 def is_versus(line: Column) -> Column:
