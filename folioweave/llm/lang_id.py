@@ -91,15 +91,16 @@ class Model:
         return self.langs[best], float(p[best])
 
 
-def fit(sample: list[tuple[str, np.ndarray]]) -> Model:
-    """sample: language and counts of each row, in a fixed order. Every fifth row only fits the temperature."""
-    langs = sorted({lang for lang, _ in sample})
-    seen = sum((c > 0 for _, c in sample), np.zeros(DIM, np.int64))
+def fit(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """sample: language, and the grams and counts of each row, in a fixed order. Every fifth row only fits the temperature."""
+    langs = sorted({lang for lang, _, _ in sample})
+    seen = np.zeros(DIM, np.int64)
+    for _, at, _ in sample:
+        seen[at] += 1
     idf = np.log((1 + len(sample)) / (1 + seen)) + 0.1
     rows = []
-    for lang, c in sample:
-        at = np.flatnonzero(c)
-        v = (1 + np.log(c[at])) * idf[at]
+    for lang, at, n in sample:
+        v = (1 + np.log(n)) * idf[at]
         rows.append((langs.index(lang), at, v / np.sqrt(v @ v)))
     k = len(langs)
     z, n = np.zeros((k, DIM + 1)), np.zeros((k, DIM + 1))
@@ -144,7 +145,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = counts(batch.column(2)[row].as_py() or "")
             if c is not None:
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([c[at].tolist()], pa.list_(pa.int64()))], ["h", "lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([c[at].astype(np.int64).tobytes()], pa.binary())], ["h", "lang", "at", "n"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -156,13 +157,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in sorted(ids)], "__id long"))
     texts = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where(F.col("lang").isNotNull())
-    found = texts.join(wanted, F.col("id") == F.col("__id"), "left_semi").select("h", "lang", "text").mapInArrow(_counted, "h long, lang string, at array<int>, n array<long>").collect()
-    sample = []
-    for r in sorted(found, key=lambda r: (r["h"], r["lang"])):
-        c = np.zeros(DIM, np.int64)
-        c[r["at"]] = r["n"]
-        sample.append((r["lang"], c))
-    return fit(sample)
+    found = texts.join(wanted, F.col("id") == F.col("__id"), "left_semi").select("h", "lang", "text").mapInArrow(_counted, "h long, lang string, at binary, n binary").collect()
+    # Numbers stay packed: as lists of Python they would take many times as much of the driver.
+    return fit([(r["lang"], np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["n"], np.int64)) for r in sorted(found, key=lambda r: (r["h"], r["lang"]))])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
