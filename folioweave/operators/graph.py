@@ -14,7 +14,8 @@ from folioweave.functions.text import amount_key
 from folioweave.session import settled
 
 
-def _keys() -> Column:
+def keys_of() -> Column:
+    """A row for each key of a fact's columns."""
     keys = F.concat(
         F.coalesce("entities", F.array().cast("array<string>")),
         F.array(F.concat(F.lit("date::"), F.col("date").cast("string")), F.concat(F.lit("amt::"), amount_key(F.col("amount"))), F.concat(F.lit("type::"), F.col("type"))),
@@ -24,7 +25,7 @@ def _keys() -> Column:
 
 def postings(facts: DataFrame) -> DataFrame:
     """AGG1: (key, fact_id): entities, date, amount and type of each fact."""
-    return facts.select("fact_id", _keys().alias("key"))
+    return facts.select("fact_id", keys_of().alias("key"))
 
 
 def idf(posts: DataFrame, n_facts: Column) -> DataFrame:
@@ -72,7 +73,7 @@ def weighted(facts: DataFrame, n_facts: Column, hub: int = lx.HUB) -> DataFrame:
     Postings are written once, hubs cut off. Their keys' numbers follow from them, but those of entities that are hubs,
     which are counted apart, if there are any.
     """
-    rows = facts.select("fact_id", "doc_id", "date", "polarity", "entities", _keys().alias("key")).withColumn("entity", F.coalesce(F.array_contains("entities", F.col("key")), F.lit(False))).drop("entities")
+    rows = facts.select("fact_id", "doc_id", "date", "polarity", "entities", keys_of().alias("key")).withColumn("entity", F.coalesce(F.array_contains("entities", F.col("key")), F.lit(False))).drop("entities")
     known = settled(within_hub(rows, hub))
     every = known.where(F.col("df") <= hub).withColumn("small", F.lit(True))
     hubs = known.where((F.col("df") > hub) & F.col("entity")).select("key").distinct()

@@ -29,9 +29,9 @@ def unstable_names(rows: DataFrame, name: str, role: str) -> DataFrame:
     return rows.groupBy(name).agg(F.countDistinct(role).alias("n_roles")).where("n_roles > 1")
 
 
-def coverage(found: DataFrame, facts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """AGG19, JN17: of spans `found` (start, end), how many lie inside a fact, by document."""
-    left = uncovered(found, facts, keys).groupBy(keys[0]).agg(F.count(F.lit(1)).alias("__out"))
+def coverage(found: DataFrame, facts: DataFrame, keys: list[str] = KEYS, spread: bool = False) -> DataFrame:
+    """AGG19, JN17: of spans `found` (start, end), how many lie inside a fact, by document. spread: documents may be too large for one task."""
+    left = uncovered(found, facts, keys, spread).groupBy(keys[0]).agg(F.count(F.lit(1)).alias("__out"))
     total = found.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n"))
     return total.join(left, keys[0], "left").select(keys[0], "n", (F.col("n") - F.coalesce("__out", F.lit(0))).alias("n_covered"))
 

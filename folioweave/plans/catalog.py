@@ -17,7 +17,7 @@ from folioweave.operators import segment as sg
 from folioweave.operators import summary as sm
 from folioweave.operators import symbols as sy
 from folioweave.operators import views as vw
-from folioweave.plans import given, reading
+from folioweave.plans import exchanged, given, reading
 from folioweave.plans.adapters import event_facts, order_facts, page_units, table, vector_facts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | reading.queries() | given.queries()
+    return _QUERIES | reading.queries() | given.queries() | exchanged.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | reading.oracle_sql() | given.oracle_sql()
+    return _SQL | reading.oracle_sql() | given.oracle_sql() | exchanged.oracle_sql()
 
 
 # ---------------------------------------------------------------- graph over orders
@@ -183,7 +183,7 @@ def events_uncovered(spark, sf_dir):  # noqa: ANN001, ANN201
     e = table(spark, sf_dir, "events").withColumn("doc_id", F.col("user_id"))
     spans_ = e.where("event_type = 'purchase'").select("doc_id", F.col("event_id").alias("char_start"), (F.col("event_id") + 60).alias("char_end"))
     found = e.where("event_type = 'error'").select("doc_id", F.col("event_id").alias("start"), (F.col("event_id") + 5).alias("end"))
-    return fx.uncovered(found, spans_, ["doc_id"]).select("doc_id", "start")
+    return fx.uncovered(found, spans_, ["doc_id"], spread=True).select("doc_id", "start")
 
 
 @query("SELECT user_id AS doc_id, count(DISTINCT user_id) AS n_documents, count(*) AS n_facts, count(ts) AS n_dated, min(ts::DATE) AS first_date, max(ts::DATE) AS last_date FROM events GROUP BY user_id")
@@ -218,7 +218,7 @@ def events_coverage(spark, sf_dir):  # noqa: ANN001, ANN201
     e = table(spark, sf_dir, "events").withColumn("doc_id", F.col("user_id"))
     spans_ = e.where("event_type = 'purchase'").select("doc_id", F.col("event_id").alias("char_start"), (F.col("event_id") + 60).alias("char_end"))
     found = e.where("event_type = 'error'").select("doc_id", F.col("event_id").alias("start"), (F.col("event_id") + 5).alias("end"))
-    return sm.coverage(found, spans_, ["doc_id"])
+    return sm.coverage(found, spans_, ["doc_id"], spread=True)
 
 
 @query("WITH f AS (SELECT event_id AS fact_id, user_id AS doc_id, event_id AS s, event_id + 50 AS e FROM events WHERE event_type = 'purchase'), p AS (SELECT user_id, event_id AS s, event_id + 30 + (event_id % 7) * 60 AS e FROM events WHERE event_type = 'view'), m AS (SELECT fact_id, min((-(least(f.e, p.e) - greatest(f.s, p.s)), p.s, p.e)) AS b FROM f JOIN p ON p.user_id = f.doc_id AND least(f.e, p.e) > greatest(f.s, p.s) GROUP BY 1) SELECT fact_id, doc_id, CASE WHEN b[3] - b[2] <= 300 THEN b[2] ELSE s END AS char_start, CASE WHEN b[3] - b[2] <= 300 THEN b[3] ELSE e END AS char_end FROM f LEFT JOIN m USING (fact_id)")
@@ -235,7 +235,7 @@ def events_refined_bounds(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("WITH c AS (SELECT *, CASE WHEN role IN ('user', 'system') THEN role END AS cue FROM conversations), l AS (SELECT *, last_value(CASE WHEN cue = 'user' THEN cue END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM c) SELECT conv_id, turn, coalesce(cue, back) AS carried, CASE WHEN cue IS NOT NULL THEN 'cue_matched' WHEN back IS NOT NULL THEN 'carried_forward' ELSE 'untagged' END AS role_confidence FROM l")
 def conversation_roles(spark, sf_dir):  # noqa: ANN001, ANN201
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("turn", "text").alias("o"), F.col("role").alias("said"))
-    out = fx.roles(c, ["conv_id"], "o", "said", ("user",), lambda x: F.when(x.isin("user", "system"), x))
+    out = fx.roles(c, ["conv_id"], "o", "said", ("user",), lambda x: F.when(x.isin("user", "system"), x), spread=True)
     return out.select("conv_id", "turn", F.col("role").alias("carried"), "role_confidence")
 
 
@@ -406,14 +406,8 @@ def part_prefix_rules(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("""WITH d AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT label, i, sum(x) AS t FROM d GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT vec_id, round(sum(x * t - x * x) / any_value(n), 6) AS centrality FROM d JOIN s USING (label, i) JOIN n USING (label) GROUP BY vec_id""")
 def embedding_centrality(spark, sf_dir):  # noqa: ANN001, ANN201
-    """EVT6: the mean similarity to the others of a group, over all its members, without forming pairs."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    d = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("t"))
-    total = F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda p: p["t"])
-    s = d.groupBy("label").agg(total.alias("t")).join(e.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
-    own = F.aggregate(F.zip_with("v", "t", lambda x, t: x * t - x * x), F.lit(0.0), lambda a, x: a + x)
-    return e.join(s, "label").select("vec_id", F.round(own / F.col("n"), 6).alias("centrality"))
-
+    """EVT6."""
+    return fx.centrality(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding").withColumn("centrality", F.round("centrality", 6))
 
 
 @query("SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

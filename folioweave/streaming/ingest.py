@@ -31,7 +31,7 @@ def counts(rows: DataFrame, by: str, at: str = "ts", every: str = "1 day", late:
 
 
 def refreshed_edges(rows: DataFrame, folder: str, checkpoint: str, edges: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """A table of edges that each batch upserts: version N+1 is written beside version N, so a failed batch leaves the old one whole."""
+    """A table of the edges inside each batch, upserted: `postings` has the graph across batches. Version N+1 is written beside version N, so a failed batch leaves the old one whole."""
 
     def step(batch: DataFrame, number: int) -> None:
         new = edges(batch)
