@@ -85,7 +85,7 @@ def weighted(facts: DataFrame, n_facts: Column, hub: int = lx.HUB) -> DataFrame:
         every = every.unionByName(salted.withColumn("small", F.lit(False)))
     idf = _idf(F.col("df"), n_facts)
     first = [F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "date", "polarity")]
-    of = every.groupBy("fact_id").agg(*first, F.sort_array(F.collect_list(F.when(F.col("small"), F.col("key")))).alias("small"), F.map_from_entries(F.collect_list(F.when(F.col("entity"), F.struct("key", idf.alias("idf"))))).alias("w"))
+    of = every.groupBy("fact_id").agg(*first, F.sort_array(F.collect_set(F.when(F.col("small"), F.col("key")))).alias("small"), F.map_from_entries(F.collect_set(F.when(F.col("entity"), F.struct("key", idf.alias("idf"))))).alias("w"))
     return of.where(F.size("small") > 0).select("fact_id", F.struct("doc_id", "date", "polarity", "small", "w").alias("f"))
 
 

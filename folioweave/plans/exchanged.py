@@ -15,6 +15,7 @@ from folioweave.operators import graph as g
 from folioweave.operators import parties as pt
 from folioweave.operators import segment as sg
 from folioweave.operators import symbols as sy
+from folioweave.operators import views as vw
 from folioweave.plans.adapters import order_facts, table
 from folioweave.session import shared_folder
 from folioweave.sources import readers, sinks, upsert
@@ -91,7 +92,8 @@ def supplier_scans(spark, sf_dir):  # noqa: ANN001, ANN201
 def part_word_boxes(spark, sf_dir):  # noqa: ANN001, ANN201
     """SRC9: the words of a brand's parts of one size, placed on a page, become lines again."""
     at = F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")) * 20.0
-    words = table(spark, sf_dir, "part").select("p_brand", "p_size", at.alias("y"), F.posexplode(F.split("p_name", " ")).alias("i", "text"))
+    placed = table(spark, sf_dir, "part").withColumn("y", at)
+    words = placed.select("p_brand", "p_size", "y", F.posexplode(F.split("p_name", " ")).alias("i", "text"))
     return readers.word_box_lines(words.select("p_brand", "p_size", "text", (F.col("i") * 60.0).alias("x0"), (F.col("y") + F.col("i")).alias("y0"), (F.col("i") * 60.0 + 50).alias("x1"), (F.col("y") + F.col("i") + 10).alias("y1")), ["p_brand", "p_size"])
 
 
@@ -105,9 +107,9 @@ def part_act_index(spark, sf_dir):  # noqa: ANN001, ANN201
     return readers.acts_index(spark, folder)
 
 
-@query("SELECT o_orderkey, 'the lease of order ' || o_orderkey || ' ran out' || CASE WHEN o_orderkey % 2 = 0 THEN ' in spring.' ELSE '.' END AS text FROM orders")
+@query("SELECT o_orderkey, 'the lease of order ' || o_orderkey || ' ran out' || CASE WHEN o_orderkey % 2 = 0 THEN '  in spring.' ELSE '.' END AS text FROM orders")
 def order_furniture(spark, sf_dir):  # noqa: ANN001, ANN201
-    """SRC11: running footers and signature stamps go, wherever they stand."""
+    """SRC11: running footers and signature stamps become a blank, wherever they stand."""
     k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("R.F.A. "), (k % 900 + 1).cast("string"), F.lit("/2015 Page "), (k % 99 + 1).cast("string"), F.lit(" of 100 the lease of order "), n, F.lit(" ran out"), F.when(k % 2 == 0, " Digitally Signed in spring.").otherwise("."))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.trim(sg.without_furniture(text)).alias("text"))
@@ -199,3 +201,23 @@ def events_upserted_twice(spark, sf_dir):  # noqa: ANN001, ANN201
     again = e.where("event_id % 5 = 0").withColumn("event_id", F.expr("event_id div 2 * 2")).withColumn("value", F.col("value") + 1)
     upsert.upsert(again, folder, "event_id", "ts")
     return upsert.read(spark, folder).select("event_id", "user_id", "value", "ts")
+
+
+@query("SELECT o_orderkey AS fact_id, o_custkey AS doc_id, c_name, c_nationkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 > 0")
+def order_customers(spark, sf_dir):  # noqa: ANN001, ANN201
+    """JN15: orders with what is known of their customers, of whom a third aren't."""
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("doc_id"))
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_nationkey")
+    return vw.with_document(nodes, known).select("fact_id", "doc_id", "c_name", "c_nationkey")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, 'The buyer ' || o_orderkey || ' shall ' AS a, ' the seller of lot ' || o_orderkey || '.' AS b, 'The court may hear lot ' || o_orderkey || ' in full.' AS c FROM orders)
+SELECT k AS doc_id, 'PAYMENT' AS type, 0 AS char_start, length(a || 'pay' || b)::INTEGER AS char_end, a || 'pay' || b AS text, trim(a) AS who, 'pay' AS action, trim(b) AS what FROM s WHERE k % 3 = 2
+UNION ALL SELECT k, 'FACT', 0, length(c)::INTEGER, c, NULL, NULL, c FROM s WHERE k % 3 = 1""")
+def order_parsed(spark, sf_dir):  # noqa: ANN001, ANN201
+    """EVT3, EVT10: sentences with a modal verb that no fact holds, typed by the first known verb."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    text = F.when(k % 3 == 2, F.concat(F.lit("The buyer "), n, F.lit(" shall pay the seller of lot "), n, F.lit("."))).when(k % 3 == 1, F.concat(F.lit("The court may hear lot "), n, F.lit(" in full."))).otherwise(F.concat(F.lit("It rained over lot "), n, F.lit(" for a long time.")))
+    units = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("section_no"), text.alias("text"))
+    none = units.select(*fx.KEYS, F.lit(0).alias("char_start"), F.lit(0).alias("char_end")).limit(0)
+    return fx.parsed_facts(units, none).select("doc_id", "type", "char_start", "char_end", "text", "who", "action", "what")
