@@ -40,7 +40,7 @@ _ACTS = [
 ]
 _DATES = [("24.09.2024", "2024-09-24"), ("5 December 2025", "2025-12-05"), ("Dec 5th, 2025", "2025-12-05"), ("2025-12-05", "2025-12-05"), ("31.02.2024", None), ("1/2/21", "2021-02-01"), ("3.4.68", "2068-04-03"), ("30-11-69", "1969-11-30"), ("1/13/21", None), ("1/2/214", None)]
 _POLARITY = [("The firm denies the claim", "DENIES"), ("He admits the debt", "ASSERTS"), ("Counsel contends that it is so", "ASSERTS"), ("They refuted all of it", "DENIES"), ("The road was long", "NEUTRAL"), ("an undisputed fact", "DENIES")]
-_ROLES = [("The facts of this case are short", "FACTS"), ("In our opinion the plea fails", "ANALYSIS"), ("The appeal is dismissed", "RULING"), ("as reported in a journal", "PRECEDENT"), ("the facts of that case were other ones", None), ("Here the learnd counsel for the petitoner rose", "ARGUMENTS_PETITIONER"), ("the question is wether costs follow", "ISSUES")]
+_ROLES = [("The facts of this case are short", "FACTS"), ("In our opinion the plea fails", "ANALYSIS"), ("The appeal is dismissed", "RULING"), ("as reported in a journal", "PRECEDENT"), ("he said nothing of how it all began", None), ("Here the learnd counsel for the petitoner rose", "ARGUMENTS_PETITIONER"), ("the question is wether costs follow", "ISSUES")]
 _HEADINGS = [(h, True) for h in ("IX. GROUNDS", "III. QUESTION OF LAW", "SYNOPSIS.", "II. FINAL PRAYER", "Prayer", "LIST OF DATES", "INDEX :", "4. Vakalatnama", "7) GROUNDS FOR INTERIM RELIEF", "MEMO OF PARTIES", "Annexure P-12", "EXHIBIT B")] + [(h, False) for h in ("The grounds of the appeal are set out below", "His prayer was not heard", "Index of all annexures", "100. GROUNDS")]
 _FURNITURE = [("R.F.A. 218/2015 Page 3 of 9 the lease had run out by then.", "the lease had run out by then."), ("The tenant paid his rent until the spring.", "The tenant paid his rent until the spring.")]
 _PARTY_NAMES = [("Bank of Salem", True), ("r/o Pune", False), ("INDEX", False), ("this is a sentence", False), ("Mi2a Gup7a D0s", False), ("Respondents", False), ("RAO, J.", False), ("Rs. 5,000 only", False), ("with costs", False), ("Plot 27 Residents", True), ("1N THE 5UPREME C0URT", False), ("राम प्रसाद", True), ("1. That the rent was paid", False)]
