@@ -19,7 +19,7 @@ from folioweave.operators import parties as pt
 from folioweave.operators import segment as sg
 from folioweave.operators import splitting as sp
 from folioweave.operators import symbols as sy
-from folioweave.plans.adapters import table
+from folioweave.plans.adapters import spread, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -155,7 +155,7 @@ def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, form, text: a customer's document in one of six forms, or with nothing of a caption."""
     k = F.col("c_custkey")
     pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (at % 8 + 1).cast("int"))
-    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat_ws(" ", pick(_FIRST, k), pick(_LAST, F.floor(k / 8))).alias("x"), F.concat_ws(" ", pick(_FIRST, F.floor(k / 3)), pick(_LAST, F.floor(k / 5)), F.lit("Mills")).alias("y"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("id"), F.concat_ws(" ", pick(_FIRST, k), pick(_LAST, F.floor(k / 8))).alias("x"), F.concat_ws(" ", pick(_FIRST, F.floor(k / 3)), pick(_LAST, F.floor(k / 5)), F.lit("Mills")).alias("y"))
     say = lambda *parts: F.concat(*[F.col(p) if p in ("x", "y") else F.lit(p) for p in parts])
     forms = {
         "suit": say("IN THE HIGH COURT OF DELHI\nC.S. No. 442 of 2024\n\n", "x", "\n…Plaintiff\n\nVERSUS\n\n", "y", "\n…Defendant\n\nThe plaintiff has paid the sum.\n"),
