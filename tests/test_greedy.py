@@ -96,3 +96,28 @@ def test_timeline_against_the_loop(spark):
     want = [f for c, d in {(f[1], f[2]) for f in first} for f in loop([f for f in first if (f[1], f[2]) == (c, d)], 0.5, lambda f: (-len(f[3] or ""), f[0]))]
     df = spark.createDataFrame(rows, "fact_id long, case string, date string, text string, section_label string, type string").withColumn("date", F.to_date("date"))
     assert sorted(r.fact_id for r in vw.timeline(df, "case").collect()) == sorted(f[0] for f in want)
+
+
+def test_small_groups_send_a_fact_once(spark):
+    """However many words a fact has, it is one place in a group of its size; in a larger group it has one for each shared word."""
+    rows = [(i, f"case{i // 4}", " ".join(f"word{(i * 7 + j) % 50}" for j in range(30))) for i in range(40)]
+    first = vw.first_of_words(spark.createDataFrame(rows, "fact_id long, case string, text string"), ["case"], F.lit(0))
+    assert vw.word_places(first, ["case"], 0.85).count() == 40
+    assert vw.word_places(first, ["case"], 0.85, small=2).count() > 400
+
+
+@pytest.mark.parametrize("small", [1, 1024])
+def test_both_ways_of_dealing_groups_keep_the_same(spark, monkeypatch, small):
+    monkeypatch.setattr(vw.word_places, "__defaults__", (small,))
+    rng = random.Random(2)
+    rows = [(i, i % 3, " ".join(rng.choice([f"word{k}" for k in range(12)]) for _ in range(rng.randrange(1, 6))), "2020-01-01") for i in range(200)]
+    df = spark.createDataFrame(rows, "fact_id long, case long, text string, date string")
+    want = set()
+    for c in range(3):
+        kept = []
+        for i, case, text, _ in rows:
+            w = set(text.split())
+            if case == c and not any(len(w & k) / min(len(w), len(k)) > 0.6 for k in kept):
+                kept.append(w)
+                want.add(i)
+    assert {r.fact_id for r in vw.unrepeated(df, "case", 0.6).collect()} == want
