@@ -197,8 +197,10 @@ def clusters(links: DataFrame) -> DataFrame:
     """AGG17: (node, cluster): connected components of (a, b), named by their smallest node.
 
     Rounds of two star operations: every node links its larger neighbours, then its smaller ones, to the smallest node
-    it knows. Each round rewrites the edges, so chains collapse in a logarithmic number of rounds.
+    it knows. Each round rewrites the edges, so chains collapse in a logarithmic number of rounds. They are at rest when each
+    edge leads to the smallest node of a star: no node has two of them, or one while it is another's.
     """
+    links = settled(links.select("a", "b"))
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     now = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
@@ -211,12 +213,13 @@ def clusters(links: DataFrame) -> DataFrame:
         moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    while True:
-        nxt = settled(star(star(now, True), False))
-        changed = nxt.exceptAll(now).limit(1).count() + now.exceptAll(nxt).limit(1).count()
-        now = nxt
-        if not changed:
-            break
+    def open_(pairs: DataFrame) -> bool:
+        ends = pairs.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(pairs.select("v", F.lit(0), F.lit(1)))
+        at = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        return at.where("out + `in` > 1 and out > 0").limit(1).count() > 0
+
+    while open_(now):
+        now = settled(star(star(now, True), False))
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").groupBy("node").agg(F.coalesce(F.min("root"), F.first("node")).alias("cluster"))
 
 

@@ -195,3 +195,18 @@ def test_statutes_and_labels(spark):
     assert {r.key: r.statute_lookup for r in sm.with_statutes(rows, law).collect()} == {"k": "text of it", "l": None, "m": None}
     names = spark.createDataFrame([("NOTICE",), ("ODD_KIND",)], "t string").select(sm.friendly(F.col("t")).alias("f")).collect()
     assert [r.f for r in names] == ["Notice", "Odd Kind"]
+
+
+def test_links_of_clusters_are_computed_once_and_stars_are_at_rest(spark, monkeypatch):
+    seen, rounds = spark.sparkContext.accumulator(0), []
+    # Only rows that are looked at count.
+    counted = F.udf(lambda b: seen.add(1) or b, "long").asNondeterministic()
+    links = spark.createDataFrame([(1, 2), (1, 3), (5, 5), (7, 8)], "a long, b long").select("a", counted("b").alias("b"))
+    settled = g.settled
+    monkeypatch.setattr(g, "settled", lambda df: rounds.append(1) or settled(df))
+    got = {r["node"]: r["cluster"] for r in g.clusters(links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 7: 7, 8: 7}
+    assert seen.value == 4 and len(rounds) == 2
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 50), (50, 55), (60, 55)], "a long, b long")
+    got = {r["node"]: r["cluster"] for r in g.clusters(chain).collect()}
+    assert got == {i: 0 for i in range(41)} | {50: 50, 55: 50, 60: 50}
