@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioweave.functions.text import html_escaped
+from folioweave.session import settled
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -24,6 +25,7 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "edge_id") -> DataFrame:
 
 def markdown_report(facts: DataFrame, edges: DataFrame, events: int = 60, cross: int = 30, conflicts: int = 10) -> str:
     """SNK2, LIM1: counts and the first rows of each list, formatted on the driver; only those rows come to it."""
+    edges = settled(edges.select("a", "b", "label", "score", "cross_doc"))  # three lists are made of them
     n = facts.agg(F.count(F.lit(1)), F.countDistinct("doc_id"), F.count("date")).first()
     e = edges.agg(F.count(F.lit(1)), F.count_if("cross_doc"), F.count_if(F.col("label") == "POTENTIAL_CONFLICT")).first()
     out = ["# Report", "", "| documents | facts | dated | edges | across documents | conflicts |", "|-|-|-|-|-|-|", f"| {n[1]} | {n[0]} | {n[2]} | {e[0]} | {e[1]} | {e[2]} |", "", "## Facts", ""]

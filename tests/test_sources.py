@@ -73,3 +73,13 @@ def test_suppliers_files_lie_in_one_folder_and_alike_ones_go_to_one_supplier_eac
     assert len(pages) == 40 and {r["s_suppkey"]: r["text"] for r in pages} == want
     prints = exchanged.queries()["supplier_fingerprints"](spark, str(tmp_path)).collect()
     assert len(prints) == 40 and {r["s_suppkey"]: r["length"] for r in prints} == {k: len(t) for k, t in want.items()}
+
+
+def test_edges_of_a_report_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda b: seen.add(1) or b, "long").asNondeterministic()
+    facts = spark.createDataFrame([(k, "d", "t", None) for k in (1, 2, 3)], "fact_id long, doc_id string, type string, date date")
+    edges = spark.createDataFrame([(1, 2, "SUPPORTS", 0.5, True), (1, 3, "POTENTIAL_CONFLICT", 0.6, True)], "a long, b long, label string, score double, cross_doc boolean").select("a", counted("b").alias("b"), "label", "score", "cross_doc")
+    report = sinks.markdown_report(facts, edges)
+    assert "| 1 | 3 | 0 | 2 | 2 | 1 |" in report and "- 1 - 3: POTENTIAL_CONFLICT 0.600" in report
+    assert seen.value == 2
