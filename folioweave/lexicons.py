@@ -175,6 +175,47 @@ PROFILES = {
     "court_order": (("Petitioner", "Respondent"), "cause_title", ((r"\b(?:it\s+is\s+ordered|hereby\s+ordered|the\s+court\s+directs)\b", 3.0), (r"\bcoram\b|\bbefore\s+(?:hon|the\s+hon)", 3.0), (r"\b(?:oral\s+)?(?:order|judgment)\b", 1.0), (r"\blist\s+(?:on|after)\b", 1.0))),
     "generic": (("Party A", "Party B"), None, ()),
 }
+#: Words in lower case, one of which stands in whatever a detector matches, and what else does.
+DETECTOR_WORDS = {
+    FILED_NUMBER: ("no",),
+    FORUM: ("court", "tribunal", "nclt", "nclat", "drt", "forum", "magistrate", "commission", "न्यायालय", "अधिकरण"),
+    ROLE_MARKER: (
+        "petitioner", "respondent", "plaintiff", "defendant", "appellant", "applicant", "claimant", "complainant", "accused", "opposite",
+        "deponent", "obligor", "obligee", "creditor", "debtor", "holder", *INDIC_ROLES,
+    ),
+    r"(?-i:\bI,\s+[A-Z])": ("i,",),
+    r"\bdo\s+hereby\s+(?:solemnly\s+)?(?:affirm|state|declare)": ("hereby",),
+    r"\bverification\b": ("verification",),
+    r"\bdeponent\b": ("deponent",),
+    r"\bthis\s+agreement\s+is\s+made": ("agreement",),
+    r"(?s:\bbetween\b.{0,200}\band\b)": ("between",),
+    r"\bwhereas\b": ("whereas",),
+    r"\bwitnesseth\b|\bnow\s+therefore\b": ("witnesseth", "therefore"),
+    r"\bin\s+witness\s+whereof\b": ("whereof",),
+    r"\blegal\s+notice\b": ("notice",),
+    r"\bunder\s+instructions\s+from\s+my\s+client": ("client",),
+    r"\bmy\s+client\b": ("client",),
+    r"\bwithin\s+\d+\s+days\b": ("within",),
+    r"(?m:^\s*(?:from|to)\s*:)": (":",),
+    r"(?m:^\s*sub(?:ject)?\s*:)": (":",),
+    r"(?m:^\s*ref(?:erence)?\s*(?:no\.?)?\s*:)": (":",),
+    r"\b(?:dear\s+(?:sir|madam)|yours\s+(?:faithfully|sincerely|truly))\b": ("dear", "yours"),
+    r"\b(?:a/?c|account)\s*(?:no\.?|number)": ("a/c", "ac"),
+    r"\bIFSC\b|\bMICR\b|\bUTR\b": ("ifsc", "micr", "utr"),
+    r"(?s:\b(?:debit|credit)\b.{0,40}\b(?:balance)\b)": ("balance",),
+    r"\b(?:invoice|tax\s+invoice|GSTIN)\b": ("invoice", "gstin"),
+    r"\b(?:it\s+is\s+ordered|hereby\s+ordered|the\s+court\s+directs)\b": ("ordered", "directs"),
+    r"\bcoram\b|\bbefore\s+(?:hon|the\s+hon)": ("coram", "before"),
+    r"\b(?:oral\s+)?(?:order|judgment)\b": ("order", "judgment"),
+    r"\blist\s+(?:on|after)\b": ("list",),
+}
+DETECTOR_TAILS = {
+    FILED_NUMBER: r"no\.?\s*\d+\s*(?:of|/)\s*\d{4}",
+    r"(?-i:\bI,\s+[A-Z])": r"i,\s+[a-z]",
+    r"(?m:^\s*(?:from|to)\s*:)": r"(?:from|to)\s*:",
+    r"\b(?:a/?c|account)\s*(?:no\.?|number)": r"c(?:count)?\s*n",
+    r"\bcoram\b|\bbefore\s+(?:hon|the\s+hon)": r"coram|hon",
+}
 
 # What is no name of a party.
 CAPTION_LABEL = r"^(?:equivalent citations\b|author\s*:|bench\s*:|reportable\b|source:)|^(?:citation|citator info|date of judgment|act)\s*:?\s*$"
