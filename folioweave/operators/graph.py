@@ -50,11 +50,19 @@ def within_hub(posts: DataFrame, hub: int = lx.HUB) -> DataFrame:
 def candidates(posts: DataFrame, hub: int = lx.HUB) -> DataFrame:
     """JN1, AGG3: distinct pairs a < b that share a key of at most `hub` facts.
 
-    Hubs go before the self-join, which bounds a key's pairs by hub * (hub - 1) / 2 whatever the input.
+    Hubs go before the self-join, which bounds a key's pairs by hub * (hub - 1) / 2 whatever the input. A fact takes its
+    keys along, so that a pair is found only once, at the first key that both have: no distinct is taken of the pairs.
     """
-    small = within_hub(posts, hub).where(F.col("df") <= hub).drop("df")
-    pairs = small.alias("x").join(small.alias("y"), "key").where("x.fact_id < y.fact_id")
-    return pairs.select(F.col("x.fact_id").alias("a"), F.col("y.fact_id").alias("b")).distinct()
+    small = within_hub(posts, hub).where(F.col("df") <= hub).groupBy("fact_id").agg(F.sort_array(F.collect_set("key")).alias("small"))
+    each = small.withColumn("key", F.explode("small"))
+    # Both sides grow with the facts: never broadcast.
+    both = each.alias("x").join(each.alias("y").hint("merge"), "key").where("x.fact_id < y.fact_id")
+    return both.where(_first_shared("x.small", "y.small")).select(F.col("x.fact_id").alias("a"), F.col("y.fact_id").alias("b"))
+
+
+def _first_shared(x: str, y: str) -> Column:
+    """Whether `key` is the first key of both; a fact's only key needs no look at those of the other."""
+    return (F.size(x) == 1) | (F.size(y) == 1) | (F.col("key") == F.array_min(F.array_intersect(x, y)))
 
 
 def proximity(d1: Column, d2: Column, horizon: int = lx.HORIZON_DAYS) -> Column:

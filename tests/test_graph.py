@@ -210,3 +210,15 @@ def test_links_of_clusters_are_computed_once_and_stars_are_at_rest(spark, monkey
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 50), (50, 55), (60, 55)], "a long, b long")
     got = {r["node"]: r["cluster"] for r in g.clusters(chain).collect()}
     assert got == {i: 0 for i in range(41)} | {50: 50, 55: 50, 60: 50}
+
+
+def test_a_pair_is_found_at_the_first_key_that_both_have(spark):
+    """Pairs grow faster than facts, so no shuffle takes them: facts that share several keys are one pair without a distinct."""
+    rng = random.Random(7)
+    posts = [(k, i) for i in range(60) for k in rng.sample("abcdefgh", 3)] + [("hub", i) for i in range(60)]
+    got = [tuple(r) for r in g.candidates(spark.createDataFrame(posts, "key string, fact_id long"), 30).collect()]
+    keys = {k: sorted(i for x, i in posts if x == k) for k in {k for k, _ in posts}}
+    want = {(a, b) for ids in keys.values() if len(ids) <= 30 for a in ids for b in ids if a < b}
+    assert sorted(got) == sorted(want)
+    plan = g.candidates(spark.createDataFrame(posts, "key string, fact_id long"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
