@@ -75,17 +75,22 @@ def inner_product(u: Column, v: Column) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
 
 
-def weighted(facts: DataFrame, n_facts: Column, hub: int = lx.HUB) -> DataFrame:
+def weighted(facts: DataFrame, n_facts: Column, hub: int = lx.HUB, least: float = 0.0) -> DataFrame:
     """fact_id and f: doc_id, date, polarity, small (keys that can pair, sorted) and w (entities with their weights) of facts with a key that can pair.
 
     Postings are written once, hubs cut off. Their keys' numbers follow from them, but those of entities that are hubs,
-    which are counted apart, if there are any.
+    which are counted apart, if there are any. least: what a pair's base must reach. If it can't without an entity that both
+    have, and no entity is a hub, such a pair meets at an entity: dates, amounts and types aren't posted.
     """
     rows = facts.select("fact_id", "doc_id", "date", "polarity", "entities", keys_of().alias("key")).withColumn("entity", F.coalesce(F.array_contains("entities", F.col("key")), F.lit(False))).drop("entities")
-    known = settled(within_hub(rows, hub))
-    every = known.where(F.col("df") <= hub).withColumn("small", F.lit(True))
+    only_entities = lx.W_TIME + lx.W_SAME * lx.SAME_BONUS + 1e-9 < least
+    known = settled(within_hub(rows.where("entity") if only_entities else rows, hub))
     hubs = known.where((F.col("df") > hub) & F.col("entity")).select("key").distinct()
-    if hubs.limit(1).count():
+    with_hubs = hubs.limit(1).count() > 0
+    if only_entities and with_hubs:  # facts that share a hub may meet at any key
+        known = settled(within_hub(rows, hub))
+    every = known.where(F.col("df") <= hub).withColumn("small", F.lit(True))
+    if with_hubs:
         # A third of all facts may have one of them, so both sides of the join are dealt out.
         salts = 16
         df = rows.where("entity").join(hubs, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -97,18 +102,28 @@ def weighted(facts: DataFrame, n_facts: Column, hub: int = lx.HUB) -> DataFrame:
     return of.where(F.size("small") > 0).select("fact_id", F.struct("doc_id", "date", "polarity", "small", "w").alias("f"))
 
 
-def rated(facts: DataFrame, n_facts: Column, hub: int = lx.HUB) -> DataFrame:
-    """JN1, FN14 without the text part: a, b, fa, fb, entity, time, same, base (their weighted sum), share_entity.
+#: Entities of a fact up to which their weights are added term by term.
+UNROLLED = 8
+
+
+def rated(facts: DataFrame, n_facts: Column, hub: int = lx.HUB, least: float = 0.0) -> DataFrame:
+    """JN1, FN14 without the text part: a, b, fa, fb, entity, time, same, base (their weighted sum), share_entity; least: pairs below it may be left out.
 
     What a score needs travels with the postings, so a pair is scored where it is found, and only once: at the first key
     that both have. Nothing is joined to pairs, and no distinct is taken of them.
     """
-    posts = weighted(facts, n_facts, hub).withColumn("key", F.explode("f.small"))
+    posts = weighted(facts, n_facts, hub, least).withColumn("key", F.explode("f.small"))
     # Both sides grow with the facts: never broadcast.
     both = posts.alias("x").join(posts.alias("y").hint("merge"), "key").where("x.fact_id < y.fact_id").select("key", F.col("x.fact_id").alias("a"), F.col("y.fact_id").alias("b"), F.col("x.f").alias("fa"), F.col("y.f").alias("fb"))
-    both = both.where(F.col("key") == F.array_min(F.array_intersect("fa.small", "fb.small")))
+    both = both.where(_first_shared("fa.small", "fb.small"))
     shared = F.array_intersect(F.map_keys("fa.w"), F.map_keys("fb.w"))
-    entity = F.least(F.coalesce(F.aggregate(F.sort_array(shared), F.lit(0.0), lambda s, k: s + F.try_element_at(F.col("fa.w"), k)), F.lit(0.0)) / 2.0, F.lit(1.0))
+    inorder = F.sort_array(shared)
+    each = max(0, facts.select(F.max(F.size("entities"))).first()[0] or 0)
+    if each <= UNROLLED:  # a sum of so many terms is compiled, a fold is not, nor is what stands beside it
+        weight = sum((F.coalesce(F.try_element_at(F.col("fa.w"), F.get(inorder, i)), F.lit(0.0)) for i in range(each)), F.lit(0.0))
+    else:
+        weight = F.aggregate(inorder, F.lit(0.0), lambda s, k: s + F.try_element_at(F.col("fa.w"), k))
+    entity = F.least(F.coalesce(weight, F.lit(0.0)) / 2.0, F.lit(1.0))
     same = F.when(F.col("fa.doc_id") == F.col("fb.doc_id"), lx.SAME_BONUS).otherwise(0.0)
     parts = both.select("a", "b", "fa", "fb", entity.alias("entity"), proximity(F.col("fa.date"), F.col("fb.date")).alias("time"), same.alias("same"), (F.size(shared) > 0).alias("share_entity"))
     return parts.withColumn("base", total(F.lit(0.0)))
@@ -193,7 +208,7 @@ def edges(facts: DataFrame, n_facts: Column | None = None, hub: int = lx.HUB, to
     if similarity or "vec" in facts.columns:
         pairs = promising(rated(facts, n, hub), facts, top_k, least, similarity)
     else:
-        pairs = rated(facts, n, hub).where(F.col("base") >= least).withColumn("text", F.lit(0.0)).withColumn("score", F.col("base"))
+        pairs = rated(facts, n, hub, least).where(F.col("base") >= least).withColumn("text", F.lit(0.0)).withColumn("score", F.col("base"))
     # Columns of fixed width only, so that pairs are aggregated by hash; the label gets its name at the end.
     label = _label_no(F.col("fa.polarity"), F.col("fb.polarity")).alias("label")
     slim = pairs.select("a", "b", "score", label, (F.col("fa.doc_id") != F.col("fb.doc_id")).alias("cross_doc"), *[F.round(c, 3).alias(c) for c in ("entity", "time", "text", "same")], "share_entity")

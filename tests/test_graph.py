@@ -222,3 +222,24 @@ def test_a_pair_is_found_at_the_first_key_that_both_have(spark):
     assert sorted(got) == sorted(want)
     plan = g.candidates(spark.createDataFrame(posts, "key string, fact_id long"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("with_hub", [False, True])
+def test_edges_that_need_an_entity(spark, with_hub):
+    """At the usual least score dates and amounts are posted only if an entity is a hub; no edge is lost either way."""
+    rng = random.Random(11)
+    rows = [(i, f"d{i % 3}", "T", [f"e{rng.randrange(9)}", f"f{rng.randrange(12)}"] + ["court"] * with_hub, datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(30)), str(rng.randrange(20)), rng.choice(["ASSERTS", "DENIES", "NEUTRAL"])) for i in range(90)]
+    facts = spark.createDataFrame(rows, FACTS)
+    got = {(r.a, r.b): round(r.score, 9) for r in g.edges(facts, hub=20, least=0.35).collect()}
+    assert got == brute_edges(rows, 20, lx.TOP_K, 0.35, None) != {}
+    keys = {k for r in g.weighted(facts, F.lit(90), 20, 0.35).collect() for k in r.f.small}
+    assert any(k.startswith("amt::") for k in keys) is with_hub
+
+
+def test_sums_of_many_entities(spark):
+    rng = random.Random(12)
+    rows = [(i, "d", "T", rng.sample([f"e{k}" for k in range(30)], 6), None, None, "NEUTRAL") for i in range(40)]
+    facts = spark.createDataFrame(rows, FACTS)
+    told = [{(r.a, r.b): r.score for r in g.edges(facts, least=0.05).collect()} for g.UNROLLED in (8, 3)]
+    g.UNROLLED = 8
+    assert told[0] == told[1] and {k: round(v, 9) for k, v in told[0].items()} == brute_edges(rows, 40, lx.TOP_K, 0.05, None) != {}
