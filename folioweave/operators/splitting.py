@@ -13,14 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions.spans import spans
+from folioweave.session import settled
 
 # Of the log-likelihood test.
 ABBREVIATED, STOP_RATE, OPENS, LEAST_OPENINGS = 0.3, 0.99, 30.0, 5
 
 
+#: Brackets and quotes around the words of a text; like `$`, a word's end may have a last line separator behind it that is no blank.
+_AROUND = r"(?<!\S)[\"'(\[“‘]+|[\"')\],;:”’]+(?=[\u0085\u2028\u2029]?(?!\S))"
+
+
 def _tokens(text: Column) -> Column:
-    """Words between blanks without brackets and quotes around them."""
-    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[\"'(\[“‘]+|[\"')\],;:”’]+$", "")), lambda w: w != "")
+    """Words between blanks without brackets and quotes around them. The whole text is cleared of these at once, as a look at each word of an array isn't compiled."""
+    return F.filter(F.split(F.regexp_replace(text, _AROUND, ""), r"\s+"), lambda w: w != "")
 
 
 def _type(token: Column) -> Column:
@@ -40,7 +45,8 @@ def abbreviations(units: DataFrame, text: str = "text", least: float = ABBREVIAT
     type: lower case without the stop. Null and empty texts have no words. Words of digits count together and are none.
     """
     words = units.select(F.explode(_tokens(F.col(text))).alias("w")).select(_type(F.col("w")).alias("type"), F.col("w").endswith(".").alias("stop"))
-    counts = words.where("type <> ''").groupBy("type").agg(F.count_if("stop").alias("n_stop"), F.count_if(~F.col("stop")).alias("n_plain"))
+    # The counts are kept, as all that follows reads them.
+    counts = settled(words.where("type <> ''").groupBy("type").agg(F.count_if("stop").alias("n_stop"), F.count_if(~F.col("stop")).alias("n_plain")))
     n_stop, n = counts.agg(F.coalesce(F.sum("n_stop"), F.lit(0)), F.coalesce(F.sum(F.col("n_stop") + F.col("n_plain")), F.lit(0))).first()
     if not 0 < n_stop < n:  # no stops, or nothing but words with stops, tell nothing
         return counts.where("false").withColumn("score", F.lit(0.0)).withColumn("abbreviated", F.lit(False))
@@ -55,11 +61,14 @@ def abbreviations(units: DataFrame, text: str = "text", least: float = ABBREVIAT
 def openers(units: DataFrame, found: DataFrame, text: str = "text", least: float = OPENS, at_least: int = LEAST_OPENINGS) -> DataFrame:
     """type: words that stand after the end of a sentence far oftener than elsewhere. found: as of abbreviations()."""
     tokens = units.select(_tokens(F.col(text)).alias("t"))
-    pairs = tokens.select(F.explode(F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    rows = pairs.select(_type(F.col("p.a")).alias("type"), F.col("p.a").rlike(r"[.!?]$").alias("ends"), _type(F.col("p.b")).alias("next"), F.col("p.b").rlike(r"^\p{Lu}").alias("capital"))
+    pairs = tokens.select(F.explode(F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("a"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))).alias("p")).select("p.a", "p.b")
+    # What stands before matters only where a sentence may open, so few different pairs are left to look at.
+    before = F.when(F.col("a").rlike(r"[.!?]$") & F.col("b").rlike(r"^\p{Lu}"), F.col("a"))
+    said = pairs.groupBy(before.alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    rows = said.select(_type(F.col("a")).alias("type"), F.col("a").isNotNull().alias("may"), _type(F.col("b")).alias("next"), "n")
     short = found.where("abbreviated").select("type", F.lit(True).alias("short"))
-    after = rows.join(short, "type", "left").select("next", (F.col("ends") & F.col("capital") & F.col("short").isNull()).alias("opens"))
-    counts = after.groupBy("next").agg(F.count_if("opens").alias("n_open"), F.count_if(~F.col("opens")).alias("n_other"))
+    after = rows.join(short, "type", "left").select("next", "n", (F.col("may") & F.col("short").isNull()).alias("opens"))
+    counts = settled(after.groupBy("next").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name) for c, name in ((F.col("opens"), "n_open"), (~F.col("opens"), "n_other"))]))
     n_open, n = counts.agg(F.coalesce(F.sum("n_open"), F.lit(0)), F.coalesce(F.sum(F.col("n_open") + F.col("n_other")), F.lit(0))).first()
     if not 0 < n_open < n:
         return counts.where("false").select(F.col("next").alias("type"))

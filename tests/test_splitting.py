@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from folioweave.operators import splitting as sp
 
 #: A small world: "dept." and "e.g." are abbreviations, "Then" opens sentences.
@@ -65,3 +67,22 @@ def test_nothing_to_learn(spark):
         found = sp.abbreviations(df)
         assert found.count() == 0 and sp.openers(df, found).count() == 0
         assert sp.split(df, ["doc_id"], found).count() == bool(text)
+
+
+def test_words_are_cleared_as_one_by_one(spark):
+    """The whole text is cleared of brackets and quotes at once, which must leave the words that clearing each one leaves."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab.\"'()[],;:“”‘’ \n\t \u0085 ") for _ in range(rng.randrange(40))) for _ in range(400)] + [None, "", "\"'(", "(\")x, \"a\",  b"]
+    one = F.filter(F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"^[\"'(\[“‘]+|[\"')\],;:”’]+$", "")), lambda w: w != "")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", sp._tokens(F.col("text")).alias("got"), one.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_words_are_counted_once(spark, tmp_path):
+    """What is learned is kept: the texts are not read again by those who ask for it."""
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(i, "Mr. Fox came. Then he left. We saw Mr. Fox. Then it rained.") for i in range(20)], "doc_id int, text string").write.parquet(path)
+    units = spark.read.parquet(path)
+    found = sp.abbreviations(units)
+    for df in (found, sp.openers(units, found)):
+        assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
