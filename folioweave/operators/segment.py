@@ -121,15 +121,16 @@ def page_at(offset: Column, page_offsets: Column) -> Column:
 
 def paragraphs(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """SEG9: keys, para_no from 0, char_start, char_end, paragraph. Numbered paragraphs, or blocks between blank lines if there is one at most."""
-    rows = lines(units, keys, text)
+    # Of a line only what is asked of it is sorted, not its letters.
+    full = (F.trim(F.regexp_replace("line", r"\s", " ")) != "").cast("int")
+    rows = lines(units, keys, text).select(*keys, "line_no", "start", F.length("line").alias("__len"), full.alias("__full"), F.col("line").rlike(lx.NUMBERED_PARAGRAPH).alias("__headed"))
     rows = rows.withColumn("last", F.lead("line_no").over(Window.partitionBy(*keys).orderBy("line_no")).isNull())
     w = Window.partitionBy(*keys).orderBy("line_no")
-    full = (F.trim(F.regexp_replace("line", r"\s", " ")) != "").cast("int")
     # A numbered line opens a paragraph if something stands between it and the last opening; what matters is only whether anything stood before at all.
-    rows = rows.withColumn("__before", F.coalesce(F.max(full).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("__opens", (F.col("line").rlike(lx.NUMBERED_PARAGRAPH) & (F.col("__before") > 0)).cast("int")).withColumn("__full", full)
+    rows = rows.withColumn("__before", F.coalesce(F.max("__full").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("__opens", (F.col("__headed") & (F.col("__before") > 0)).cast("int"))
     rows = rows.withColumn("__no", F.sum("__opens").over(w))
-    blocks = rows.groupBy(*keys, "__no").agg(F.min("start").alias("char_start"), F.max(F.col("start") + F.length("line") + F.when(F.col("last"), 0).otherwise(1)).alias("char_end"), F.max("__full").alias("__some"))
+    blocks = rows.groupBy(*keys, "__no").agg(F.min("start").alias("char_start"), F.max(F.col("start") + F.col("__len") + F.when(F.col("last"), 0).otherwise(1)).alias("char_end"), F.max("__full").alias("__some"))
     blocks = blocks.where(F.col("__some") > 0).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     numbered = blocks.where("__n > 1").select(*keys, "char_start", "char_end")
     # Blocks between blank lines: a line starts a block if the line before it is blank.
@@ -137,9 +138,10 @@ def paragraphs(units: DataFrame, keys: list[str], text: str = "text") -> DataFra
     plain = rows.join(several, keys, "left_anti")
     prev = F.coalesce(F.lag("__full").over(w), F.lit(0))
     plain = plain.withColumn("__b", F.sum(((F.col("__full") == 1) & (prev == 0)).cast("int")).over(w)).where("__full = 1")
-    loose = plain.groupBy(*keys, "__b").agg(F.min("start").alias("char_start"), F.max(F.col("start") + F.length("line")).alias("char_end")).select(*keys, "char_start", "char_end")
+    loose = plain.groupBy(*keys, "__b").agg(F.min("start").alias("char_start"), F.max(F.col("start") + F.col("__len")).alias("char_end")).select(*keys, "char_start", "char_end")
     both = numbered.unionByName(loose).withColumn("para_no", (F.row_number().over(Window.partitionBy(*keys).orderBy("char_start")) - 1).cast("int"))
-    return both.join(units.select(*keys, F.col(text).alias("__text")), keys).select(*keys, "para_no", "char_start", "char_end", F.substring(F.col("__text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("paragraph"))
+    # Both sides grow with the texts, and what follows is to have as many tasks as the shuffle: never broadcast.
+    return both.join(units.select(*keys, F.col(text).alias("__text")).hint("merge"), keys).select(*keys, "para_no", "char_start", "char_end", F.substring(F.col("__text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("paragraph"))
 
 
 _BREAK = re.compile(lx.SENTENCE_BREAK)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,3 +105,10 @@ def test_spans_of_a_text_with_many_matches(spark):
     row = spark.createDataFrame([(text,)], "text string").select(spans(F.col("text"), "[0-9]+").alias("s")).selectExpr("size(s) AS n", "s[99999] AS last", "s[0] AS first").first()
     assert row.n == 100_000 and (row.first.raw, row.first.start, row.first.end) == ("1", 1, 2)
     assert (row.last.raw, row.last.start, row.last.end) == ("22", 11 * 49_999 + 4, 11 * 49_999 + 6)
+
+
+def test_letters_of_lines_are_not_sorted(spark):
+    """Paragraphs order lines by what is asked of them; the letters of a line go nowhere."""
+    plan = sg.paragraphs(spark.createDataFrame([("d", "a\n\nb")], "doc_id string, text string"), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x or "Project [" in x]
+    assert windows and not any(re.search(r"\bline#\d+[,\]]", x) for x in windows)
