@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -112,3 +113,22 @@ def test_letters_of_lines_are_not_sorted(spark):
     plan = sg.paragraphs(spark.createDataFrame([("d", "a\n\nb")], "doc_id string, text string"), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window [" in x or "Project [" in x]
     assert windows and not any(re.search(r"\bline#\d+[,\]]", x) for x in windows)
+
+
+def test_only_the_end_of_a_piece_is_searched_for_abbreviations():
+    """As the whole piece was, which took time by its length: here most of a second before."""
+    rng = random.Random(4)
+    parts = ["rs", "No", "nos", "s", "Dr", "a", "word", ".", " ", ",", "1", "é", "_", "ſ", "K", "-"]
+    for _ in range(20000):
+        piece = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))).strip() + rng.choice([".", "", ".."])
+        assert sg._abbreviated(piece) == bool(sg._ABBREVIATED.search(piece)), piece
+    seen = []
+
+    class Watched:
+        def search(self, text, at=0):
+            seen.append(len(text) - at)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sg, "_ABBREVIATED", Watched())
+        sg.sentence_spans("One sentence that is long enough to stand. " * 50)
+    assert len(seen) == 49 and max(seen) < 10
